@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import attention as G
-from ..operators import hidden, joins, judge, labels, metrics, overlap, padding, sampling, spectral
+from ..operators import hidden, joins, judge, labels, metrics, overlap, padding, probe, sampling, spectral
 from ..schema import EXAMPLE, HEAD, RUN
 from ..sources import catalog, qa, results
 from ..sources.prompts import JUDGE_PROMPTS, QA_PROMPTS
+from . import features, studies
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,3 +533,81 @@ def display_names(spark, sf):
     d = V.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     key = F.when(F.col("lang") == "en", "coqa").when(F.col("lang") == "de", "gsm8k").otherwise(F.col("lang"))
     return d.select(results.display_name(key, results.DATASET_NAMES).alias("dataset"), "n")
+
+
+# ---------------------------------------------------------------- probes and studies
+
+
+def _split(spark, sf) -> DataFrame:
+    return sampling.stratified_split(V.labels(spark, sf))
+
+
+def _metric_rows(results_df: DataFrame, *keys: str) -> DataFrame:
+    names = [f"{part}_{m}" for part in ("train", "test") for m in probe.METRICS]
+    return results_df.select(*keys, "trainable_params", "n_train", "converged", *[_r(n) for n in names])
+
+
+@query
+def probe_lr(spark, sf):
+    """All-layer log-determinant probe of every run."""
+    table = features.spectral_features(G.diagonals(V.attention(spark, sf)), [], per_layer=False, families=("attn_log_det",))
+    fitted, _ = probe.run_probes(features.labelled(table, _split(spark, sf)), features.PROBE)
+    return _metric_rows(fitted, *features.PROBE)
+
+
+@query
+def probe_sweep(spark, sf):
+    """Every spectral probe per layer and over all layers, with PCA."""
+    fitted, _ = studies.spectral_probes(G.diagonals(V.attention(spark, sf)), _split(spark, sf), (1, 2), pca_dim=4)
+    return _metric_rows(fitted, *features.PROBE, "pca_dim")
+
+
+@query
+def probe_hidden_states(spark, sf):
+    toks = hidden.token_masks(V.state_tokens(spark, sf), V.SPECIAL_IDS, V.ADDED_IDS)
+    chosen = hidden.select_last_tokens(V.hidden_states(spark, sf), toks)
+    fitted, _ = studies.hidden_probes(chosen, _split(spark, sf), pca_dim=6)
+    return _metric_rows(fitted, *features.PROBE, "pca_dim")
+
+
+@query
+def probe_generalization(spark, sf):
+    """Probes of every run on the test rows of every run, spectral features."""
+    table = features.spectral_features(G.diagonals(V.attention(spark, sf)), [2], per_layer=False)
+    m = studies.generalization(table, _split(spark, sf), runs=(0, 1, 2, 3))
+    return m.select("probe", "train_run", "test_run", "n_pos", "n_neg", *[_r(c) for c in probe.METRICS])
+
+
+@query
+def probe_generalization_hidden(spark, sf):
+    """Probes of every run on the test rows of every run, hidden states of both tokens."""
+    toks = hidden.token_masks(V.state_tokens(spark, sf), V.SPECIAL_IDS, V.ADDED_IDS)
+    chosen = hidden.select_last_tokens(V.hidden_states(spark, sf), toks)
+    table = features.hidden_features(chosen, per_layer=False)
+    m = studies.generalization(table, _split(spark, sf), runs=(0, 1, 2, 3), pca_dim=8)
+    return m.select("probe", "train_run", "test_run", "n_pos", "n_neg", *[_r(c) for c in probe.METRICS])
+
+
+@query
+def probe_temperature(spark, sf):
+    """Balanced resamples of every run; each run stands for one temperature."""
+    fitted = studies.temperature_study(
+        G.diagonals(V.attention(spark, sf)), V.labels(spark, sf), top_k=2, per_class=40, seeds=(42, 123, 456)
+    )
+    return _metric_rows(fitted, "run_id", "probe", "seed")
+
+
+@query
+def probe_train_size(spark, sf):
+    fitted = studies.size_study(
+        G.diagonals(V.attention(spark, sf)), _split(spark, sf), top_k=2, fractions=(0.2, 0.5, 1.0), seeds=(42, 123), pca_dim=4
+    )
+    return _metric_rows(fitted, "run_id", "probe", "frac", "seed")
+
+
+@query
+def probe_perturbation(spark, sf):
+    fitted = studies.perturbation_study(
+        G.diagonals(V.attention(spark, sf)), _split(spark, sf), ks=(1, 2), stds=(1e-3, 1e-1, None), repeats=2, pca_dim=4
+    )
+    return _metric_rows(fitted, "run_id", "top_k", "std", "rep")

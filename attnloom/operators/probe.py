@@ -359,7 +359,11 @@ def probe_results(predictions: DataFrame, models: DataFrame, keys: Sequence[str]
 def run_probes(
     features: DataFrame, keys: Sequence[str], row: Sequence[str] = EXAMPLE, pca_dim: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit, score and measure a sweep: `(results, predictions)`."""
+    """Fit, score and measure a sweep: `(results, predictions)`.
+
+    Predictions are narrow and used several times, so they are written once;
+    the metrics then start from them and not from the feature pipeline.
+    """
     models = cut_lineage(fit_probes(features, keys, row, pca_dim))
-    predictions = score(features, models, keys)
+    predictions = cut_lineage(score(features, models, keys))
     return probe_results(predictions, models, keys), predictions

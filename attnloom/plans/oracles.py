@@ -527,3 +527,22 @@ m AS (SELECT run_id, sum(pads) / sum(n) AS share, CAST(sum(n) AS BIGINT) AS n_to
 SELECT run_id, {_r('share')} AS padding_share, n_tokens, input_size FROM m"""
 ORACLES["display_names"] = f"""SELECT CASE lang WHEN 'en' THEN {_text(DATASET_NAMES['coqa'])} WHEN 'de' THEN {_text(DATASET_NAMES['gsm8k'])} ELSE lang END AS dataset,
   count(*) AS n FROM documents GROUP BY lang"""
+
+# ---------------------------------------------------------------- streaming and stored results
+
+ORACLES["stream_attn_features"] = f"""WITH {LAP}, ld AS (SELECT row_idx, layer, head, avg(ln(d)) AS log_det FROM diags GROUP BY ALL)
+SELECT run_id, l.row_idx, l.layer, l.head, {_r('log_det')} AS log_det, k, {_r('d')} AS attn, {_r('lap')} AS lap
+FROM laps l JOIN ld USING (row_idx, layer, head)"""
+ORACLES["stored_diagonals"] = f"""WITH {LAP}, {LABELS}, s AS (SELECT run_id, row_idx, layer, head, sum(lap) AS x FROM laps GROUP BY ALL)
+SELECT run_id, row_idx, layer, head, label, {_r('x')} AS lap_sum
+FROM s JOIN labels_fx USING (run_id, row_idx) WHERE label IN (0, 1)"""
+ORACLES["probe_results_scan"] = f"""WITH {SCORE}, {LABELS}, {SPLIT},
+all_scores AS (
+  SELECT run_id, row_idx, CAST(layer AS VARCHAR) AS layer, score FROM layer_scores
+  UNION ALL SELECT run_id, row_idx, 'all', avg(score) FROM layer_scores GROUP BY run_id, row_idx),
+scored AS (SELECT s.*, label FROM all_scores s JOIN split USING (run_id, row_idx) WHERE part = 'test'),
+{_ranking('scored', 'run_id, layer')}
+SELECT 'attn_score' AS probe, 'set_' || run_id AS dataset, '0.' || run_id || '00' AS temp, 'seed_42' AS seed,
+       CAST(0 AS BIGINT) AS trainable_params, layer AS layer_idx, CAST(NULL AS INT) AS configured_pca_dim,
+       {_r('auc')} AS auc, {_r('ap')} AS ap
+FROM auc JOIN ap USING (run_id, layer)"""

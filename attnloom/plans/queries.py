@@ -11,8 +11,10 @@ from ..functions import arrays as A
 from ..operators import attention as G
 from ..operators import hidden, joins, judge, labels, metrics, overlap, padding, probe, sampling, spectral
 from ..schema import EXAMPLE, HEAD, RUN
+from ..session import scratch_path
 from ..sources import catalog, qa, results
 from ..sources.prompts import JUDGE_PROMPTS, QA_PROMPTS
+from ..streaming import features as stream
 from . import features, studies
 from . import views as V
 
@@ -611,3 +613,64 @@ def probe_perturbation(spark, sf):
         G.diagonals(V.attention(spark, sf)), _split(spark, sf), ks=(1, 2), stds=(1e-3, 1e-1, None), repeats=2, pca_dim=4
     )
     return _metric_rows(fitted, "run_id", "top_k", "std", "rep")
+
+
+# ---------------------------------------------------------------- streaming and stored results
+
+
+@query
+def stream_attn_features(spark, sf):
+    """Shards written to files, streamed in several micro-batches with one shard sent twice."""
+    root = scratch_path(spark, "stream")
+    maps = V.attention(spark, sf).select(*HEAD, "w")
+    maps.repartition(4, *EXAMPLE).write.parquet(f"{root}/shards")
+    maps.filter(F.col("layer") == 0).write.mode("append").parquet(f"{root}/shards")
+    stream.run_available(spark, f"{root}/shards", f"{root}/features", f"{root}/checkpoint", maps.schema, files_per_batch=2)
+    stored = spark.read.parquet(f"{root}/features")
+    zipped = F.arrays_zip("attn_diag", "lap_diag")
+    return stored.select(*HEAD, _r("log_det"), F.posexplode(zipped).alias("k", "t")).select(
+        *HEAD, "log_det", "k", A.rounded(F.col("t.attn_diag")).alias("attn"), A.rounded(F.col("t.lap_diag")).alias("lap")
+    )
+
+
+@query
+def stored_diagonals(spark, sf):
+    """Decoding steps to stored diagonals through the catalog, read back run by run partition."""
+    store = catalog.Catalog(spark, scratch_path(spark, "catalog"))
+    steps = V.attention_steps(spark, sf)
+    ids = F.array_repeat(F.lit(7), F.col("n") + 1)
+    toks = V.embeddings(spark, sf).select(*EXAMPLE, ids.alias("token_ids"))
+    features.extract_diagonals(store, steps, toks, pad=0)
+    store.write("labels", V.labels(spark, sf))
+    store.write("split", _split(spark, sf).select(*EXAMPLE, "part"))
+    diags, labelled = features.load_inputs(store, [0, 1, 2, 3])
+    counted = diags.join(labelled, EXAMPLE).select(*EXAMPLE, "layer", "head", "label", A.total(F.col("lap_diag")).alias("lap_sum"))
+    return counted.select(*EXAMPLE, "layer", "head", "label", _r("lap_sum"))
+
+
+@query
+def probe_results_scan(spark, sf):
+    """Result files of every run written as JSON, then scanned recursively with run metadata."""
+    root = scratch_path(spark, "results")
+    measured = studies.attention_score_probe(G.diagonals(V.attention(spark, sf)), _split_arithmetic(spark, sf))
+    record = F.struct(
+        F.struct(F.lit(0).alias("trainable_params"), F.col("layer").alias("layer_idx")).alias("metadata"),
+        F.create_map(F.lit("auc"), F.col("auc"), F.lit("average_precision"), F.col("average_precision")).alias("metrics"),
+    )
+    name = F.concat(F.lit("temp_0."), F.col("run_id").cast("string"), F.lit("__prompt_qa_short__seed_42"))
+    bodies = measured.filter(F.col("part") == "test").groupBy(name.alias("run_name")).agg(
+        F.to_json(F.create_map(F.lit("attn_score"), F.collect_list(record))).alias("value")
+    )
+    bodies.write.partitionBy("run_name").text(root)
+    runs = bodies.select("run_name", F.concat(F.lit("set_"), F.substring("run_name", 8, 1)).alias("dataset"))
+    # partition folders are called run_name=<name>
+    listed = runs.withColumn("run_name", F.concat(F.lit("run_name="), "run_name"))
+    flat = results.load_results(spark, root, "*.txt", listed)
+    return flat.select(
+        "probe", "dataset", "temp", "seed", "trainable_params", "layer_idx", "configured_pca_dim",
+        A.rounded(F.col("metrics")["auc"]).alias("auc"), A.rounded(F.col("metrics")["average_precision"]).alias("ap"),
+    )
+
+
+def _split_arithmetic(spark, sf) -> DataFrame:
+    return sampling.stratified_split(V.labels(spark, sf), order=V.ARITHMETIC)

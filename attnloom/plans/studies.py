@@ -71,7 +71,7 @@ def generalization(
     )
     test_rows = labelled.filter(F.col("part") == "test").withColumnRenamed("run_id", "test_run")
     spread = test_rows.withColumn("train_run", F.explode(F.array(*[F.lit(r) for r in runs])))
-    scored = probe.score(spread, models, ["probe", "train_run"])
+    scored = cut_lineage(probe.score(spread, models, ["probe", "train_run"]))
     return metrics.probe_metrics(scored, ["probe", "train_run", "test_run"])
 
 

@@ -69,7 +69,7 @@ def with_models(
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         return per_block(key, left, right)
 
     return rows.groupBy(*names).cogroup(spread.groupBy(*names)).applyInPandas(run, schema)
@@ -77,17 +77,18 @@ def with_models(
 
 def tree_sum(parts: DataFrame, keys: Sequence[str], most_blocks: int) -> DataFrame:
     """Add the packed sums of all blocks of a probe, at most `FAN_IN` at a time."""
-    key_fields = fields(parts, keys)
-    while most_blocks > 1:
-        schema = T.StructType([*key_fields, T.StructField(BLOCK, T.IntegerType()), T.StructField(SUMS, T.BinaryType())])
-        names = [*keys, BLOCK]
+    names = [*keys, BLOCK]
+    schema = T.StructType(
+        [*fields(parts, keys), T.StructField(BLOCK, T.IntegerType()), T.StructField(SUMS, T.BinaryType())]
+    )
 
-        def add(key, pdf: pd.DataFrame, names=names) -> pd.DataFrame:
-            total = unpack(pdf[SUMS].iloc[0]).copy()
-            for data in pdf[SUMS].iloc[1:]:
-                total += unpack(data)
-            return keyed(key, names, **{SUMS: pack(total)})
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = unpack(pdf[SUMS].iloc[0]).copy()
+        for data in pdf[SUMS].iloc[1:]:
+            total += unpack(data)
+        return keyed(key, names, **{SUMS: pack(total)})
 
+    while most_blocks > 1:
         merged = parts.withColumn(BLOCK, F.expr(f"{BLOCK} div {FAN_IN}").cast("int"))
         parts = merged.groupBy(*names).applyInPandas(add, schema)
         most_blocks = -(-most_blocks // FAN_IN)

@@ -13,7 +13,8 @@ from ..schema import EXAMPLE
 def zip_strict(left: DataFrame, right: DataFrame, on: Sequence[str] = EXAMPLE) -> DataFrame:
     """Join two tables that must hold exactly the same keys; any key missing on a side raises.
 
-    One full join carries both the result and the check.
+    One full join carries both the result and the check; the check sits in the
+    last key column, so it runs whenever that column is read.
     """
     on = list(on)
     both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), on, "full")

@@ -77,10 +77,13 @@ def mean_log(values: Column) -> Column:
 
 def top_k(values: Column, k: int) -> Column:
     """The k largest, descending. Fewer than k values is an error: padding would change the features."""
-    short = F.size(values) < k
-    return F.when(short, F.raise_error(F.lit(f"sequence shorter than top-k {k}"))).otherwise(
-        F.slice(F.sort_array(values, asc=False), 1, k)
-    )
+    return first_k(F.sort_array(values, asc=False), k)
+
+
+def first_k(descending: Column, k: int) -> Column:
+    """`top_k` of an array that is sorted already."""
+    short = F.size(descending) < k
+    return F.when(short, F.raise_error(F.lit(f"sequence shorter than top-k {k}"))).otherwise(F.slice(descending, 1, k))
 
 
 def describe(descending: Column) -> Column:

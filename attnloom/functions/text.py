@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from string import Formatter
 
 import pandas as pd
@@ -43,17 +44,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(count < 1, F.array().cast("array<string>")).otherwise(grams)
 
 
-def numbered(sorted_tokens: Column) -> Column:
-    """Mark repeats (`t`, `t` -> `t#0`, `t#1`) so that bag overlap becomes set overlap."""
-    return F.transform(
-        sorted_tokens,
-        lambda t, i: F.concat(t, F.lit("\u0002"), (i + 1 - F.array_position(sorted_tokens, t)).cast("string")),
-    )
-
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def bag_overlaps(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Multiset intersection of one token array with each of several.
 
-def bag_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two arrays that went through `numbered`."""
-    return F.size(F.array_intersect(left, right))
+    Built-in array functions are set-based; numbering the repeats with them is
+    quadratic in the text length and measured three times slower.
+    """
+    counts = (Counter(a) for a in left)
+    return pd.Series([[(c & Counter(b)).total() for b in many] for c, many in zip(counts, right)])
 
 
 def _lcs(left, right) -> int:

@@ -27,14 +27,15 @@ ROW_SUM_TOLERANCE = 1e-2  # fixed value: allowed gap between a row sum and 1
 # ---------------------------------------------------------------- stacking and padding
 
 
-def stack_steps(steps: DataFrame, head: Sequence[str] = HEAD) -> DataFrame:
+def stack_steps(steps: DataFrame, head: Sequence[str] = HEAD, example: Sequence[str] = EXAMPLE) -> DataFrame:
     """Stack decoding steps into one square map per head, keys padded with zeros on the right.
 
     The steps of a head are disjoint and complete, so the position of a query
-    row is simply its place in (gen_step, q_in_step) order.
+    row is simply its place in (gen_step, q_in_step) order. The shuffle is by
+    example, which also serves a following join with the tokens of the example.
     """
     ordered = F.array_sort(F.collect_list(F.struct("gen_step", "q_in_step", "weights")))
-    stacked = steps.groupBy(*head).agg(ordered.alias("_rows"))
+    stacked = steps.repartition(*example).groupBy(*head).agg(ordered.alias("_rows"))
     n = F.size("_rows")
     w = F.transform(
         "_rows",
@@ -55,8 +56,14 @@ def token_range(tokens: DataFrame, pad: int, example: Sequence[str] = EXAMPLE) -
 def strip_padding(
     matrices: DataFrame, tokens: DataFrame, pad: int, check: bool = True, example: Sequence[str] = EXAMPLE
 ) -> DataFrame:
-    """Drop edge padding from rows and columns; with `check`, rows that do not sum to 1 raise."""
-    joined = matrices.join(token_range(tokens, pad, example), list(example))
+    """Drop edge padding from rows and columns; with `check`, rows that do not sum to 1 raise.
+
+    Maps that carry `first` and `last` already (see `token_range`) are cut
+    without a join, which spares the shuffle of a large table of maps.
+    """
+    joined = matrices
+    if not {"first", "last"} <= set(matrices.columns):
+        joined = matrices.join(token_range(tokens, pad, example), list(example))
     first, last = F.col("first"), F.col("last")
     w = F.transform(A.cut(F.col("w"), first, last), lambda row: A.cut(row, first, last))
     stripped = joined.withColumn("w", w).withColumn("n", last - first + 1).drop("first", "last")

@@ -24,15 +24,7 @@ def running_totals(
     """Add `below_<c>`, the sum of `c` over all rows of the group that come strictly before,
     and `all_<c>`, its sum over the whole group."""
     group, bucket = list(group), list(bucket)
-    totals = df.groupBy(*group, *bucket).agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
-    earlier_buckets = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    every_bucket = Window.partitionBy(*group)
-    offsets = totals.select(
-        *group,
-        *bucket,
-        *[F.coalesce(F.sum(f"_total_{c}").over(earlier_buckets), F.lit(0)).alias(f"_before_{c}") for c in sums],
-        *[F.sum(f"_total_{c}").over(every_bucket).alias(f"all_{c}") for c in sums],
-    )
+    offsets = _offsets(df, group, bucket, sums)
     inside = Window.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(offsets, [*group, *bucket])
     return joined.select(
@@ -45,6 +37,36 @@ def running_totals(
     )
 
 
+def _offsets(df: DataFrame, group: list[str], bucket: list[str], sums: Sequence[str]) -> DataFrame:
+    """Sum before each bucket and over the whole group.
+
+    Nested buckets are handled level by level, so a window holds the children
+    of one parent bucket and never all buckets of a group.
+    """
+    totals = df.groupBy(*group, *bucket).agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
+    offsets = None
+    for depth in range(1, len(bucket) + 1):
+        parent, level = [*group, *bucket[: depth - 1]], bucket[:depth]
+        at_level = totals
+        if depth < len(bucket):
+            at_level = totals.groupBy(*group, *level).agg(*[F.sum(f"_total_{c}").alias(f"_total_{c}") for c in sums])
+        siblings = Window.partitionBy(*parent)
+        earlier = siblings.orderBy(bucket[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        before = [F.coalesce(F.sum(f"_total_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums]
+        if offsets is None:
+            whole = [F.sum(f"_total_{c}").over(siblings).alias(f"all_{c}") for c in sums]
+            offsets = at_level.select(*group, *level, *before, *whole)
+        else:
+            inner = at_level.select(*group, *level, *[b.alias(f"_inner_{c}") for b, c in zip(before, sums)])
+            offsets = inner.join(offsets, parent).select(
+                *group,
+                *level,
+                *[(F.col(f"_before_{c}") + F.col(f"_inner_{c}")).alias(f"_before_{c}") for c in sums],
+                *[f"all_{c}" for c in sums],
+            )
+    return offsets
+
+
 def rank_in_group(
     df: DataFrame, group: Sequence[str], bucket: Column | Sequence[Column], order: Sequence[Column], name: str
 ) -> DataFrame:

@@ -28,22 +28,18 @@ def squad_metrics(answers: DataFrame, example: Sequence[str] = EXAMPLE) -> DataF
     tokens = base.select(
         *example,
         F.exists("_g", lambda g: g == F.col("_p")).alias("_exact"),
-        F.array_sort(X.words(F.col("_p"))).alias("_pt"),
-        F.transform("_g", lambda g: F.array_sort(X.words(g))).alias("_gt"),
-    )
-    marked = tokens.select(
-        *example, "_exact", X.numbered(F.col("_pt")).alias("_pt"), F.transform("_gt", X.numbered).alias("_gt")
+        X.words(F.col("_p")).alias("_pt"),
+        F.transform("_g", X.words).alias("_gt"),
     )
+    counted = tokens.withColumn("_same", X.bag_overlaps("_pt", "_gt"))
 
-    def score(g: Column) -> Column:
+    def score(same: Column, g: Column) -> Column:
         both_empty = (F.size("_pt") == 0) & (F.size(g) == 0)
-        return F.when(both_empty, 1.0).otherwise(
-            _f1(X.bag_overlap(F.col("_pt"), g), F.size("_pt"), F.size(g))
-        )
+        return F.when(both_empty, 1.0).otherwise(_f1(same, F.size("_pt"), F.size(g)))
 
-    return marked.select(
+    return counted.select(
         *example,
-        F.array_max(F.transform("_gt", score)).alias("squad_f1"),
+        F.array_max(F.zip_with("_same", "_gt", score)).alias("squad_f1"),
         F.col("_exact").cast("double").alias("squad_exact"),
     )
 
@@ -69,15 +65,11 @@ def rouge_n(answers: DataFrame, n: int, example: Sequence[str] = EXAMPLE) -> Dat
         F.transform("gold", X.rouge_tokens).alias("_g"),
     )
     grams = tokens.select(
-        *example,
-        F.array_sort(X.ngrams(F.col("_p"), n)).alias("_p"),
-        F.transform("_g", lambda g: F.array_sort(X.ngrams(g, n))).alias("_g"),
-    )
-    marked = grams.select(*example, X.numbered(F.col("_p")).alias("_p"), F.transform("_g", X.numbered).alias("_g"))
-    scores = F.transform(
-        "_g", lambda g: _scores(X.bag_overlap(F.col("_p"), g), F.size("_p"), F.size(g))
+        *example, X.ngrams(F.col("_p"), n).alias("_p"), F.transform("_g", lambda g: X.ngrams(g, n)).alias("_g")
     )
-    return marked.select(*example, scores.alias("_s")).select(*example, *_best(F.col("_s"), f"rouge{n}"))
+    counted = grams.withColumn("_same", X.bag_overlaps("_p", "_g"))
+    scores = F.zip_with("_same", "_g", lambda same, g: _scores(same, F.size("_p"), F.size(g)))
+    return counted.select(*example, scores.alias("_s")).select(*example, *_best(F.col("_s"), f"rouge{n}"))
 
 
 def rouge_l(answers: DataFrame, example: Sequence[str] = EXAMPLE) -> DataFrame:

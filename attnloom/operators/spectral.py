@@ -47,7 +47,11 @@ def attention_score(diags: DataFrame, diag: str = "attn_diag", layer: Sequence[s
     Heads are summed in order, so the score does not depend on how Spark merges
     partial sums and equal inputs give equal scores.
     """
-    heads = log_det(diags, diag, [*layer, "head"]).groupBy(*layer).agg(
+    return _summed_heads(log_det(diags, diag, [*layer, "head"]), layer)
+
+
+def _summed_heads(log_dets: DataFrame, layer: Sequence[str]) -> DataFrame:
+    heads = log_dets.groupBy(*layer).agg(
         F.array_sort(F.collect_list(F.struct("head", "log_det"))).alias("_heads")
     )
     summed = F.aggregate("_heads", F.lit(0.0), lambda acc, h: acc + h["log_det"])
@@ -57,7 +61,9 @@ def attention_score(diags: DataFrame, diag: str = "attn_diag", layer: Sequence[s
 def attention_score_with_all(diags: DataFrame, diag: str = "attn_diag", example: Sequence[str] = EXAMPLE) -> DataFrame:
     """Per-layer scores plus their mean under `layer = 'all'`; one shuffle by example."""
     layer = [*example, "layer"]
-    per_layer = attention_score(diags.repartition(*example), diag, layer)
+    # reduce to one number per head before the shuffle that serves both levels
+    log_dets = log_det(diags, diag, [*layer, "head"]).repartition(*example)
+    per_layer = _summed_heads(log_dets, layer)
     packed = per_layer.groupBy(*example).agg(
         F.array_sort(F.collect_list(F.struct("layer", "attn_score"))).alias("_layers")
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attention, hidden, joins, spectral
-from ..schema import EXAMPLE
+from ..functions import arrays as A
+from ..operators import attention, hidden, joins
+from ..schema import EXAMPLE, HEAD
 from ..sources.catalog import Catalog
 
 PROBE = ["run_id", "probe", "layer", "top_k"]
@@ -30,39 +31,45 @@ def load_inputs(catalog: Catalog, runs: Sequence[str]) -> tuple[DataFrame, DataF
     return catalog.read("diagonals", runs), labelled
 
 
-def _family(df: DataFrame, probe: str, layer, top_k: int | None) -> DataFrame:
-    return df.select(
-        *EXAMPLE,
-        F.lit(probe).alias("probe"),
-        layer.cast("string").alias("layer"),
-        F.lit(top_k).cast("int").alias("top_k"),
-        "features",
-    )
-
-
 def spectral_features(
     diags: DataFrame, top_ks: Sequence[int], per_layer: bool = True, all_layers: bool = True,
     families: Sequence[str] = ("attn_log_det", "attn_eigval_topk", "laplacian_eigval_topk"),
 ) -> DataFrame:
-    """`(run_id, row_idx, probe, layer, top_k, features)` for all spectral probes.
+    """`(run_id, row_idx, probe, layer, top_k, features)` for all spectral probes, from one scan.
 
-    top_k is 0 for log-determinants, which have none. Each family reduces a
-    head to a few numbers before vectors are assembled, so the shuffle carries
-    features and not maps.
+    top_k is 0 for log-determinants, which have none. A head is sorted once and
+    reduced to the values of every family before the only shuffle, which is by
+    example; the vectors per layer and over all layers are both built from it.
     """
-    sources = {"attn_log_det": [(0, spectral.log_det(diags), "log_det")]} if "attn_log_det" in families else {}
-    for family, diag in (("attn_eigval_topk", "attn_diag"), ("laplacian_eigval_topk", "lap_diag")):
+    def variant(family: str, k: int, values: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), F.lit(k).alias("top_k"), values.alias("vals"))
+
+    variants = []
+    if "attn_log_det" in families:
+        variants.append(variant("attn_log_det", 0, F.array(A.mean_log(F.col("attn_diag")))))
+    for family, column in (("attn_eigval_topk", "_attn"), ("laplacian_eigval_topk", "_lap")):
         if family in families:
-            sources[family] = [(k, spectral.top_k(diags, k, diag), "vals") for k in top_ks]
+            variants += [variant(family, k, A.first_k(F.col(column), k)) for k in top_ks]
+    heads = diags.select(
+        *HEAD, "attn_diag", F.sort_array("attn_diag", asc=False).alias("_attn"), F.sort_array("lap_diag", asc=False).alias("_lap")
+    ).select(*HEAD, F.inline(F.array(*variants)))
+    group = [*EXAMPLE, "family", "top_k"]
+    layers = heads.repartition(*EXAMPLE).groupBy(*group, "layer").agg(
+        F.array_sort(F.collect_list(F.struct("head", "vals"))).alias("_heads")
+    ).select(*group, "layer", F.flatten(F.transform("_heads", lambda h: h["vals"])).alias("features"))
+
+    def named(df: DataFrame, suffix: str, layer) -> DataFrame:
+        return df.select(
+            *EXAMPLE, F.concat("family", F.lit(suffix)).alias("probe"), layer.cast("string").alias("layer"), "top_k", "features"
+        )
+
     tables = []
-    for family, variants in sources.items():
-        for k, per_head, column in variants:
-            if per_layer:
-                flat = spectral.flatten_per_layer(per_head, column)
-                tables.append(_family(flat, f"{family}_per_layer", F.col("layer"), k))
-            if all_layers:
-                flat = spectral.flatten_features(per_head, column)
-                tables.append(_family(flat, f"{family}_all_layers", F.lit("all"), k))
+    if per_layer:
+        tables.append(named(layers, "_per_layer", F.col("layer")))
+    if all_layers:
+        joined = layers.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("_layers"))
+        flat = joined.select(*group, F.flatten(F.transform("_layers", lambda l: l["features"])).alias("features"))
+        tables.append(named(flat, "_all_layers", F.lit("all")))
     return joins.concat_rows(*tables)
 
 

@@ -77,10 +77,10 @@ def _rouge_tokens(x: str) -> str:
     return f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
-def _overlap(prefix: str, tokens_p: str, tokens_g: str) -> str:
+def _overlap(prefix: str, tokens_p: str, tokens_g: str, source: str = "golds") -> str:
     """Bag overlap of every (answer, gold) pair: CTEs `<prefix>_pairs` and `<prefix>_f`."""
     return f"""{prefix}_pairs AS (
-  SELECT run_id, row_idx, gold_idx, {tokens_p} AS pt, {tokens_g} AS gt FROM golds),
+  SELECT run_id, row_idx, gold_idx, {tokens_p} AS pt, {tokens_g} AS gt FROM {source}),
 {prefix}_p AS (SELECT row_idx, gold_idx, t, count(*) AS c FROM (SELECT row_idx, gold_idx, unnest(pt) AS t FROM {prefix}_pairs) GROUP BY ALL),
 {prefix}_g AS (SELECT row_idx, gold_idx, t, count(*) AS c FROM (SELECT row_idx, gold_idx, unnest(gt) AS t FROM {prefix}_pairs) GROUP BY ALL),
 {prefix}_o AS (
@@ -394,13 +394,12 @@ ORACLES["squad_f1"] = f"WITH {ANSWERS}, {SQUAD} SELECT run_id, row_idx, {_r('squ
 ORACLES["rouge_l"] = f"WITH RECURSIVE {ANSWERS}, {GOLDS}, {ROUGE_L} SELECT run_id, row_idx, {_r('f')} AS rougeL_fmeasure FROM rouge_l"
 
 
-def _bigrams(x: str) -> str:
-    t = _rouge_tokens(x)
-    return f"list_transform(range(1, len({t})), lambda i: ({t})[i] || ' ' || ({t})[i + 1])"
+def _bigrams(tokens: str) -> str:
+    return f"list_transform(range(1, len({tokens})), lambda i: {tokens}[i] || ' ' || {tokens}[i + 1])"
 
 
 ORACLES["rouge_n"] = f"""WITH {ANSWERS}, {GOLDS}, {_overlap('r1', _rouge_tokens('prediction'), _rouge_tokens('g'))},
-{_overlap('r2', _bigrams('prediction'), _bigrams('g'))}
+{_overlap('r2', _bigrams('pt'), _bigrams('gt'), 'r1_pairs')}
 SELECT a.run_id, row_idx, {_r('a.f')} AS rouge1_fmeasure, {_r('b.f')} AS rouge2_fmeasure
 FROM r1_f a JOIN r2_f b USING (row_idx)"""
 ORACLES["qa_metrics_reduced"] = f"""WITH RECURSIVE {ANSWERS}, {SQUAD}, {ROUGE_L}, m AS (
@@ -546,3 +545,10 @@ SELECT 'attn_score' AS probe, 'set_' || run_id AS dataset, '0.' || run_id || '00
        CAST(0 AS BIGINT) AS trainable_params, layer AS layer_idx, CAST(NULL AS INT) AS configured_pca_dim,
        {_r('auc')} AS auc, {_r('ap')} AS ap
 FROM auc JOIN ap USING (run_id, layer)"""
+ORACLES["perturbation_stats"] = f"""WITH sizes AS ({ORACLES["perturbation_l2"]})
+SELECT {_r('avg(avg_perturbation_fraction)', 5)} AS mean, {_r('min(avg_perturbation_fraction)', 5)} AS min,
+       {_r('max(avg_perturbation_fraction)', 5)} AS max, {_r('stddev_samp(avg_perturbation_fraction)', 5)} AS std
+FROM sizes WHERE std IS NOT NULL"""
+ORACLES["hidden_states_scan"] = f"""WITH {STATES}, {STATE_TOKENS}, {_LAST}
+SELECT run_id, s.row_idx, layer, which, s.tok_idx, 3 AS input_length, {_r('sum(v)')} AS vec_sum
+FROM states s JOIN chosen c ON c.row_idx = s.row_idx AND c.tok_idx = s.tok_idx GROUP BY ALL"""

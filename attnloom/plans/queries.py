@@ -421,6 +421,16 @@ def perturbation_l2(spark, sf):
     return sizes.select("run_id", "std", "rep", _r("avg_diff_l2_norm"), _r("avg_perturbation_fraction"))
 
 
+@query
+def perturbation_stats(spark, sf):
+    """Spread of the share of perturbed cells over all perturbed settings."""
+    cells = sampling.perturb(
+        G.diagonals(V.attention(spark, sf)), PERTURBATION_STDS, 2, uniform=V.arithmetic_uniform
+    )
+    summary = sampling.perturbation_summary(sampling.perturbation_size(cells))
+    return summary.select(*[A.rounded(F.col(c), 5).alias(c) for c in ("mean", "min", "max", "std")])
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -648,6 +658,17 @@ def stored_diagonals(spark, sf):
     return counted.select(*EXAMPLE, "layer", "head", "label", _r("lap_sum"))
 
 
+@query
+def hidden_states_scan(spark, sf):
+    """Hidden states stored by run and layer, loaded back with the two reference tokens selected."""
+    store = catalog.Catalog(spark, scratch_path(spark, "states"))
+    toks = hidden.token_masks(V.state_tokens(spark, sf), V.SPECIAL_IDS, V.ADDED_IDS)
+    store.write_stored_features("hidden_states", {"tokens": toks, "hidden_states": V.hidden_states(spark, sf)})
+    chosen = catalog.load_hidden_states(store, layer="all")
+    summed = A.total(F.transform("vec", lambda x: x.cast("double")))
+    return chosen.select(*EXAMPLE, "layer", "which", "tok_idx", "input_length", A.rounded(summed).alias("vec_sum"))
+
+
 @query
 def probe_results_scan(spark, sf):
     """Result files of every run written as JSON, then scanned recursively with run metadata."""

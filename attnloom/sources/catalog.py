@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import hidden, joins, judge
+from ..operators import hidden, joins, judge, padding
 from ..schema import EXAMPLE, RUN
 
 # fixed values: artefacts of a run and their partition columns
@@ -67,15 +67,14 @@ class Catalog:
     def write(self, artefact: str, df: DataFrame, overwrite: bool = False) -> None:
         """Write a table; existing data is refused unless `overwrite`.
 
-        Rows are clustered by partition first, with the row key as a second
-        key, so a large run is spread over many tasks and files.
+        Rows are rebalanced by partition: small runs share a task, and the
+        rows of a run that dominates are split over as many tasks as its size
+        asks for.
         """
-        keys = ARTEFACTS[artefact]
-        present = [k for k in keys if k in df.columns]
-        spread = [c for c in ("row_idx",) if c in df.columns]
+        present = [k for k in ARTEFACTS[artefact] if k in df.columns]
         mode = "overwrite" if overwrite else "errorifexists"
-        clustered = df.repartition(*present, F.pmod(F.xxhash64(*spread), F.lit(64))) if spread else df
-        clustered.write.mode(mode).partitionBy(*present).parquet(self.path(artefact))
+        balanced = df.hint("rebalance", *[F.col(k) for k in present])
+        balanced.write.mode(mode).partitionBy(*present).parquet(self.path(artefact))
 
     def append_new(self, artefact: str, df: DataFrame, key: Sequence[str]) -> None:
         """Append only rows whose key is not stored yet."""
@@ -157,6 +156,27 @@ def qa_with_metrics(qa: DataFrame, qa_metrics: DataFrame, example: Sequence[str]
     return qa.join(qa_metrics.drop("answers"), list(example))
 
 
+def load_hidden_states(
+    store: Catalog, runs: Sequence[str] | None = None, layer: str | int | None = None,
+    remove_padding: bool = False, pad: int | None = None, example: Sequence[str] = EXAMPLE,
+) -> DataFrame:
+    """Stored hidden states with the input length of their example; nothing stored is an error.
+
+    `layer` selects the two reference tokens of `'all'`, `'last'` or one layer.
+    Selection refers to original positions, so it excludes removing padding.
+    """
+    if remove_padding and layer is not None:
+        raise NotImplementedError("removing padding is not supported together with a selection")
+    states = store.read("hidden_states", runs, layer if isinstance(layer, int) else None, required=True)
+    tokens = store.read("tokens", runs)
+    if remove_padding:
+        return padding.strip_hidden_states(states, tokens, pad, example)
+    lengths = tokens.select(*example, "input_length")
+    if layer is None:
+        return states.join(lengths, list(example))
+    return hidden.select_last_tokens(states, tokens, layer, example).join(lengths, list(example))
+
+
 def single_layer_dataset(
     states: DataFrame, answers: DataFrame, metrics: DataFrame, judges: DataFrame, labels: DataFrame,
     layer: int, valid: bool = False, example: Sequence[str] = EXAMPLE,

@@ -34,21 +34,24 @@ def read_shards(
     return reader.parquet(path)
 
 
-def append_once(target: str, key: Sequence[str] = HEAD):
+def append_once(target: str, key: Sequence[str] = HEAD, run: str = "run_id"):
     """A `foreachBatch` sink that stores every key once, also when a batch is replayed.
 
     Copies inside the batch collapse first, then keys already stored are left
-    out; both compare narrow keys by hash shuffle.
+    out. Features are partitioned by run and only the runs of the batch are
+    looked up, by their key columns.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(list(key))
+        runs = [r[0] for r in batch.select(run).distinct().collect()]
         try:
-            stored = batch.sparkSession.read.parquet(target).select(*key)
-            fresh = fresh.join(stored, list(key), "left_anti")
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(target)
+            known = stored.filter(F.col(run).isin(runs)).select(*key)
+            fresh = fresh.join(known, list(key), "left_anti")
         except AnalysisException:
             pass  # nothing stored yet
-        fresh.write.mode("append").parquet(target)
+        fresh.write.mode("append").partitionBy(run).parquet(target)
 
     return sink
 

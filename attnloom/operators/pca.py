@@ -11,9 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,16 +113,12 @@ def explained_variance(components: DataFrame, keys: Sequence[str]) -> DataFrame:
 def wide_components(train: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and components of one probe with wide features.
 
-    The rows stay distributed; only the mean and the dim x d components reach
-    the driver, whose size depends on the model and not on the number of rows.
+    Centring and the truncated SVD run on distributed rows in the JVM. Only the
+    mean and the dim x d components reach the driver; their size depends on the
+    model and not on the number of rows.
     """
-    mean = np.array(
-        train.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i")
-        .select("m").toPandas()["m"]
-    )
-    shift = train.sparkSession.sparkContext.broadcast(mean)
-    centred = train.select(array_to_vector("features").alias("v")).rdd.map(
-        lambda r: Vectors.dense(r["v"].toArray() - shift.value)
-    )
-    found = RowMatrix(centred).computeSVD(dim, computeU=False)
-    return mean, found.V.toArray().T
+    vectors = train.select(array_to_vector("features").alias("v"))
+    scaler = StandardScaler(inputCol="v", outputCol="centred", withMean=True, withStd=False).fit(vectors)
+    centred = scaler.transform(vectors).select("centred")
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(centred))
+    return scaler.mean.toArray(), rows.computeSVD(dim, computeU=False).V.toArray().T

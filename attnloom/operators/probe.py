@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -364,6 +365,10 @@ def run_probes(
     Predictions are narrow and used several times, so they are written once;
     the metrics then start from them and not from the feature pipeline.
     """
-    models = cut_lineage(fit_probes(features, keys, row, pca_dim))
-    predictions = cut_lineage(score(features, models, keys))
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)  # read by sizes, fit and score
+    try:
+        models = cut_lineage(fit_probes(features, keys, row, pca_dim))
+        predictions = cut_lineage(score(features, models, keys))
+    finally:
+        features.unpersist()
     return probe_results(predictions, models, keys), predictions

@@ -68,7 +68,7 @@ def spectral_features(
         tables.append(named(layers, "_per_layer", F.col("layer")))
     if all_layers:
         joined = layers.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("layer", "features"))).alias("_layers"))
-        flat = joined.select(*group, F.flatten(F.transform("_layers", lambda l: l["features"])).alias("features"))
+        flat = joined.select(*group, F.flatten(F.transform("_layers", lambda part: part["features"])).alias("features"))
         tables.append(named(flat, "_all_layers", F.lit("all")))
     return joins.concat_rows(*tables)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def generalization(
     `features` has one row per example and `probe`. Test rows are repeated once
     per model run (a short list) and meet their model in an equi-join.
     """
-    labelled = S.labelled(features, split)
+    labelled = S.labelled(features, split).persist(StorageLevel.MEMORY_AND_DISK)
     train_side = labelled.filter(F.col("part") == "train").withColumnRenamed("run_id", "train_run")
     models = cut_lineage(
         probe.fit_probes(train_side, ["probe", "train_run"], ["train_run", "row_idx"], pca_dim)
@@ -72,6 +73,7 @@ def generalization(
     test_rows = labelled.filter(F.col("part") == "test").withColumnRenamed("run_id", "test_run")
     spread = test_rows.withColumn("train_run", F.explode(F.array(*[F.lit(r) for r in runs])))
     scored = cut_lineage(probe.score(spread, models, ["probe", "train_run"]))
+    labelled.unpersist()
     return metrics.probe_metrics(scored, ["probe", "train_run", "test_run"])
 
 

@@ -67,7 +67,7 @@ def with_models(
     names = [*keys, BLOCK]
     spread = models.withColumn(BLOCK, F.explode(F.sequence(F.lit(0), F.col(BLOCKS) - 1))).drop(BLOCKS)
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         return per_block(key, left, right)
@@ -82,7 +82,7 @@ def tree_sum(parts: DataFrame, keys: Sequence[str], most_blocks: int) -> DataFra
         [*fields(parts, keys), T.StructField(BLOCK, T.IntegerType()), T.StructField(SUMS, T.BinaryType())]
     )
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = unpack(pdf[SUMS].iloc[0]).copy()
         for data in pdf[SUMS].iloc[1:]:
             total += unpack(data)

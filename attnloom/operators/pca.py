@@ -57,7 +57,7 @@ def fit_components(train: DataFrame, sizes: DataFrame, keys: Sequence[str], dim:
         [*key_fields, T.StructField(B.BLOCK, T.IntegerType()), T.StructField(B.SUMS, T.BinaryType())]
     )
 
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["features"].to_numpy())
         return B.keyed(key, names, **{B.SUMS: B.pack(np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))})
 
@@ -73,7 +73,7 @@ def fit_components(train: DataFrame, sizes: DataFrame, keys: Sequence[str], dim:
         ]
     )
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["n_features"].iloc[0])
         s = B.unpack(pdf[B.SUMS].iloc[0])
         n, mean = s[0], s[1 : d + 1] / s[0]
@@ -88,6 +88,18 @@ def fit_components(train: DataFrame, sizes: DataFrame, keys: Sequence[str], dim:
     return total.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def fit_pca(features: DataFrame, keys: Sequence[str], row: Sequence[str], dim: int) -> DataFrame:
+    """Components of the training rows of `(keys, row, part, features)`, for all groups at once."""
+    keys = list(keys)
+    train = features.filter(F.col("part") == "train")
+    sizes = train.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_train"), F.max(F.size("features")).alias("n_features")
+    )
+    largest = sizes.agg(F.max("n_train").alias("n")).first()["n"]
+    blocked = B.assign_blocks(train.select(*dict.fromkeys([*keys, *row]), "features"), sizes, keys, row)
+    return fit_components(blocked, sizes, keys, dim, -(-largest // B.BLOCK_ROWS))
+
+
 def project(rows: DataFrame, models: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Rows in component space; `models` carries `_blocks`."""
     keep = list(keep)
@@ -95,7 +107,7 @@ def project(rows: DataFrame, models: DataFrame, keys: Sequence[str], keep: Seque
         [*B.fields(rows, [*keys, B.BLOCK, *keep]), T.StructField("features", T.ArrayType(T.DoubleType()))]
     )
 
-    def per_block(key, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def per_block(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         mean = B.unpack(model["mean"].iloc[0])
         components = B.unpack(model["components"].iloc[0]).reshape(-1, len(mean))
         x = np.stack(pdf["features"].to_numpy())

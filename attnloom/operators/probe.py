@@ -111,7 +111,7 @@ def _fit_in_tasks(
     weight = balanced_weight(F.col("n_train"), F.col("n_1"), F.col("label"))
     train = train.select(*keys, F.col("label").cast("double").alias("y"), weight.alias("s"), "features")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, s = np.stack(pdf["features"].to_numpy()), pdf["y"].to_numpy(), pdf["s"].to_numpy()
         dim = P.clamp_dim(pca_dim, x.shape[1], x.shape[0])
         offset, axes = np.zeros(x.shape[1]), None
@@ -222,21 +222,21 @@ def _newton(
     )
     state_schema = T.StructType([*key_fields, *_STATE])
 
-    def begin(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         zeros = B.pack(np.zeros(int(pdf["_d"].iloc[0]) + 1))
         return B.keyed(
             key, keys, **{B.BLOCKS: int(pdf[B.BLOCKS].iloc[0])}, _beta=zeros, _best=zeros, _step=zeros,
             _loss=float("inf"), _slope=0.0, _t=1.0, done=False, iterations=0,
         )
 
-    def sums(key, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def sums(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         beta = B.unpack(model["_beta"].iloc[0])
         x = np.column_stack([np.stack(pdf["features"].to_numpy()), np.ones(len(pdf))])
         loss, gradient, hessian = objective(x, pdf["y"].to_numpy(), pdf["s"].to_numpy(), beta)
         packed = B.pack(np.concatenate([[loss], gradient, hessian.ravel()]))
         return B.keyed(key, names, **{B.SUMS: packed})
 
-    def advance(key, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def advance(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         m = model.iloc[0]
         beta = B.unpack(m["_beta"])
         d = len(beta)
@@ -271,7 +271,7 @@ def _collapse(
     if components is not None:
         facts = facts.join(components.select(*keys, "pca_dim", "mean", "components"), keys)
 
-    def finish(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.iloc[0]
         beta = B.unpack(m["_best"])
         coef, intercept, dim = beta[:-1], float(beta[-1]), None

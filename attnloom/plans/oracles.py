@@ -552,3 +552,55 @@ FROM sizes WHERE std IS NOT NULL"""
 ORACLES["hidden_states_scan"] = f"""WITH {STATES}, {STATE_TOKENS}, {_LAST}
 SELECT run_id, s.row_idx, layer, which, s.tok_idx, 3 AS input_length, {_r('sum(v)')} AS vec_sum
 FROM states s JOIN chosen c ON c.row_idx = s.row_idx AND c.tok_idx = s.tok_idx GROUP BY ALL"""
+
+# ---------------------------------------------------------------- probes with closed forms
+
+# Newton steps of a one-feature logistic regression with balanced classes and an L2 penalty, from zero
+NEWTON = f"""{SCORE}, {LABELS}, {SPLIT}, f AS (
+  SELECT s.run_id, s.row_idx, avg(score) AS x, any_value(label) AS y, any_value(part) AS part
+  FROM layer_scores s JOIN split USING (run_id, row_idx) GROUP BY s.run_id, s.row_idx),
+train AS (
+  SELECT *, count(*) OVER (PARTITION BY run_id) / (2.0 * count(*) OVER (PARTITION BY run_id, y)) AS s FROM f WHERE part = 'train'),
+newton AS (
+  SELECT run_id, 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM train GROUP BY run_id
+  UNION ALL
+  SELECT run_id, i + 1, w - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  FROM (
+    SELECT run_id, i, w, b, sum(s * (p - y) * x) + w AS g1, sum(s * (p - y)) AS g2,
+           sum(s * p * (1 - p) * x * x) + 1 AS h11, sum(s * p * (1 - p) * x) AS h12, sum(s * p * (1 - p)) AS h22
+    FROM (SELECT r.run_id, i, w, b, x, y, s, 1 / (1 + exp(-(w * x + b))) AS p FROM newton r JOIN train t ON t.run_id = r.run_id WHERE i < 15)
+    GROUP BY run_id, i, w, b)),
+model AS (SELECT run_id, w, b FROM newton WHERE i = 15)"""
+
+
+def _thresholded(group: str) -> str:
+    return f"""c AS (
+  SELECT {group}, count(*) FILTER (label = 1 AND score > 0.5) AS tp, count(*) FILTER (label = 0 AND score > 0.5) AS fp,
+         count(*) FILTER (label = 1 AND score <= 0.5) AS fn FROM scored GROUP BY {group}),
+m AS (
+  SELECT {group}, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall,
+         coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM c)"""
+
+
+_FIVE = f"""{_r('auc')} AS auc, {_r('ap')} AS average_precision, {_r('precision')} AS precision, {_r('recall')} AS recall, {_r('f1')} AS f1"""
+ORACLES["probe_single_feature"] = f"""WITH RECURSIVE {NEWTON},
+scored AS (SELECT f.run_id, part, y AS label, 1 / (1 + exp(-(w * x + b))) AS score FROM f JOIN model USING (run_id)),
+{_ranking('scored', 'run_id, part')}, {_thresholded('run_id, part')},
+sizes AS (SELECT run_id, count(*) AS n_train FROM train GROUP BY run_id)
+SELECT run_id, part, n_train, 2 AS trainable_params, {_r('w', 5)} AS coef, {_r('b', 5)} AS intercept, {_FIVE}
+FROM auc JOIN ap USING (run_id, part) JOIN m USING (run_id, part) JOIN model USING (run_id) JOIN sizes USING (run_id)"""
+ORACLES["probe_transfer"] = f"""WITH RECURSIVE {NEWTON},
+scored AS (
+  SELECT model.run_id AS train_run, f.run_id AS test_run, y AS label, 1 / (1 + exp(-(w * x + b))) AS score
+  FROM model, f WHERE part = 'test'),
+{_ranking('scored', 'train_run, test_run')}, {_thresholded('train_run, test_run')}
+SELECT train_run, test_run, n_pos, n_neg, {_FIVE}
+FROM auc JOIN ap USING (train_run, test_run) JOIN m USING (train_run, test_run)"""
+ORACLES["pca_variance"] = f"""WITH {SCORE}, {LABELS}, {SPLIT}, two AS (
+  SELECT s.run_id, s.row_idx, any_value(score) FILTER (layer = 0) AS a, any_value(score) FILTER (layer = 1) AS b
+  FROM layer_scores s JOIN split USING (run_id, row_idx) WHERE part = 'train' GROUP BY s.run_id, s.row_idx),
+cov AS (SELECT run_id, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM two GROUP BY run_id),
+roots AS (SELECT run_id, (aa + bb) / 2 AS mid, sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS half FROM cov),
+v AS (
+  SELECT run_id, 0 AS component, mid + half AS variance FROM roots UNION ALL SELECT run_id, 1, mid - half FROM roots)
+SELECT run_id, 2 AS pca_dim, component, {_r('variance')} AS variance FROM v"""

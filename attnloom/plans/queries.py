@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import attention as G
-from ..operators import hidden, joins, judge, labels, metrics, overlap, padding, probe, sampling, spectral
+from ..operators import hidden, joins, judge, labels, metrics, overlap, padding, pca, probe, sampling, spectral
 from ..schema import EXAMPLE, HEAD, RUN
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import catalog, qa, results
 from ..sources.prompts import JUDGE_PROMPTS, QA_PROMPTS
 from ..streaming import features as stream
@@ -625,6 +625,42 @@ def probe_perturbation(spark, sf):
     return _metric_rows(fitted, "run_id", "top_k", "std", "rep")
 
 
+def _single_feature(spark, sf) -> DataFrame:
+    """The attention score over all layers as the only feature of a probe."""
+    scores = spectral.attention_score_with_all(G.diagonals(V.attention(spark, sf))).filter(F.col("layer") == "all")
+    return scores.select(*EXAMPLE, F.lit("attn_score").alias("probe"), F.array("attn_score").alias("features"))
+
+
+@query
+def probe_single_feature(spark, sf):
+    """A one-feature probe per run: fitted coefficients and the metrics of both parts."""
+    rows = features.labelled(_single_feature(spark, sf), _split_arithmetic(spark, sf))
+    models = cut_lineage(probe.fit_probes(rows, RUN))
+    scored = cut_lineage(probe.score(rows, models, RUN))
+    measured = metrics.probe_metrics(scored, ["run_id", "part"]).join(models, RUN)
+    return measured.select(
+        "run_id", "part", "n_train", "trainable_params", A.rounded(F.col("coef")[0], 5).alias("coef"),
+        A.rounded(F.col("intercept"), 5).alias("intercept"), *[_r(m) for m in probe.METRICS],
+    )
+
+
+@query
+def probe_transfer(spark, sf):
+    """One-feature probes of every run measured on the test rows of every run."""
+    m = studies.generalization(_single_feature(spark, sf), _split_arithmetic(spark, sf), runs=(0, 1, 2, 3))
+    return m.select("train_run", "test_run", "n_pos", "n_neg", *[_r(c) for c in probe.METRICS])
+
+
+@query
+def pca_variance(spark, sf):
+    """Variance along both principal axes of the two per-layer scores, training rows only."""
+    scores = spectral.attention_score(G.diagonals(V.attention(spark, sf)))
+    pairs = scores.groupBy(*EXAMPLE).agg(F.array_sort(F.collect_list(F.struct("layer", "attn_score"))).alias("_s"))
+    two = pairs.select(*EXAMPLE, F.transform("_s", lambda x: x["attn_score"]).alias("features"))
+    fitted = pca.fit_pca(features.labelled(two, _split_arithmetic(spark, sf)), RUN, EXAMPLE, 2)
+    return pca.explained_variance(fitted, RUN).select("run_id", "pca_dim", "component", _r("variance"))
+
+
 # ---------------------------------------------------------------- streaming and stored results
 
 

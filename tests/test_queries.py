@@ -37,6 +37,16 @@ def test_query_matches_sql(spark, db, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(result.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_probe_query_runs(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows
+    for r in rows:
+        values = r.asDict()
+        assert values.get("converged", True)
+        assert all(0 <= v <= 1 for k, v in values.items() if k.endswith(("auc", "precision", "recall", "f1")))
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 8
 

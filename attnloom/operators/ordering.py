@@ -86,6 +86,8 @@ def value_buckets(
     Boundaries are order statistics of a sample picked by hash, so they are the
     same on every evaluation; small groups have no sample and get one bucket.
     """
+    if not group:
+        return value_buckets(df.withColumn("_all", F.lit(0)), ["_all"], value, buckets, sample_one_in).drop("_all")
     group = list(group)
     in_sample = F.pmod(F.xxhash64(*group, value), F.lit(sample_one_in)) == 0
     sampled = (
@@ -96,7 +98,7 @@ def value_buckets(
         *group, F.filter("_sample", lambda _, i: i % stride == 0).alias("_bounds")
     ).withColumn("_coarse", F.filter("_bounds", lambda _, i: i % COARSE == 0))
 
-    tagged = df.join(bounds, group, "left") if group else df.crossJoin(bounds)
+    tagged = df.join(bounds, group, "left")
     v = F.col(value)
     block = F.size(F.filter("_coarse", lambda b: b <= v))
     tagged = tagged.withColumn("_block", block)

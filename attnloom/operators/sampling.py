@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import EXAMPLE, HEAD, RUN
+from ..schema import EXAMPLE, RUN
 from .labels import valid_only
 from .ordering import hash_bucket, rank_in_group
 
@@ -189,56 +189,78 @@ def perturb(
     uniform: Uniform = hashed_uniform,
     low: float = 0.5,
     high: float = 1.0,
-    head: Sequence[str] = HEAD,
     example: Sequence[str] = EXAMPLE,
 ) -> DataFrame:
     """Gaussian noise on a random share of the cells of every example.
 
-    Per (std, repeat): the share is uniform in `low..high`, `int(total * share)`
-    cells are hit, each with N(0, std^2). std None leaves the values as they are.
-    Returns cells `(head, k, value, noise, fraction, std, rep)`. One example is
-    one window, bounded by layers x heads x length.
+    Per (std, repeat): the share is uniform in `low..high`, exactly
+    `int(total * share)` cells are hit, each with N(0, std^2). std None leaves
+    the values as they are.
+
+    Heads are gathered once per example; the settings multiply rows only after
+    that shuffle and everything else is row-local. The cells that are hit are
+    those whose random key is at most the m-th smallest of the example. Gives
+    `(example, std, rep, fraction, l2, heads)` with `heads` an array of
+    `(layer, head, values, noise)`.
     """
+    gathered = diags.groupBy(*example).agg(
+        F.array_sort(F.collect_list(F.struct("layer", "head", F.col(diag).alias("values")))).alias("_heads")
+    )
     grid = F.explode(F.array(*[F.struct(F.lit(s).cast("double").alias("std"), F.lit(r).alias("rep"))
                                for s in stds for r in range(repeats)]))
-    spread = diags.select(*head, diag, grid.alias("_g")).select(*head, diag, "_g.std", "_g.rep")
-    cells = spread.select(*head, "std", "rep", F.posexplode(diag).alias("k", "value"))
-    run_key, row = F.col(example[0]), F.col(example[1])
-    tag = F.coalesce(F.col("std"), F.lit(0.0))
-    whole = [run_key, row, tag, F.col("rep")]
-    cell = [*whole, F.col("layer"), F.col("head"), F.col("k")]
-    item = Window.partitionBy(*example, "std", "rep")
-    fraction = F.lit(low) + F.lit(high - low) * uniform(whole, 0)
-    ordered = item.orderBy("_u", "layer", "head", "k")
-    marked = cells.withColumn("_u", uniform(cell, 1)).select(
-        "*", F.row_number().over(ordered).alias("_rank"), F.count(F.lit(1)).over(item).alias("_total"),
-        fraction.alias("fraction"),
+    items = gathered.select(*example, "_heads", grid.alias("_g")).select(*example, "_heads", "_g.std", "_g.rep")
+    whole = [*[F.col(c) for c in example], F.coalesce(F.col("std"), F.lit(0.0)), F.col("rep")]
+
+    def cell(h: Column, k: Column) -> list[Column]:
+        return [*whole, h["layer"], h["head"], k]
+
+    def key(h: Column, k: Column) -> Column:
+        return F.struct(
+            uniform(cell(h, k), 1).alias("u"), h["layer"].alias("layer"), h["head"].alias("head"), k.alias("k")
+        )
+
+    def normal(h: Column, k: Column) -> Column:
+        return F.sqrt(-2.0 * F.ln(uniform(cell(h, k), 2))) * F.cos(F.lit(6.283185307179586) * uniform(cell(h, k), 3))
+
+    keys = F.flatten(F.transform("_heads", lambda h: F.transform(h["values"], lambda v, k: key(h, k))))
+    marked = items.withColumn("_keys", F.sort_array(keys)).withColumn(
+        "fraction", F.when(F.col("std").isNull(), 0.0).otherwise(F.lit(low) + F.lit(high - low) * uniform(whole, 0))
+    )
+    cutoff = F.get("_keys", F.floor(F.size("_keys") * F.col("fraction")).cast("int") - 1)
+    marked = marked.withColumn("_cutoff", cutoff).drop("_keys")
+
+    def noise(h: Column, k: Column) -> Column:
+        hit = F.col("_cutoff").isNotNull() & (key(h, k) <= F.col("_cutoff"))
+        return F.when(hit, normal(h, k) * F.col("std")).otherwise(0.0)
+
+    heads = F.transform(
+        "_heads",
+        lambda h: F.struct(
+            h["layer"].alias("layer"),
+            h["head"].alias("head"),
+            h["values"].alias("values"),
+            F.transform(h["values"], lambda v, k: noise(h, k)).alias("noise"),
+        ),
     )
-    normal = F.sqrt(-2.0 * F.ln(uniform(cell, 2))) * F.cos(F.lit(6.283185307179586) * uniform(cell, 3))
-    hit = F.col("_rank") <= F.floor(F.col("_total") * F.col("fraction"))
-    noise = F.when(F.col("std").isNull(), 0.0).when(hit, normal * F.col("std")).otherwise(0.0)
-    return marked.select(
-        *head, "std", "rep", "k", "value", noise.alias("noise"),
-        F.when(F.col("std").isNull(), 0.0).otherwise(F.col("fraction")).alias("fraction"),
+    done = marked.withColumn("heads", heads)
+    squares = F.aggregate(
+        "heads", F.lit(0.0), lambda acc, h: acc + F.aggregate(h["noise"], F.lit(0.0), lambda a, x: a + x * x)
     )
+    return done.select(*example, "std", "rep", "fraction", F.sqrt(squares).alias("l2"), "heads")
 
 
-def perturbation_size(cells: DataFrame, run: Sequence[str] = RUN, example: Sequence[str] = EXAMPLE) -> DataFrame:
+def perturbation_size(items: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
     """Mean L2 norm of the noise and mean share of cells hit, per run, std and repeat."""
-    per_item = cells.groupBy(*example, "std", "rep").agg(
-        F.sqrt(F.sum(F.col("noise") * F.col("noise"))).alias("_l2"), F.max("fraction").alias("_fraction")
-    )
-    return per_item.groupBy(*run, "std", "rep").agg(
-        F.avg("_l2").alias("avg_diff_l2_norm"), F.avg("_fraction").alias("avg_perturbation_fraction")
+    return items.groupBy(*run, "std", "rep").agg(
+        F.avg("l2").alias("avg_diff_l2_norm"), F.avg("fraction").alias("avg_perturbation_fraction")
     )
 
 
-def perturbed_diagonals(cells: DataFrame, head: Sequence[str] = HEAD) -> DataFrame:
-    """Perturbed values packed again into one array per head, std and repeat."""
-    packed = cells.groupBy(*head, "std", "rep").agg(
-        F.array_sort(F.collect_list(F.struct("k", (F.col("value") + F.col("noise")).alias("v")))).alias("_c")
-    )
-    return packed.select(*head, "std", "rep", F.transform("_c", lambda c: c["v"]).alias("lap_diag"))
+def perturbed_diagonals(items: DataFrame, example: Sequence[str] = EXAMPLE) -> DataFrame:
+    """Perturbed values as one array per head, std and repeat."""
+    heads = items.select(*example, "std", "rep", F.inline("heads"))
+    noisy = F.zip_with("values", "noise", lambda v, e: v + e)
+    return heads.select(*example, "layer", "head", "std", "rep", noisy.alias("lap_diag"))
 
 
 def perturbation_summary(sizes: DataFrame) -> DataFrame:

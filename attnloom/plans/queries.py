@@ -414,20 +414,20 @@ PERTURBATION_STDS = (1e-3, 1e-1, None)
 
 @query
 def perturbation_l2(spark, sf):
-    cells = sampling.perturb(
+    items = sampling.perturb(
         G.diagonals(V.attention(spark, sf)), PERTURBATION_STDS, 2, uniform=V.arithmetic_uniform
     )
-    sizes = sampling.perturbation_size(cells)
+    sizes = sampling.perturbation_size(items)
     return sizes.select("run_id", "std", "rep", _r("avg_diff_l2_norm"), _r("avg_perturbation_fraction"))
 
 
 @query
 def perturbation_stats(spark, sf):
     """Spread of the share of perturbed cells over all perturbed settings."""
-    cells = sampling.perturb(
+    items = sampling.perturb(
         G.diagonals(V.attention(spark, sf)), PERTURBATION_STDS, 2, uniform=V.arithmetic_uniform
     )
-    summary = sampling.perturbation_summary(sampling.perturbation_size(cells))
+    summary = sampling.perturbation_summary(sampling.perturbation_size(items))
     return summary.select(*[A.rounded(F.col(c), 5).alias(c) for c in ("mean", "min", "max", "std")])
 
 

@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import metrics, probe, sampling, spectral
 from ..schema import EXAMPLE
 from ..session import cut_lineage
@@ -121,17 +122,13 @@ def perturbation_study(
 
     std 0 in the result stands for unchanged diagonals.
     """
-    cells = sampling.perturb(diags, stds, repeats, uniform=uniform)
-    noisy = sampling.perturbed_diagonals(cells).withColumn("std", F.coalesce("std", F.lit(0.0)))
-    head = ["run_id", "row_idx", "std", "rep", "layer", "head"]
+    items = sampling.perturb(diags, stds, repeats, uniform=uniform)
+    noisy = sampling.perturbed_diagonals(items).withColumn("std", F.coalesce("std", F.lit(0.0)))
     item = ["run_id", "row_idx", "std", "rep"]
-    tables = []
-    for k in ks:
-        vectors = spectral.flatten_features(spectral.top_k(noisy, k, "lap_diag", head), "vals", example=item)
-        tables.append(vectors.withColumn("top_k", F.lit(k)))
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other)
+    ranked = noisy.select(*item, "layer", "head", F.sort_array("lap_diag", asc=False).alias("_lap"))
+    by_k = F.array(*[F.struct(F.lit(k).alias("top_k"), A.first_k(F.col("_lap"), k).alias("vals")) for k in ks])
+    per_head = ranked.select(*item, "layer", "head", F.inline(by_k))
+    table = spectral.flatten_features(per_head, "vals", example=[*item, "top_k"])
     results, _ = probe.run_probes(table.join(split, EXAMPLE), ["run_id", "top_k", "std", "rep"], EXAMPLE, pca_dim)
-    sizes = sampling.perturbation_size(cells).withColumn("std", F.coalesce("std", F.lit(0.0)))
+    sizes = sampling.perturbation_size(items).withColumn("std", F.coalesce("std", F.lit(0.0)))
     return results.join(sizes, ["run_id", "std", "rep"])

@@ -77,10 +77,10 @@ class Catalog:
         balanced.write.mode(mode).partitionBy(*present).parquet(self.path(artefact))
 
     def append_new(self, artefact: str, df: DataFrame, key: Sequence[str]) -> None:
-        """Append only rows whose key is not stored yet."""
+        """Append only rows whose key is not stored yet; only the runs of `df` are looked up."""
         if self.exists(artefact):
-            stored = self.spark.read.parquet(self.path(artefact)).select(*key)
-            df = df.join(stored, list(key), "left_anti")
+            runs = [r[0] for r in df.select("run_id").distinct().collect()]
+            df = df.join(self.read(artefact, runs).select(*key), list(key), "left_anti")
         present = [k for k in ARTEFACTS[artefact] if k in df.columns]
         df.write.mode("append").partitionBy(*present).parquet(self.path(artefact))
 

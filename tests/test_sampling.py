@@ -84,7 +84,10 @@ def test_perturbation(spark):
     rng = np.random.default_rng(2)
     rows = [("r", i, l, h, rng.normal(size=10 + i).tolist()) for i in range(40) for l in range(2) for h in range(2)]
     diags = spark.createDataFrame(rows, "run_id string, row_idx long, layer int, head int, lap_diag array<double>")
-    cells = sampling.perturb(diags, (0.1, 10.0, None), 2).persist()
+    items = sampling.perturb(diags, (0.1, 10.0, None), 2).persist()
+    cells = items.select("row_idx", "std", "rep", "fraction", F.inline("heads")).select(
+        "row_idx", "std", "rep", "fraction", F.explode("noise").alias("noise")
+    )
     per_item = cells.groupBy("row_idx", "std", "rep").agg(
         F.count("*").alias("n"), F.count_if(F.col("noise") != 0).alias("hit"), F.max("fraction").alias("f")
     ).collect()
@@ -96,12 +99,14 @@ def test_perturbation(spark):
     spread = cells.filter("noise != 0").groupBy("std").agg(F.stddev("noise").alias("s"), F.avg("noise").alias("m")).collect()
     for r in spread:
         assert r["s"] == pytest.approx(r["std"], rel=0.06) and abs(r["m"]) < 0.1 * r["std"]
-    sizes = sampling.perturbation_size(cells)
+    by_hand = np.sqrt(sum(r["noise"] ** 2 for r in cells.filter("row_idx = 3 AND std = 10 AND rep = 1").collect()))
+    assert items.filter("row_idx = 3 AND std = 10 AND rep = 1").first()["l2"] == pytest.approx(by_hand)
+    sizes = sampling.perturbation_size(items)
     assert sizes.count() == 6
     assert sizes.filter("std IS NULL").first()["avg_diff_l2_norm"] == 0
     summary = sampling.perturbation_summary(sizes).first()
     assert summary["min"] <= summary["mean"] <= summary["max"]
-    packed = sampling.perturbed_diagonals(cells).filter("std IS NULL AND rep = 0").collect()
+    packed = sampling.perturbed_diagonals(items).filter("std IS NULL AND rep = 0").collect()
     original = {r[1:4]: r[4] for r in rows}
     assert all(original[(r["row_idx"], r["layer"], r["head"])] == pytest.approx(r["lap_diag"]) for r in packed)
-    cells.unpersist()
+    items.unpersist()

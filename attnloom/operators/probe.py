@@ -34,6 +34,7 @@ MAX_ITER = 2000  # fixed value: iteration limit of the reference solver, an uppe
 SEED = 42  # fixed value: recorded seed; the fit itself has no random part
 MAX_NEWTON = 2048  # widest features (after PCA) solved by Newton steps
 TOLERANCE = 1e-8
+MAX_BASIS = 1 << 28  # largest PCA basis sent to every executor (2 GB), a bound on the model and not on the rows
 LOCAL_VALUES = 1 << 24  # largest training matrix handled by one task (128 MB)
 METRICS = ("auc", "average_precision", "precision", "recall", "f1")
 
@@ -300,6 +301,8 @@ def _fit_wide(features: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: i
         train = train.withColumn("s", balanced_weight(F.lit(n), F.lit(probe["n_1"]), F.col("label")))
         mean = components = None
         if dim is not None:
+            if dim * d > MAX_BASIS:
+                raise ValueError(f"{dim} components of {d} features exceed the size a task can hold; lower pca_dim")
             mean, components = P.wide_components(train, dim)
             basis = spark.sparkContext.broadcast((mean, components))
 

@@ -47,14 +47,15 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
-def words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the index of the first word of each text (one more entry than texts)."""
+def _spans(column: pa.Array, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial, its inverse powers, starts and ends of words in bytes, first word of each text."""
     column = texts(column)
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     n = int(offsets[-1] - offsets[0])
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(1, np.uint64), np.zeros(0, np.uint64), none, none, np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8, n, int(offsets[0]))
     offsets = offsets - offsets[0]
     gap = separator[data]
@@ -69,7 +70,23 @@ def words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndar
     power, inverse = _tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[data] * power, out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
+    return sums, inverse, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the index of the first word of each text (one more entry than texts)."""
+    sums, inverse, starts, ends, first = _spans(column, separator)
+    return scramble((sums[ends] - sums[starts]) * inverse[starts]), first
+
+
+def words_and_stems(column: pa.Array, separator: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """As `words`, and per size (word index, hash of its first bytes) of all longer words."""
+    sums, inverse, starts, ends, first = _spans(column, separator)
+    stems = []
+    for size in sizes:
+        at = np.flatnonzero(ends - starts > size)
+        stems.append((at, scramble((sums[starts[at] + size] - sums[starts[at]]) * inverse[starts[at]] + np.uint64(size))))
+    return scramble((sums[ends] - sums[starts]) * inverse[starts]), first, stems
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:

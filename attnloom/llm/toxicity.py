@@ -1,13 +1,13 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its words, word pairs and pairs
+Features of a text are the distinct hashes of its words, of the first few bytes
+of longer words (compounds are rarely seen twice), of word pairs and of pairs
 with one word between, in BUCKETS places. The learner keeps per coordinate the
 sums of the proximal form, so each has its own rate, and L1 leaves most weights
 at zero: the model is a few thousand (place, weight) pairs, sent to all tasks.
 
 Fitting takes a bounded sample of labelled rows, MOST_ROWS of each class chosen
-by hash, in one task; the intercept is then shifted to the class shares of all
-labelled rows. Scoring reads every text whole.
+by hash, in one task. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -23,20 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read_table, slices, small_join, stored
-from .hashing import SIGNS, scramble, words
+from .hashing import SIGNS, scramble, words_and_stems
 
 BUCKETS = 1 << 20
 MOST_ROWS = 6000
-EPOCHS, RATE, SMOOTH, L1, L2 = 4, 0.1, 1.0, 0.5, 0.5
+EPOCHS, RATE, SMOOTH, L1, L2 = 6, 0.5, 1.0, 4.0, 0.1
+STEMS = (4, 5, 6)
 _SCORE = "_toxicity"
 _NEXT, _SKIP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of each word, word pair and skip pair, repeats included."""
-    hashes, first = words(column, SIGNS)
+    """(row, place) of each word, stem, word pair and skip pair, repeats included."""
+    hashes, first, stems = words_and_stems(column, SIGNS, STEMS)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    found = [(row, hashes)]
+    found = [(row, hashes), *((row[at], of) for at, of in stems)]
     for gap, factor in ((1, _NEXT), (2, _SKIP)):
         same = row[gap:] == row[:-gap]
         found.append((row[gap:][same], scramble(hashes[:-gap] * factor + hashes[gap:])[same]))
@@ -82,8 +83,6 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
         for at, label in zip(examples, labels, strict=True):
             learner.learn(at, int(label))
     at, w, bias = learner.model()
-    share = min(max(labels.mean(), 1e-6), 1 - 1e-6)
-    bias -= math.log(share / (1 - share))
     return pd.DataFrame({"place": np.append(at, -1), "weight": np.append(w, bias)})
 
 
@@ -113,9 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     model = stored(rows.groupBy(F.lit(0).alias("one")).applyInPandas(_fit, "place long, weight double"), "toxic-model").toPandas()
     if not len(model):
         return np.array([-1]), np.array([-30.0])
-    weights = model["weight"].to_numpy().copy()
-    weights[model["place"].to_numpy() == -1] += math.log(totals[1] / totals[0])
-    return model["place"].to_numpy(), weights
+    return model["place"].to_numpy(), model["weight"].to_numpy()
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = _SCORE) -> DataFrame:

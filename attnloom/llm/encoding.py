@@ -1,24 +1,33 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded memory of words.
 
-Both tokenizer files used here split texts at white space before merging, and
-never look past such a split. A text is therefore cut at single spaces between
-printable Latin characters; each cut part is encoded once and remembered. Other
-texts are encoded whole. Ids are those of the library either way (tested).
+Both tokenizer files used here split a text into runs of letters, digits and
+other signs before merging, and never look past such a split. A text is
+therefore cut before each run of letters together with the white space in front
+of it, and after that run; each part is encoded once by the library and
+remembered, per Python worker. Texts with signs beyond printable Latin ones, or
+with apostrophes (which bind letters), are encoded whole. Ids are those of the
+library either way (tested).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-LATIN = "!-~¡-¬®-ɏ"
-#: A space that is no clear cut, or white space other than spaces and line ends next to anything.
-_UNCLEAR = re.compile(f"(?<![{LATIN}]) | (?![{LATIN}])")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: Anything but printable Latin signs, spaces and line ends; apostrophes; a letter that lower-casing takes apart.
+_OTHER = re.compile("[^ -~\n¡-¬®-ɏ]|['İ]")
+_RUN = re.compile(f"([ \n]*[{_LETTERS}]+)")
+#: Bytes of texts that need no closer look: printable ASCII, line ends, and most two-byte letters.
+_PLAIN = bytes([10, *(b for b in range(32, 127) if b != 39), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 #: Remembered parts; the memory starts anew beyond them.
-MOST_PARTS = 400_000
-SHORT = 64
+MOST_PARTS = 1_000_000
+BATCH = 256
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +36,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _unclear(text: str) -> bool:
+    rest = text.encode("utf-8", "surrogatepass").translate(None, _PLAIN)
+    return bool(rest or "İ" in text) and bool(_OTHER.search(text))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process, so that tasks of one Python worker share its memory."""
+    return Encoder(path)
+
+
+class _Numbers(dict):
+    """Numbers of parts in order of first use."""
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts to arrays of ids without special tokens."""
 
@@ -39,44 +67,33 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.numbers = _Numbers()
+        self.sizes, self.flat = array("i"), array("i")
 
     def _remember(self, parts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        for p in parts:
-            self.numbers[p] = len(self.numbers)
-        ends = self.starts[-1] + np.cumsum([len(e) for e in encoded], dtype=np.int64)
-        self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for e in encoded for i in e), np.int32)])
+        for at in range(0, len(parts), BATCH):  # few results at a time, so that their memory is used again
+            for e in self.tokenizer.encode_batch_fast(parts[at : at + BATCH], add_special_tokens=False):
+                own = e.ids
+                self.flat.extend(own)
+                self.sizes.append(len(own))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, in order. Call it with a few MB of text at a time."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            parts = None
-            if text and not _UNCLEAR.search(text):
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + p for p in rest]]
-            cut.append(parts)
         if len(self.numbers) > MOST_PARTS:
             self._clear()
-        numbers = self.numbers
-        new = dict.fromkeys(p for parts in cut if parts for p in parts if p not in numbers)
-        if new:
-            self._remember(list(new))
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self._whole(text))
-                continue
-            of = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
-            begin = self.starts[of]
-            sizes = self.starts[of + 1] - begin
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)])
-        return out
+        known, number = len(self.numbers), self.numbers.__getitem__
+        cut = [None if _unclear(t) else array("i", map(number, filter(None, _RUN.split(t)))) for t in texts]
+        if len(self.numbers) > known:
+            self._remember(list(self.numbers)[known:])
+        of = np.frombuffer(array("i", chain.from_iterable(c for c in cut if c)), np.int32)
+        sizes, flat = np.frombuffer(self.sizes, np.int32), np.frombuffer(self.flat, np.int32)
+        starts = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=starts[1:])
+        lengths = sizes[of].astype(np.int64)
+        ends = np.cumsum(lengths)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] - (ends - lengths), lengths)]
+        bounds = np.append(0, ends)[np.cumsum([0, *(len(c or ()) for c in cut)])]
+        return [self._whole(t) if c is None else ids[a:b] for t, c, a, b in zip(texts, cut, bounds[:-1], bounds[1:], strict=True)]

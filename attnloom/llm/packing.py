@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, slices, stored
-from .encoding import Encoder, tokenizer_path
+from .encoding import encoder, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
 GROUP, ROUNDS = 20_000, 3
@@ -33,13 +33,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """key, doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 rows = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(texts), strict=True):
                     ids = np.append(ids, END_ID).astype("<u4")
                     stops = range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)
                     start = 0
@@ -133,16 +133,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     return placed.unionByName(before.select("key", "sequence_id", "offset"))
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: Column | None = None) -> DataFrame:
     """Per piece of every row of `docs` (doc_id, text): doc_id, piece, start, length, ids, sequence_id, offset.
 
-    A null or empty text is its end id alone. Rows with repeated or null ids are
+    `ids` may be an expression of the ids that stands in their place, so that
+    the ids themselves are not moved. A null or empty text is its end id alone. Rows with repeated or null ids are
     packed each for itself. An empty table gives no rows; other columns are ignored.
     """
     cut = pieces(docs, tokenizer, capacity)
-    return cut.join(pack(cut.select("key", "length"), capacity), "key").drop("key")
+    places = pack(cut.select("key", "length"), capacity)
+    shown = cut.select("key", "doc_id", "piece", "start", "length", F.col("ids") if ids is None else ids)
+    return shown.join(places, "key").drop("key")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packed_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ids=F.crc32("ids").alias("ids_crc32"))

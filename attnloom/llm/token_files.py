@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import read_table, slices, stored
-from .encoding import Encoder, tokenizer_path
+from .encoding import encoder, tokenizer_path
 
 END_ID = 2
 
@@ -38,7 +38,7 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
 
 def _writer(folder: str, tokenizer: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         system, path = _place(folder)
         part, attempt = f"part-{TaskContext.get().partitionId():07d}", uuid.uuid4().hex
         least, ids_file = None, None
@@ -51,7 +51,7 @@ def _writer(folder: str, tokenizer: str, width: str):
                     ids_file = system.open_output_stream(f"{path}/{attempt}.ids")
                     least = rows.column("doc_id")[0].as_py()
                 docs += rows.column("doc_id").to_pylist()
-                for ids in encoder.encode([t or "" for t in rows.column("text").to_pylist()]):
+                for ids in own.encode([t or "" for t in rows.column("text").to_pylist()]):
                     ids_file.write(np.append(ids, END_ID).astype(width).tobytes())
                     sizes.append(len(ids) + 1)
         if ids_file is None:
@@ -71,7 +71,7 @@ def _writer(folder: str, tokenizer: str, width: str):
 
 
 def _width(tokenizer: str) -> str:
-    return "<u2" if Encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:

@@ -32,8 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 1024."""
-    packed = packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"), ids=F.crc32("ids").alias("ids_crc32"))
 
 
 STAGES = [

@@ -4,16 +4,16 @@ Sets are 5-word shingles (lower-cased A-Z) as 64-bit hashes. Two documents link
 when 100 * |intersection| >= 75 * |union|.
 
 1. Documents with the same set form one class; its smallest id stands for it.
-2. Classes that agree on one of a few minimum hashes are compared with the
-   smallest of their group. This is only a cheap start: it joins most copies,
-   so that later steps need not look at pairs inside a component.
+2. Classes that agree on one of a few minimum hashes are compared with a centre
+   of their group, in a few rounds. This is only a cheap start: it joins most
+   copies, so that later steps need not look at pairs inside a component.
 3. Tiles find every remaining link. Under any common order of shingles, two
    linked sets share one within the first n - ceil(0.75 n) + 1 shingles of both.
    The order here is by hash, very frequent shingles last. A tile holds the
    classes that share such a shingle, cut by size bands (linked
    sizes lie in the same or the next band) and, where many share it, by
    blocks. Tiles whose rows all belong to one component are left out.
-   In a tile, bit counts of hashed bitmaps bound the overlap from above.
+   In a tile, places and bit counts of hashed bitmaps bound the overlap from above.
 4. Pairs that pass are checked by exact intersection; components of all links
    give the result.
 
@@ -36,12 +36,14 @@ from .components import components
 from .hashing import scramble, shingle_sets
 
 SIMILAR = 75
-STARTS = 8
+STARTS, START_ROUNDS = 8, 2
 _SEEDS = scramble(np.arange(1, STARTS + 1, dtype=np.uint64))[:, None]
-MIN_BITS, MAX_BITS = 64, 1 << 16
+MIN_BITS, MAX_BITS = 64, 1 << 17
 #: A shingle counts as frequent when it is in one of so many documents of some block of texts; order only, never a filter.
 FREQUENT_SHARE, FREQUENT_LIST = 400, 200_000
 BLOCK = 2048
+#: Shared shingles of 16 bytes that are broadcast at most (24 MB); more go by a shuffled join.
+MOST_SHARED = 1_500_000
 #: A little over 4/3, so that sizes of just that ratio never lie two bands apart.
 _BAND = float(np.log(1.34))
 
@@ -60,7 +62,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nda
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << int(len(shingles) - 1).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, 2 << int(len(shingles) - 1).bit_length()))
     mask = np.zeros(bits, bool)
     mask[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(mask).tobytes()
@@ -127,30 +129,43 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def bounded_pairs(ids, sizes, groups, sides, bits) -> list[tuple[int, int]]:
-    """Pairs of a tile from different components that size and bit counts allow to link.
+def _linkable(n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """An overlap of `most` suffices for sets of n and m."""
+    return 100 * most >= SIMILAR * (n + m - most)
 
-    A bit of one bitmap that the other lacks stands for at least one shingle the
-    other lacks, so |A n B| <= |A| - popcount(A & ~B), and the same from B.
-    Of two sides, pairs of equal sides 1 belong to another tile.
+
+def bounded_pairs(ids, sizes, groups, sides, places, bits) -> list[tuple[int, int]]:
+    """Pairs of a tile from different components that sizes, places and bit counts allow to link.
+
+    Where the tile's shingle is the first that two sets share, they share none
+    of the earlier ones, so |A n B| <= |A| - place in A, and the same from B; in
+    another tile of the pair it is the first. A bit of one bitmap that the other
+    lacks stands for at least one shingle the other lacks, so |A n B| <= |A| -
+    popcount(A & ~B). Of two sides, pairs of equal sides 1 belong to another tile.
     """
-    width = min(len(b) for b in bits)
-    maps = np.stack([_fold(b, width) for b in bits])
+    i, j = np.triu_indices(len(ids), 1) if len(ids) <= 512 else (None, None)
     found = []
-    for i in range(len(ids) - 1):
-        rest = slice(i + 1, None)
-        n, m = sizes[i], sizes[rest]
-        near = (groups[rest] != groups[i]) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)) & ((sides[rest] != 1) | (sides[i] != 1))
-        at = np.flatnonzero(near) + i + 1
-        if not len(at):
+    maps = None
+    for first in range(1 if i is not None else len(ids) - 1):
+        if i is not None:
+            p, q = i, j
+        else:  # a large tile goes row by row
+            q = np.arange(first + 1, len(ids))
+            p = np.full(len(q), first)
+        n, m = sizes[p], sizes[q]
+        near = (groups[p] != groups[q]) & ((sides[p] != 1) | (sides[q] != 1))
+        near &= _linkable(n, m, np.minimum(np.minimum(n, m), np.minimum(n - places[p], m - places[q])))
+        p, q = p[near], q[near]
+        if not len(p):
             continue
-        other = maps[at]
-        most = np.minimum(
-            n - np.bitwise_count(maps[i] & ~other).sum(axis=1, dtype=np.int64),
-            sizes[at] - np.bitwise_count(other & ~maps[i]).sum(axis=1, dtype=np.int64),
-        )
-        for j in at[100 * most >= SIMILAR * (n + sizes[at] - most)]:
-            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        if maps is None:
+            width = min(len(b) for b in bits)
+            maps = np.stack([_fold(b, width) for b in bits])
+        for at in range(0, len(p), 4096):
+            a, b = p[at : at + 4096], q[at : at + 4096]
+            lack = [np.bitwise_count(maps[x] & ~maps[y]).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+            fit = _linkable(sizes[a], sizes[b], np.minimum(sizes[a] - lack[0], sizes[b] - lack[1]))
+            found += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(a[fit], b[fit], strict=True)]
     return found
 
 
@@ -158,13 +173,13 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows in, candidate pairs out; one tile is held at a time."""
 
     def pairs(rows: list) -> pa.RecordBatch:
-        ids, sizes, groups, sides = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
-        found = bounded_pairs(ids, sizes, groups, sides, [r[5] for r in rows]) if len(rows) > 1 else []
+        ids, sizes, groups, sides, places = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5))
+        found = bounded_pairs(ids, sizes, groups, sides, places, [r[6] for r in rows]) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     key, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "n_shingles", "component", "side", "bits")]
+        columns = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "n_shingles", "component", "side", "place", "bits")]
         for row in zip(*columns, strict=True):
             if row[0] != key:
                 if rows:
@@ -222,13 +237,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _started(docs: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Links of classes to the smallest class with the same minimum hash."""
-    keyed = leaders.select("doc_id", F.posexplode("starts").alias("k", "least"))
-    centres = keyed.groupBy("k", "least").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    centres = stored(centres.withColumn("key", F.xxhash64("k", "least")).select("key", "b"), "centres")
-    keyed = keyed.select(F.col("doc_id").alias("a"), F.xxhash64("k", "least").alias("key"))
-    pairs = stored(spread_join(keyed, centres, "key").filter("a <> b").select("a", "b").distinct(), "start-pairs")
-    return stored(_checked(docs, pairs), "start-links")
+    """Links of classes to one centre of each group with the same minimum hash.
+
+    The centre of a group is its class with most links of earlier rounds, at
+    first the smallest; only members of other components are compared with it.
+    Originals of many copies soon lead their groups. Rounds end when none adds a
+    link, or after START_ROUNDS: what is left is found by the tiles.
+    """
+    keyed = stored(leaders.select("doc_id", F.posexplode("starts").alias("k", "least")).select("doc_id", F.xxhash64("k", "least").alias("key")), "start-keys")
+    links = None
+    for _ in range(START_ROUNDS):
+        if links is None:
+            known = keyed.select("*", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("degree"))
+        else:
+            degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+            of = stored(_grouped(leaders.select("doc_id").distinct(), links).join(degree, "doc_id", "left"), "start-state")
+            known = keyed.join(of, "doc_id").select("*").fillna(0, ["degree"])
+        lead = F.min(F.struct((-F.col("degree")).alias("less"), F.col("doc_id").alias("b"), F.col("component").alias("of"))).alias("lead")
+        groups = known.groupBy("key").agg(lead, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        groups = stored(groups.select("key", "lead.b", "lead.of"), "centres")
+        pairs = spread_join(known.select(F.col("doc_id").alias("a"), "key", "component"), groups, "key").filter("component <> of")
+        pairs = _may_link(stored(pairs.select("a", "b").distinct(), "start-pairs"), leaders)
+        if links is not None:
+            pairs = pairs.join(links, ["a", "b"], "left_anti")
+        new = stored(_checked(docs, stored(pairs, "start-pairs")), "start-links")
+        links = new if links is None else stored(links.unionByName(new), "start-links")
+        if new.isEmpty():
+            break
+    return links
+
+
+def _may_link(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The pairs that sizes allow to link."""
+    of = leaders.select("doc_id", F.col("n_shingles").alias("n"))
+    left = spread_join(pairs, of.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+    both = spread_join(left, of.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+    return both.filter(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
 
 def _tile_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,11 +282,14 @@ def _tile_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     fronts = docs.mapInArrow(_fronts(np.sort(listed.view(np.uint64))), "doc_id long, front array<long>")
     parts = nodes.select("doc_id", "component", "n_shingles")
     fronts = stored(fronts.filter("doc_id is not null").join(parts, "doc_id"), "fronts")
-    keyed = fronts.select("doc_id", "component", "n_shingles", F.explode("front").alias("shingle"))
-    shared = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    shared = shared.filter("low <> high").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    shared = stored(shared, "shared")
-    rows = stored(small_join(keyed, shared, "shingle").distinct(), "tile-rows")
+    keyed = fronts.select("doc_id", "component", "n_shingles", F.posexplode("front").alias("place", "shingle"))
+    # of two linked sets the smaller has the first common shingle among its first 1/7
+    inner = F.col("place") < F.col("n_shingles") - F.ceil(F.lit(2 * SIMILAR) * F.col("n_shingles") / F.lit(100 + SIMILAR)) + 1
+    shared = keyed.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max(inner).alias("inner"),
+            )
+    shared = stored(shared.filter("low <> high and inner").select("shingle", "n"), "shared")
+    rows = stored(small_join(keyed, shared.select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks")), "shingle", rows=MOST_SHARED), "tile-rows")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / _BAND)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     # side 1: a visitor from the band below, or the second block of a pair; two of them meet in their own tile
@@ -250,10 +297,12 @@ def _tile_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         "*", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("visit")), F.struct((band + 1).alias("band"), F.lit(1).alias("visit")))).alias("at")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = banded.select("doc_id", "component", "n_shingles", "shingle", "at.*", "block", other)
+    tiled = banded.select("doc_id", "component", "n_shingles", "shingle", "place", "at.*", "block", other)
     tile = F.xxhash64("shingle", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
-    tiled = tiled.select("doc_id", "component", "n_shingles", tile, F.col("visit").alias("side"))
-    tiled = spread_join(tiled, nodes.select("doc_id", "bits"), "doc_id")
+    tiled = stored(tiled.select("doc_id", "component", "n_shingles", tile, F.col("visit").alias("side"), "place"), "tiled")
+    of = tiled.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("side").alias("side"))
+    tiled = small_join(tiled, stored(of.filter("low <> high and side = 0").select("tile"), "mixed-tiles"), "tile", "left_semi")
+    tiled = spread_join(stored(tiled, "tiled"), nodes.select("doc_id", "bits"), "doc_id")
     found = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long")
     return stored(found.distinct(), "pairs")
 

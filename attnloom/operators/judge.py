@@ -119,4 +119,4 @@ def judge_key(judge_llm: str | None, judge_prompt: str | None) -> str | None:
     """Column name of one judge; giving only one of the two names is an error."""
     if (judge_llm is None) != (judge_prompt is None):
         raise ValueError("give both the judge and its prompt, or neither")
-    return None if judge_llm is None else f"llm_judge_{judge_llm}_{judge_prompt}"
+    return None if judge_llm is None else f"llm_judge_{judge_llm.replace('-', '_')}_{judge_prompt}"

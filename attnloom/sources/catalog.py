@@ -77,10 +77,11 @@ class Catalog:
         balanced.write.mode(mode).partitionBy(*present).parquet(self.path(artefact))
 
     def append_new(self, artefact: str, df: DataFrame, key: Sequence[str]) -> None:
-        """Append only rows whose key is not stored yet; only the runs of `df` are looked up."""
+        """Append one row per key that is not stored yet; only the runs of `df` are looked up."""
         if self.exists(artefact):
             runs = [r[0] for r in df.select("run_id").distinct().collect()]
             df = df.join(self.read(artefact, runs).select(*key), list(key), "left_anti")
+        df = df.dropDuplicates(list(key))
         present = [k for k in ARTEFACTS[artefact] if k in df.columns]
         df.write.mode("append").partitionBy(*present).parquet(self.path(artefact))
 
@@ -135,9 +136,13 @@ def outputs_needed(mode: str) -> dict[str, bool]:
     return {"output_attentions": "attention" in mode, "output_hidden_states": "hidden_states" in mode}
 
 
-def json_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSON array or of JSON lines under a known schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_table(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool | None = None) -> DataFrame:
+    """Rows of JSON arrays, or of JSON lines (by default for paths ending in .jsonl), under a known schema.
+
+    Only lines can be split over tasks. Malformed rows raise.
+    """
+    lines = path.endswith(".jsonl") if lines is None else lines
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def qa_metrics_table(

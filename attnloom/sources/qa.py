@@ -140,7 +140,11 @@ def _columnar(spark: SparkSession, config: QaDataset, split: str | None) -> Data
     reader = spark.read.json if config.path.endswith((".json", ".jsonl")) else spark.read.parquet
     df = reader(config.path)
     for column, value in (("subset", config.subset), ("split", split)):
-        if column in df.columns and value is not None:
+        if value is not None:
+            if column not in df.columns:
+                if column == "subset":  # a copy without the column holds the configured subset alone
+                    continue
+                raise ValueError(f"{config.path} has no column {column} to select {value!r} by")
             df = df.filter(F.col(column) == value)
     return df
 

@@ -12,7 +12,8 @@ when 100 * |intersection| >= 75 * |union|.
    The order here is by hash, very frequent shingles last. A tile holds the
    classes that share such a shingle, cut by size bands (linked
    sizes lie in the same or the next band) and, where many share it, by
-   blocks. Tiles whose rows all belong to one component are left out.
+   blocks. Tiles whose rows all belong to one component are left out, and of
+   shingles that the same documents hold only the first has tiles.
    In a tile, places and bit counts of hashed bitmaps bound the overlap from above.
 4. Pairs that pass are checked by exact intersection; components of all links
    give the result.
@@ -102,19 +103,22 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fronts(frequent: np.ndarray):
-    """Per document the first n - ceil(0.75 n) + 1 shingles, frequent ones last."""
+    """Per document the first n - ceil(0.75 n) + 1 shingles, frequent ones last, and how many are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _rows(batches):
-            fronts = []
+            fronts, rare = [], []
             for s in sets:
+                most = len(s)
                 size = len(s) - (SIMILAR * len(s) + 99) // 100 + 1 if len(s) else 0
                 if len(frequent):
                     at = np.searchsorted(frequent, s)
                     common = frequent[np.minimum(at, len(frequent) - 1)] == s
+                    most -= int(common.sum())
                     s = np.concatenate([s[~common], s[common]])
                 fronts.append(s[:size])
-            yield pa.RecordBatch.from_arrays([ids, _lists(fronts)], ["doc_id", "front"])
+                rare.append(most)
+            yield pa.RecordBatch.from_arrays([ids, _lists(fronts), pa.array(rare, pa.int64())], ["doc_id", "front", "rare"])
 
     return run
 
@@ -279,34 +283,57 @@ def _tile_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidate pairs of classes from different components, complete by the prefix rule."""
     often = docs.mapInArrow(_frequent, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
     listed = often.orderBy(F.desc("docs"), "shingle").limit(FREQUENT_LIST).toPandas()["shingle"].to_numpy(np.int64)
-    fronts = docs.mapInArrow(_fronts(np.sort(listed.view(np.uint64))), "doc_id long, front array<long>")
+    fronts = docs.mapInArrow(_fronts(np.sort(listed.view(np.uint64))), "doc_id long, front array<long>, rare long")
     parts = nodes.select("doc_id", "component", "n_shingles")
     fronts = stored(fronts.filter("doc_id is not null").join(parts, "doc_id"), "fronts")
-    keyed = fronts.select("doc_id", "component", "n_shingles", F.posexplode("front").alias("place", "shingle"))
+    keyed = fronts.select("doc_id", "component", "n_shingles", "rare", F.posexplode("front").alias("place", "shingle"))
     # of two linked sets the smaller has the first common shingle among its first 1/7
     inner = F.col("place") < F.col("n_shingles") - F.ceil(F.lit(2 * SIMILAR) * F.col("n_shingles") / F.lit(100 + SIMILAR)) + 1
-    shared = keyed.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max(inner).alias("inner"),
-            )
-    shared = stored(shared.filter("low <> high and inner").select("shingle", "n"), "shared")
-    rows = stored(small_join(keyed, shared.select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks")), "shingle", rows=MOST_SHARED), "tile-rows")
+    shared = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(inner).alias("inner"))
+    shared = stored(shared.filter("low <> high and inner").select("shingle"), "shared")
+    rows = stored(small_join(keyed, shared, "shingle", "left_semi", rows=MOST_SHARED), "tile-rows")
+    rows = small_join(rows, stored(_first_shingles(rows), "first-shingles"), "shingle", rows=MOST_SHARED)
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / _BAND)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    # a set of n reaches one of m in the next band only with n - place >= 3/7 (n + m), m > 1.34 ** (band + 1) (with slack)
+    reach = (F.col("n_shingles") - F.col("place") + 1) * (100 + SIMILAR) >= SIMILAR * (F.col("n_shingles") + F.exp((band + 1) * _BAND))
     # side 1: a visitor from the band below, or the second block of a pair; two of them meet in their own tile
-    banded = rows.withColumn("block", block).select(
-        "*", F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("visit")), F.struct((band + 1).alias("band"), F.lit(1).alias("visit")))).alias("at")
-    )
+    own = F.struct(band.alias("band"), F.lit(0).alias("visit"))
+    visit = F.struct((band + 1).alias("band"), F.lit(1).alias("visit"))
+    banded = rows.withColumn("block", block).select("*", F.explode(F.when(reach, F.array(own, visit)).otherwise(F.array(own))).alias("at"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiled = banded.select("doc_id", "component", "n_shingles", "shingle", "place", "at.*", "block", other)
     tile = F.xxhash64("shingle", "band", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
     tiled = stored(tiled.select("doc_id", "component", "n_shingles", tile, F.col("visit").alias("side"), "place"), "tiled")
-    of = tiled.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("side").alias("side"))
-    tiled = small_join(tiled, stored(of.filter("low <> high and side = 0").select("tile"), "mixed-tiles"), "tile", "left_semi")
+    of = tiled.groupBy("tile").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("side").alias("side"), F.max(inner).alias("inner")
+    )
+    of = of.filter("low <> high and side = 0 and inner").select("tile")
+    tiled = small_join(tiled, stored(of, "mixed-tiles"), "tile", "left_semi")
     tiled = spread_join(stored(tiled, "tiled"), nodes.select("doc_id", "bits"), "doc_id")
     found = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long")
     return stored(found.distinct(), "pairs")
 
 
+def _first_shingles(rows: DataFrame) -> DataFrame:
+    """(shingle, blocks): of shingles held by the same documents only the first in the common order.
+
+    A pair needs only the tile of its first common shingle. Where the same
+    documents hold an earlier one, a shingle is the first of no pair. A passage
+    that documents share so gives about one tile and not one for each word.
+    Sets of documents are told apart by their number and two 64-bit sums of hashes.
+    """
+    member = [F.xxhash64("doc_id", F.lit(k)) for k in (1, 2)]
+    late = F.col("place") >= F.col("rare")
+    held = rows.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.max(late).alias("late")
+    )
+    # shingles are ordered as unsigned numbers
+    order = F.struct("late", F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))), "shingle")
+    first = held.groupBy("n", "x", "y").agg(F.min(order).alias("first"))
+    return first.select("first.shingle", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """One row per group of `docs`, all columns: that of the smallest id; rows of null ids all stay.
 

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, shared_dir
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 HOT_KEYS, HOT_ROWS = 64, 1000
@@ -27,6 +27,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*steps: DataFrame) -> None:
+    """Delete the folders of `stored` steps that no later step reads, so that disk holds only steps in use.
+
+    Call it when everything derived from them is stored itself: a lost executor
+    then needs none of them again. Folders outside the shared one stay.
+    """
+    for step in steps:
+        spark = step.sparkSession
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+        for folder in {name.rpartition("/")[0] for name in step.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(folder))
+            if path.getParent().toUri().getPath() == root:
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on `key`, of which `right` has few rows per value while one value may hold a third of `left`.
 

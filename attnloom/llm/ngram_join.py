@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, small_join, spread_join, stored
+from .common import read_table, removed, slices, small_join, spread_join, stored
 from .components import components
 from .hashing import scramble, shingle_sets
 
@@ -195,18 +195,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link, by exact intersection."""
-    spark = docs.sparkSession
+    """The stored pairs (a, b) whose shingle sets link, by exact intersection."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     if wanted.isEmpty():
-        return pairs.limit(0)
+        return pairs
     own = small_join(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi")
     sets = stored(own.mapInArrow(_full, "doc_id long, shingles array<long>"), "sets")
     left = spread_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = spread_join(left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
-    return both.withColumn("shared", shared).filter(100 * F.col("shared") >= SIMILAR * union).select("a", "b")
+    linked = both.withColumn("shared", shared).filter(100 * F.col("shared") >= SIMILAR * union).select("a", "b")
+    linked = stored(linked, "linked")
+    removed(wanted, sets)
+    return linked
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -235,6 +237,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = copies.unionByName(_started(docs, leaders))
     nodes = _grouped(leaders.select("doc_id", "n_shingles", "bits"), links)
     nodes = stored(nodes, "nodes")
+    removed(leaders)
     links = stored(links.unionByName(_checked(docs, _tile_pairs(docs, nodes))), "all-links")
     component = F.col("component").alias("component_id")
     return _grouped(signatures.select("doc_id", "n_shingles"), links).select("doc_id", "n_shingles", component)
@@ -264,10 +267,11 @@ def _started(docs: DataFrame, leaders: DataFrame) -> DataFrame:
         pairs = _may_link(stored(pairs.select("a", "b").distinct(), "start-pairs"), leaders)
         if links is not None:
             pairs = pairs.join(links, ["a", "b"], "left_anti")
-        new = stored(_checked(docs, stored(pairs, "start-pairs")), "start-links")
+        new = _checked(docs, stored(pairs, "start-pairs"))
         links = new if links is None else stored(links.unionByName(new), "start-links")
         if new.isEmpty():
             break
+    removed(keyed)
     return links
 
 
@@ -292,6 +296,7 @@ def _tile_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = keyed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(inner).alias("inner"))
     shared = stored(shared.filter("low <> high and inner").select("shingle"), "shared")
     rows = stored(small_join(keyed, shared, "shingle", "left_semi", rows=MOST_SHARED), "tile-rows")
+    removed(fronts)
     rows = small_join(rows, stored(_first_shingles(rows), "first-shingles"), "shingle", rows=MOST_SHARED)
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / _BAND)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))

@@ -207,7 +207,8 @@ def full_laplacian(edges: DataFrame, head: Sequence[str] = HEAD) -> DataFrame:
     Node `layer * n + token`. From the second layer on a self-loop becomes the
     edge to the same token one layer below. The degree of a node is the mean
     weight of its non-zero incoming column. Only diagonal entries need a
-    shuffle; off-diagonal entries are single edges with the sign turned.
+    shuffle; off-diagonal entries are single edges with the sign turned. An
+    example with a single layer raises.
     """
     graph = [c for c in head if c != "layer"]
     loop = F.col("q") == F.col("k")
@@ -220,7 +221,12 @@ def full_laplacian(edges: DataFrame, head: Sequence[str] = HEAD) -> DataFrame:
     diagonal = adjacency.groupBy(*graph, "c").agg(
         (F.avg("w") - F.coalesce(F.sum(F.when(F.col("r") == F.col("c"), F.col("w"))), F.lit(0.0))).alias("value")
     )
-    return off_diagonal.unionByName(diagonal.select(*graph, F.col("c").alias("r"), "c", "value"))
+    entries = off_diagonal.unionByName(diagonal.select(*graph, F.col("c").alias("r"), "c", "value"))
+    # adds no rows: the generated id only keeps the optimizer from dropping the check
+    layers = edges.groupBy(*graph).agg(F.min("layer").alias("_low"), F.max("layer").alias("_high"))
+    single = F.raise_error(F.lit("the full Laplacian needs at least two layers"))
+    guard = layers.filter(F.when(F.col("_low") == F.col("_high"), single).otherwise(F.monotonically_increasing_id() < 0))
+    return entries.unionByName(guard.select(*graph), allowMissingColumns=True)
 
 
 def require_layers(df: DataFrame, minimum: int = 2, head: Sequence[str] = HEAD) -> DataFrame:

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EXAMPLE
 
 
+def enforced(df: DataFrame, wrong: Column, message: str) -> DataFrame:
+    """`df`, raising if `wrong` holds in any row.
+
+    The check is a filter that also reads a generated id. The optimizer neither
+    drops it with unread columns nor merges or moves it past other filters, so
+    it runs under `count()` and before later filters can turn the join one-sided.
+    """
+    return df.filter(F.when(wrong, F.raise_error(F.lit(message))).otherwise(F.monotonically_increasing_id() >= 0))
+
+
 def zip_strict(left: DataFrame, right: DataFrame, on: Sequence[str] = EXAMPLE) -> DataFrame:
     """Join two tables that must hold exactly the same keys; any key missing on a side raises.
 
-    One full join carries both the result and the check; the check sits in the
-    last key column, so it runs whenever that column is read.
+    One full join carries both the result and the check.
     """
     on = list(on)
     both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), on, "full")
     unmatched = F.col("_l").isNull() | F.col("_r").isNull()
-    key = F.when(unmatched, F.raise_error(F.lit("tables differ in their keys"))).otherwise(F.col(on[-1]))
-    return both.withColumn(on[-1], key).drop("_l", "_r")
+    return enforced(both, unmatched, "tables differ in their keys").drop("_l", "_r")
 
 
 def zip_shortest(left: DataFrame, right: DataFrame, on: Sequence[str] = EXAMPLE) -> DataFrame:
@@ -47,8 +55,7 @@ def answers_with_gold(answers: DataFrame, gold: DataFrame, on: Sequence[str] = E
     """Right join answers (`gold`) to the reference table (`answer`); differing gold text raises."""
     joined = answers.join(gold, list(on), "right")
     wrong = ~F.col("gold").eqNullSafe(F.col("answer"))
-    message = F.lit("gold answers and model answers are in different order")
-    return joined.withColumn("gold", F.when(wrong, F.raise_error(message)).otherwise(F.col("gold"))).drop("answer")
+    return enforced(joined, wrong, "gold answers and model answers are in different order").drop("answer")
 
 
 def gather(features: DataFrame, labels: DataFrame, split: DataFrame, on: Sequence[str] = EXAMPLE) -> DataFrame:

@@ -49,6 +49,17 @@ def strip_all_padding(tokens: DataFrame, pad: int, example: Sequence[str] = EXAM
     )
 
 
+def strip_hidden_state_edges(
+    states: DataFrame, ranges: DataFrame, example: Sequence[str] = EXAMPLE
+) -> DataFrame:
+    """Hidden states within `first..last` of their example (see `attention.token_range`), renumbered from 0.
+
+    Padding inside the range stays.
+    """
+    kept = states.join(ranges, list(example)).filter(F.col("tok_idx").between(F.col("first"), F.col("last")))
+    return kept.withColumn("tok_idx", F.col("tok_idx") - F.col("first")).drop("first", "last")
+
+
 def strip_hidden_states(
     states: DataFrame, tokens: DataFrame, pad: int, example: Sequence[str] = EXAMPLE
 ) -> DataFrame:

@@ -336,11 +336,16 @@ def train_single(train: DataFrame, n_train: int, max_iter: int = MAX_ITER, toler
 
 
 def score(features: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Probability of class 1 and the predicted class for every row; stays in the JVM."""
+    """Probability of class 1 and the predicted class for every row; stays in the JVM.
+
+    A row whose vector is not as wide as the probe's coefficients raises.
+    """
     joined = features.join(models.select(*keys, "coef", "intercept"), list(keys))
     z = F.aggregate(
         F.zip_with("features", "coef", lambda x, c: x * c), F.col("intercept"), lambda acc, v: acc + v
     )
+    width = F.raise_error(F.lit("features and probe differ in width"))
+    z = F.when(F.size("features") != F.size("coef"), width).otherwise(z)
     scored = joined.withColumn("p1", 1.0 / (1.0 + F.exp(-z))).drop("features", "coef", "intercept")
     return scored.withColumn("pred", (F.col("p1") > 0.5).cast("int"))
 

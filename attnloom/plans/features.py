@@ -34,25 +34,32 @@ def load_inputs(catalog: Catalog, runs: Sequence[str]) -> tuple[DataFrame, DataF
 def spectral_features(
     diags: DataFrame, top_ks: Sequence[int], per_layer: bool = True, all_layers: bool = True,
     families: Sequence[str] = ("attn_log_det", "attn_eigval_topk", "laplacian_eigval_topk"),
+    longest: str | None = None,
 ) -> DataFrame:
     """`(run_id, row_idx, probe, layer, top_k, features)` for all spectral probes, from one scan.
 
-    top_k is 0 for log-determinants, which have none. A head is sorted once and
+    top_k is 0 for log-determinants, which have none. With `longest`, a column
+    of `diags`, a row has no features of a larger k. A head is sorted once and
     reduced to the values of every family before the only shuffle, which is by
     example; the vectors per layer and over all layers are both built from it.
     """
     def variant(family: str, k: int, values: Column) -> Column:
         return F.struct(F.lit(family).alias("family"), F.lit(k).alias("top_k"), values.alias("vals"))
 
+    def fits(k: int) -> Column:
+        return F.lit(True) if longest is None else F.lit(k) <= F.col("_most")
+
     variants = []
     if "attn_log_det" in families:
         variants.append(variant("attn_log_det", 0, F.array(A.mean_log(F.col("attn_diag")))))
     for family, column in (("attn_eigval_topk", "_attn"), ("laplacian_eigval_topk", "_lap")):
         if family in families:
-            variants += [variant(family, k, A.first_k(F.col(column), k)) for k in top_ks]
+            variants += [variant(family, k, F.when(fits(k), A.first_k(F.col(column), k))) for k in top_ks]
+    most = F.lit(None).cast("int") if longest is None else F.col(longest)
     heads = diags.select(
-        *HEAD, "attn_diag", F.sort_array("attn_diag", asc=False).alias("_attn"), F.sort_array("lap_diag", asc=False).alias("_lap")
-    ).select(*HEAD, F.inline(F.array(*variants)))
+        *HEAD, "attn_diag", most.alias("_most"),
+        F.sort_array("attn_diag", asc=False).alias("_attn"), F.sort_array("lap_diag", asc=False).alias("_lap"),
+    ).select(*HEAD, F.inline(F.filter(F.array(*variants), lambda v: v["vals"].isNotNull())))
     group = [*EXAMPLE, "family", "top_k"]
     layers = heads.repartition(*EXAMPLE).groupBy(*group, "layer").agg(
         F.array_sort(F.collect_list(F.struct("head", "vals"))).alias("_heads")

@@ -31,19 +31,24 @@ STUDY_TOP_K = 100
 STUDY_PCA = 512
 
 
+def spectral_table(diags: DataFrame, top_ks: Sequence[int] | None = None, per_layer: bool = True) -> DataFrame:
+    """Features of `spectral_probes`: of the given k, or of every candidate a run is long enough for."""
+    if top_ks is not None:
+        return S.spectral_features(diags, top_ks, per_layer)
+    shortest = diags.groupBy("run_id").agg(F.min(F.size("attn_diag")).alias("_shortest"))
+    return S.spectral_features(diags.join(shortest, "run_id"), spectral.TOP_K, per_layer, longest="_shortest")
+
+
 def spectral_probes(
     diags: DataFrame, split: DataFrame, top_ks: Sequence[int] | None = None, pca_dim: int | None = STUDY_PCA,
     all_layers_only: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Log-determinant, attention and Laplacian probes, per layer and over all layers.
 
-    Without `top_ks` the candidates no longer than the shortest sequence of all
-    runs are used; that list has at most as many entries as there are candidates.
+    Without `top_ks` a run uses the candidates no longer than its own shortest
+    sequence, whatever the lengths of other runs.
     """
-    if top_ks is None:
-        shortest = diags.agg(F.min(F.size("attn_diag")).alias("n")).first()["n"]
-        top_ks = [k for k in spectral.TOP_K if k <= shortest]
-    table = S.spectral_features(diags, top_ks, per_layer=not all_layers_only)
+    table = spectral_table(diags, top_ks, per_layer=not all_layers_only)
     return probe.run_probes(S.labelled(table, split), S.PROBE, EXAMPLE, pca_dim)
 
 
@@ -120,15 +125,21 @@ def perturbation_study(
 ) -> DataFrame:
     """Laplacian probes on noisy diagonals, with the size of the noise beside the metrics.
 
-    std 0 in the result stands for unchanged diagonals.
+    Every (k, std, repeat) draws its own noise, so the results of two k are
+    independent. std 0 in the result stands for unchanged diagonals.
     """
-    items = sampling.perturb(diags, stds, repeats, uniform=uniform)
+    # one draw per k and repeat: draw = position of k * repeats + repeat
+    items = sampling.perturb(diags, stds, repeats * len(ks), uniform=uniform)
+    top_k = F.element_at(F.array(*[F.lit(k) for k in ks]), F.floor(F.col("rep") / repeats).cast("int") + 1).alias("top_k")
+    rep = (F.col("rep") % repeats).alias("rep")
     noisy = sampling.perturbed_diagonals(items).withColumn("std", F.coalesce("std", F.lit(0.0)))
     item = ["run_id", "row_idx", "std", "rep"]
     ranked = noisy.select(*item, "layer", "head", F.sort_array("lap_diag", asc=False).alias("_lap"))
-    by_k = F.array(*[F.struct(F.lit(k).alias("top_k"), A.first_k(F.col("_lap"), k).alias("vals")) for k in ks])
-    per_head = ranked.select(*item, "layer", "head", F.inline(by_k))
+    drawn = ranked.select("run_id", "row_idx", "std", top_k, rep, "layer", "head", "_lap")
+    values = F.coalesce(*[F.when(F.col("top_k") == k, A.first_k(F.col("_lap"), k)) for k in ks]).alias("vals")
+    per_head = drawn.select(*item, "top_k", "layer", "head", values)
     table = spectral.flatten_features(per_head, "vals", example=[*item, "top_k"])
     results, _ = probe.run_probes(table.join(split, EXAMPLE), ["run_id", "top_k", "std", "rep"], EXAMPLE, pca_dim)
     sizes = sampling.perturbation_size(items).withColumn("std", F.coalesce("std", F.lit(0.0)))
-    return results.join(sizes, ["run_id", "std", "rep"])
+    sizes = sizes.withColumn("top_k", top_k).withColumn("rep", rep)
+    return results.join(sizes, ["run_id", "top_k", "std", "rep"])

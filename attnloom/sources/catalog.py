@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import hidden, joins, judge, padding
+from ..operators import attention, hidden, joins, judge, padding
 from ..schema import EXAMPLE, RUN
 
 # fixed values: artefacts of a run and their partition columns
@@ -168,14 +168,15 @@ def load_hidden_states(
     """Stored hidden states with the input length of their example; nothing stored is an error.
 
     `layer` selects the two reference tokens of `'all'`, `'last'` or one layer.
-    Selection refers to original positions, so it excludes removing padding.
+    Selection refers to original positions, so it excludes removing padding,
+    which takes padding at both ends only, as for attention maps.
     """
     if remove_padding and layer is not None:
         raise NotImplementedError("removing padding is not supported together with a selection")
     states = store.read("hidden_states", runs, layer if isinstance(layer, int) else None, required=True)
     tokens = store.read("tokens", runs)
     if remove_padding:
-        return padding.strip_hidden_states(states, tokens, pad, example)
+        states = padding.strip_hidden_state_edges(states, attention.token_range(tokens, pad, example), example)
     lengths = tokens.select(*example, "input_length")
     if layer is None:
         return states.join(lengths, list(example))

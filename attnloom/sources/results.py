@@ -89,11 +89,17 @@ def results_path_to_run(path: Column) -> Column:
     return F.regexp_replace(path, "/results/", "/activations/")
 
 
-def flatten_results(raw: DataFrame, body: str = "value", return_preds: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """JSON text `{probe: record | [records]}` to one row per record."""
-    probes = raw.select(*keep, F.explode(F.from_json(F.col(body), "map<string,string>")).alias("probe", "_body"))
-    many = F.from_json("_body", f"array<{RESULT_RECORD}>")
-    one = F.array(F.from_json("_body", RESULT_RECORD))
+def flatten_results(
+    raw: DataFrame, body: str = "value", return_preds: bool = False, keep: Sequence[str] = (), ignore_errors: bool = False
+) -> DataFrame:
+    """JSON text `{probe: record | [records]}` to one row per record.
+
+    Text that does not parse raises, or gives no rows with `ignore_errors`.
+    """
+    mode = {"mode": "PERMISSIVE" if ignore_errors else "FAILFAST"}
+    probes = raw.select(*keep, F.explode(F.from_json(F.col(body), "map<string,string>", mode)).alias("probe", "_body"))
+    many = F.from_json("_body", f"array<{RESULT_RECORD}>", mode)
+    one = F.array(F.from_json("_body", RESULT_RECORD, mode))
     records = probes.select(
         *keep, "probe", F.explode(F.when(F.col("_body").startswith("["), many).otherwise(one)).alias("_r")
     )
@@ -109,26 +115,37 @@ def load_results(
     modified_after: str | None = None,
     return_preds: bool = False,
     ignore_errors: bool = False,
+    identity: Sequence[str] = ("run_name",),
 ) -> DataFrame:
     """All result files of that name under a folder, with the metadata of their run.
 
-    `runs` has `run_name` and the configuration columns. Files older than
-    `modified_after` are skipped by the scan. A file whose run is unknown raises,
-    or is left out with `ignore_errors`.
+    `runs` has the columns of `identity` and the configuration columns. `identity`
+    names the last folders of a file's path, outermost first, so with
+    `("dataset", "llm", "run_name")` runs of one name in several folders stay
+    apart. Two runs of one identity raise. Files older than `modified_after`
+    are skipped by the scan. A file whose run is unknown raises, or is left out
+    with `ignore_errors`; so does a file that does not parse.
     """
+    identity = list(identity)
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
+    folders = F.split(F.col("_metadata.file_path"), "/")
     raw = reader.text(root, wholetext=True).select(
         "value",
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_name"),
+        *[F.element_at(folders, i - len(identity) - 1).alias(name) for i, name in enumerate(identity)],
         configured_pca_dim(F.col("_metadata.file_name")).alias("configured_pca_dim"),
     )
-    flat = flatten_results(raw, "value", return_preds, ["run_name", "configured_pca_dim"])
+    flat = flatten_results(raw, "value", return_preds, [*identity, "configured_pca_dim"], ignore_errors)
+    facts = F.struct(*[c for c in runs.columns if c not in identity], F.lit(True).alias("_known"))
+    listed = runs.groupBy(*identity).agg(F.count(F.lit(1)).alias("_n"), F.first(facts).alias("_facts"))
+    twice = F.raise_error(F.concat(F.lit("several runs are named "), F.concat_ws("/", *identity)))
+    unique = listed.select(*identity, F.when(F.col("_n") > 1, twice).otherwise(F.col("_facts")).alias("_facts"))
+    runs = unique.select(*identity, "_facts.*")
     if ignore_errors:
-        known = flat.join(runs, "run_name")
+        known = flat.join(runs, identity).drop("_known")
     else:
-        joined = flat.join(runs.withColumn("_known", F.lit(True)), "run_name", "left")
+        joined = flat.join(runs, identity, "left")
         unknown = F.raise_error(F.concat(F.lit("no configuration for run "), F.col("run_name")))
         name = F.when(F.col("_known").isNull(), unknown).otherwise(F.col("run_name"))
         known = joined.withColumn("run_name", name).drop("_known")

@@ -120,6 +120,14 @@ def test_full_laplacian(spark):
         assert np.allclose(dense, want)
 
 
+def test_full_laplacian_needs_two_layers(spark):
+    one = G.full_laplacian(G.to_edges(matrices(spark, [[HALF]])))
+    with pytest.raises(Exception, match="two layers"):
+        one.collect()
+    with pytest.raises(Exception, match="two layers"):
+        one.count()
+
+
 def test_require_layers(spark):
     with pytest.raises(Exception, match="fewer than 2 layers"):
         G.require_layers(matrices(spark, [[HALF]])).collect()
@@ -222,7 +230,7 @@ def test_matrix_form_has_no_shuffle(spark):
 def test_diagonal_identity(spark):
     """Without self-loops the refined column sums lose exactly the diagonal."""
     edges = G.to_edges(matrices(spark, LAYERS))
-    full = G.full_laplacian(edges.filter(F.col("layer") == 0)).filter("r = c")
+    full = G.full_laplacian(edges).filter("r = c and r < 3")
     plain = G.diagonals_from_edges(edges.filter(F.col("layer") == 0).filter("w <> 0").withColumn("n", F.lit(3)))
     assert full.count() == plain.count()
     assert HEAD == ["run_id", "row_idx", "layer", "head"]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attnloom.functions import arrays as A
-from attnloom.operators import hidden, padding
+from attnloom.operators import attention, hidden, padding
 
 TOKENS = "run_id string, row_idx long, token_ids array<int>"
 
@@ -100,3 +100,10 @@ def test_states_by_layer(spark):
     got = {r["tok_idx"]: r["vec"][0] for r in hidden.states_by_layer(steps).collect()}
     assert got == {0: 0.0, 1: 1.0, 2: 2.0, 3: 10.0, 4: 20.0}
     assert "gen_step" in hidden.states_by_layer(steps, concat=False).columns
+
+
+def test_strip_hidden_state_edges_keeps_interior_padding(spark):
+    tokens = spark.createDataFrame([("r", 0, [0, 7, 0, 8, 9])], TOKENS)
+    states = spark.createDataFrame([("r", 0, i, [float(i)]) for i in range(4)], "run_id string, row_idx long, tok_idx int, vec array<double>")
+    kept = padding.strip_hidden_state_edges(states, attention.token_range(tokens, 0)).collect()
+    assert sorted((r["tok_idx"], r["vec"][0]) for r in kept) == [(0, 1.0), (1, 2.0), (2, 3.0)]

@@ -187,3 +187,27 @@ def test_size_summary(spark):
     )
     row = studies.size_summary(df).first()
     assert (row["mean"], row["std"]) == (0.85, 0.0707)
+
+
+def test_every_run_keeps_the_k_it_is_long_enough_for(spark):
+    rows = [(run, 0, 0, 0, [1.0 / (i + 1) for i in range(n)], [float(i) for i in range(n)]) for run, n in (("long", 60), ("short", 6))]
+    diags = spark.createDataFrame(rows, "run_id string, row_idx long, layer int, head int, attn_diag array<double>, lap_diag array<double>")
+    table = studies.spectral_table(diags).filter("top_k > 0").select("run_id", "probe", "top_k", F.size("features").alias("n")).collect()
+    assert {(r["run_id"], r["top_k"]) for r in table} == {("long", k) for k in (5, 10, 25, 50)} | {("short", 5)}
+    assert all(r["n"] == r["top_k"] for r in table) and len(table) == 5 * 4
+
+
+def test_scoring_refuses_other_widths(spark):
+    rows = spark.createDataFrame([("p", 0, [1.0, 2.0])], "probe string, row_idx long, features array<double>")
+    models = spark.createDataFrame([("p", [1.0], 0.0)], "probe string, coef array<double>, intercept double")
+    with pytest.raises(Exception, match="differ in width"):
+        probe.score(rows, models, ["probe"]).select("p1").collect()
+
+
+def test_each_k_of_the_perturbation_study_has_its_own_noise(spark):
+    rows = [("r", i, 0, h, [0.1] * 4, [float(i % 3), 1.0, 2.0, float(i % 2)]) for i in range(24) for h in range(2)]
+    diags = spark.createDataFrame(rows, "run_id string, row_idx long, layer int, head int, attn_diag array<double>, lap_diag array<double>")
+    split = spark.createDataFrame([("r", i, i % 2, "test" if i % 4 > 1 else "train") for i in range(24)], "run_id string, row_idx long, label int, part string")
+    got = studies.perturbation_study(diags, split, ks=(1, 2), stds=(0.1, None), repeats=2, pca_dim=None).collect()
+    assert sorted((r["top_k"], r["std"], r["rep"]) for r in got) == [(k, s, r) for k in (1, 2) for s in (0.0, 0.1) for r in (0, 1)]
+    assert len({r["avg_diff_l2_norm"] for r in got if r["std"] > 0}) == 4

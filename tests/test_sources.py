@@ -211,6 +211,39 @@ def test_load_results(spark, tmp_path):
     assert results.load_results(*args, both, modified_after="2020-01-01T00:00:00").count() == 2
 
 
+def test_results_of_one_run_name_in_several_folders(spark, tmp_path):
+    name = "temp_0.1__p__seed_1"
+    places = [("coqa", "llama"), ("coqa", "phi"), ("gsm8k", "llama")]
+    for n, (dataset, llm) in enumerate(places):
+        folder = tmp_path / dataset / llm / name
+        folder.mkdir(parents=True)
+        (folder / "res.json").write_text(json.dumps({"all": {"metadata": {"layer_idx": "all"}, "metrics": {"auc": n / 10}}}))
+    runs = spark.createDataFrame([(d, m, name, d + m) for d, m in places], "dataset string, llm string, run_name string, config string")
+    args = (spark, str(tmp_path), "res.json")
+    found = results.load_results(*args, runs, identity=("dataset", "llm", "run_name")).collect()
+    assert sorted((r["dataset"], r["llm"], r["config"], r["metrics"]["auc"]) for r in found) == [
+        (d, m, d + m, n / 10) for n, (d, m) in enumerate(places)
+    ]
+    with pytest.raises(Exception, match="several runs"):
+        results.load_results(*args, runs).collect()
+    (tmp_path / "coqa" / "phi" / name / "res.json").write_text('{"all": [')
+    with pytest.raises(Exception):  # noqa: B017
+        results.load_results(*args, runs, identity=("dataset", "llm", "run_name")).collect()
+    assert results.load_results(*args, runs, ignore_errors=True, identity=("dataset", "llm", "run_name")).count() == 2
+
+
+def test_strict_checks_survive_pruning_and_filters(spark):
+    a = spark.createDataFrame([("r", 0, "x"), ("r", 1, "y")], EX + ", a string")
+    b = spark.createDataFrame([("r", 0, 1)], EX + ", label int")
+    both = joins.zip_strict(a, b)
+    for df in (both, both.select("a"), both.filter("label in (0, 1)")):
+        with pytest.raises(Exception, match="differ in their keys"):
+            df.count()
+    gold = spark.createDataFrame([("r", 0, "g"), ("r", 1, "g")], EX + ", answer string")
+    with pytest.raises(Exception, match="different order"):
+        joins.answers_with_gold(a.withColumn("gold", F.lit("h")), gold).count()
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("r", 0, "x"), ("r", 1, "y")], EX + ", a string")
     b = spark.createDataFrame([("r", 0, "u"), ("r", 1, "v")], EX + ", b string")

@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into blocks, one line each, with the length of their text
-outside links. Blocks in menus, headers, footers, sidebars, notices, adverts,
+Markup is stripped into blocks, one line each, with the length of their text,
+outside articles without that in links. Blocks in menus, headers, footers, sidebars, notices, adverts,
 forms and comments weigh nothing, and neither do blocks outside the article
 where a page marks one. Lengths are summed over windows of WINDOW lines: the
 text starts at the surge, the first line whose window ahead is heavy, and ends
@@ -23,19 +23,29 @@ from .common import read_table, slices
 
 WINDOW, HEAVY = 3, 60
 
-_DROPPED = "script|style|noscript|template|svg|iframe|object|textarea|select|button|head|title|canvas|audio|video"
+#: Elements without text of the page; those of RAW_TAGS run to the end of the page when no end tag follows, as in browsers.
+DROPPED_TAGS = frozenset("script style noscript template svg iframe object textarea select button title canvas audio video".split())
+RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{_DROPPED})\b[^>]*>.*?(?:</(?P=drop)\s*>|\Z)"
-    r"""|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-z!?/][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-z!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in DROPPED_TAGS}
+#: A slash after a space, a quoted value or the name closes an element that script and style never close so.
+_SELF_CLOSED = re.compile(r"""(?:^|["'\s])/\s*\Z""")
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements whose names tell asides; headings, paragraphs, list items and inline elements never do.
+CONTAINER_TAGS = frozenset("div section ul ol dl table header figure details".split())
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+_CLASS = re.compile(r"(?<![\w-])(?:class|role)" + _VALUE, re.I)
+_ANY_NAME = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)" + _VALUE, re.I)
+#: Boxes that are content of an article.
+_CONTENT_BOX = re.compile(r"(?:^|[\s_-])(?:notices?|alert)(?=$|[\s_-])", re.I)
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav\w*|menus?|breadcrumbs?|side-?bar|widgets?|footer|site-?header|masthead|topbar|toolbar|related|recommend\w*|share|sharing|social|"
@@ -45,15 +55,29 @@ _ASIDE_NAME = re.compile(
 
 
 def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+    """Asides by tag, or by class and role of a container; ids and labels count outside articles, but not those of sections."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
         return True
-    if tag in ("article", "main", "body", "html") or not attributes:
+    if tag not in CONTAINER_TAGS or not attributes:
         return False
-    return any(_ASIDE_NAME.search(next(filter(None, m.groups()), "")) for m in _ATTRIBUTE.finditer(attributes))
+    named = _CLASS if in_article or tag == "section" else _ANY_NAME
+    names = (next(filter(None, m.groups()), "") for m in named.finditer(attributes))
+    return any(_ASIDE_NAME.search(_CONTENT_BOX.sub("", name) if in_article else name) for name in names)
+
+
+def _dropped_end(page: str, tag: str, attributes: str, at: int, open_ended: set[str]) -> int:
+    """Where the dropped element ends whose start tag ends at `at`; tags in `open_ended` have no end tag further on."""
+    if tag not in ("script", "style", "title") and _SELF_CLOSED.search(attributes):
+        return at
+    end = None if tag in open_ended else _END[tag].search(page, at)
+    if end:
+        return end.end()
+    open_ended.add(tag)
+    return len(page) if tag in RAW_TAGS else at
 
 
 def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of the blocks of a page; those of asides weigh nothing."""
+    """(text, weight, inside an article) of the blocks of a page: its characters, outside articles only those outside links; 0 in asides."""
     out: list[tuple[str, int, bool]] = []
     words: list[str] = []
     linked = articles = links = 0
@@ -63,12 +87,14 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((text, 0 if aside else max(0, len(text) - linked), articles > 0))
+            weight = len(text) if articles else max(0, len(text) - linked)
+            out.append((text, 0 if aside else weight, articles > 0))
         words.clear()
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
+    open_ended: set[str] = set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             words.append(piece)
@@ -78,6 +104,9 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         closing = bool(m["close"])
+        if tag in DROPPED_TAGS:
+            at = at if closing else _dropped_end(page, tag, m["attributes"], at, open_ended)
+            continue
         if tag == "br":
             words.append(" ")
         elif tag == "a":

@@ -272,6 +272,22 @@ def test_pages(spark):
     assert html.unescape("&copy;") == "©"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h2><a href=#x>Title</a></h2><p>Body.</p><ul><li><a href=r>Ref one</a></li></ul></article>", "Title\n\nBody.\n\nRef one"),
+        ("<article><section id='search-algorithms'><h2 id=related-work>Related work</h2><p>Kept.</p></section><div class='alert'>Take care.</div></article>", "Related work\n\nKept.\n\nTake care."),
+        ("<article><p>Kept.</p><div class='share social'>Tweet</div><ul role=navigation><li>Next</li></ul></article>", "Kept."),
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><p>No end of head.</p></article>", "No end of head."),
+        ("<title>T</title><style>p{}</style><article><p>No head.</p></article>", "No head."),
+        ("<article><p>One <svg class='i'/> two.</p><iframe src='x' /><object data='y'/><p>Three.</p><button>Go<p>Four.</p></article>", "One two.\n\nThree.\n\nGo\n\nFour."),
+        ("<article><p>One <svg><path d='M0'/><text>no</text></svg>two.</p><script src=x />no</script></article>", "One two."),
+    ],
+)
+def test_article_text_is_kept(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_licences(spark, none):
     texts = [sentence(12) + ".\nReleased under the MIT License.\n" + sentence(20), "Licensed under the Apache License, Version 2.0.", sentence(60), None, "", "MIT!! MIT!!"]
     texts += [sentence(chance.randrange(5, 60)) for _ in range(200)]

@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into blocks, one line each, with the length of their text,
-outside articles without that in links. Blocks in menus, headers, footers, sidebars, notices, adverts,
-forms and comments weigh nothing, and neither do blocks outside the article
-where a page marks one. Lengths are summed over windows of WINDOW lines: the
-text starts at the surge, the first line whose window ahead is heavy, and ends
-at the dive, the last line whose window behind is. Blocks that weigh something
-between the two are kept whole. In a marked article any text is heavy.
+Markup is stripped into blocks, one line each, with the length of their text
+outside links. Blocks in menus, headers, footers, sidebars, notices, adverts,
+forms and comments are asides: they weigh nothing and are never kept. Lengths
+are summed over windows of WINDOW lines: the text starts at the surge, the first
+line whose window ahead is heavy, and ends at the dive, the last line whose
+window behind is. Markup is a weight: a line inside an article counts as heavy
+by itself, however short, and the windows of other lines are heavy if they reach
+HEAVY characters (on short pages a quarter of the longest window) and half the
+longest window inside articles. Surge and dive move outwards over lines with
+text of their own that follow without a gap, so that short lines at either end
+stay. All blocks between the two that are no asides are kept whole.
 """
 
 from __future__ import annotations
@@ -76,9 +80,9 @@ def _dropped_end(page: str, tag: str, attributes: str, at: int, open_ended: set[
     return len(page) if tag in RAW_TAGS else at
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article) of the blocks of a page: its characters, outside articles only those outside links; 0 in asides."""
-    out: list[tuple[str, int, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters outside links, inside an article, in an aside) of the blocks of a page."""
+    out: list[tuple[str, int, bool, bool]] = []
     words: list[str] = []
     linked = articles = links = 0
     aside: list[str] = []  # the open tags from the outermost aside on
@@ -87,8 +91,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            weight = len(text) if articles else max(0, len(text) - linked)
-            out.append((text, 0 if aside else weight, articles > 0))
+            out.append((text, max(0, len(text) - linked), articles > 0, bool(aside)))
         words.clear()
         linked = 0
 
@@ -133,19 +136,30 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _windows(weights: list[int]) -> list[int]:
+    """Sums over each line and the next ones of its window."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
 def main_text(page: str | None) -> str:
-    """The text between surge and dive, blocks joined by an empty line; empty where nothing weighs anything."""
+    """The blocks from surge to dive, joined by an empty line; empty where no line is heavy."""
     lines = blocks(page or "")
-    marked = any(w and inside for _, w, inside in lines)
-    weights = [w if inside or not marked else 0 for _, w, inside in lines]
-    if not any(weights):
+    marked = [inside and not aside for _, _, inside, aside in lines]
+    weights = [0 if aside else w for _, w, _, aside in lines]
+    plain = [0 if m else w for w, m in zip(weights, marked, strict=True)]
+    ahead, behind = _windows(plain), _windows(plain[::-1])[::-1]
+    most_marked = max(_windows([w if m else 0 for w, m in zip(weights, marked, strict=True)]), default=0)
+    heavy = max(min(HEAVY, max(_windows(weights), default=0) / 4), most_marked / 2)
+    surges = [i for i, m in enumerate(marked) if m or (plain[i] and ahead[i] >= heavy)]
+    dives = [i for i, m in enumerate(marked) if m or (plain[i] and behind[i] >= heavy)]
+    if not surges or not dives:
         return ""
-    ahead = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    behind = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights))]
-    heavy = 0 if marked else min(HEAVY, max(ahead) / 4)
-    surge = next(i for i, w in enumerate(weights) if w and ahead[i] >= heavy)
-    dive = next(i for i in range(len(weights) - 1, -1, -1) if weights[i] and behind[i] >= heavy)
-    return "\n\n".join(text for (text, _, _), w in zip(lines[surge : dive + 1], weights[surge : dive + 1], strict=True) if w)
+    surge, dive = surges[0], dives[-1]
+    while surge and plain[surge] and plain[surge - 1]:
+        surge -= 1
+    while dive + 1 < len(lines) and plain[dive] and plain[dive + 1]:
+        dive += 1
+    return "\n\n".join(text for text, _, _, aside in lines[surge : dive + 1] if not aside)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

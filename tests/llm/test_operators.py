@@ -288,6 +288,25 @@ def test_article_text_is_kept(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = ("Long text here. " * 20).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # the main text in <div>s beside a teaser card
+        (f"<body><nav>Menu</nav><div>{LONG}</div><div>{LONG}</div><article><p>Teaser.</p></article><footer>f</footer>", f"{LONG}\n\n{LONG}\n\nTeaser."),
+        # runs of short lines at both ends, and none beyond a gap
+        (f"<div>By A</div><div><a href=x>x</a></div><p>Egg</p><p>Milk</p><p>Salt</p><p>{LONG}</p><ul><li>Bake</li><li>Rest</li><li>Cut</li><li>Eat</li></ul><nav>n</nav><p>(c)</p>",
+         f"Egg\n\nMilk\n\nSalt\n\n{LONG}\n\nBake\n\nRest\n\nCut\n\nEat"),
+        # beside a heavy article light lines are none of its text, short lines of articles are
+        (f"<div>Crumbs</div><article><p>{LONG}</p><p>{LONG}</p></article><article><p>Thanks</p></article><div>All rights reserved by the makers of this very page, 2020.</div>", f"{LONG}\n\n{LONG}\n\nThanks"),
+    ],
+)
+def test_windows_act_beside_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_licences(spark, none):
     texts = [sentence(12) + ".\nReleased under the MIT License.\n" + sentence(20), "Licensed under the Apache License, Version 2.0.", sentence(60), None, "", "MIT!! MIT!!"]
     texts += [sentence(chance.randrange(5, 60)) for _ in range(200)]

@@ -5,8 +5,9 @@ other signs before merging, and never look past such a split. A text is
 therefore cut before each run of letters together with the white space in front
 of it, and after that run; each part is encoded once by the library and
 remembered, per Python worker. Texts with signs beyond printable Latin ones, or
-with apostrophes (which bind letters), are encoded whole. Ids are those of the
-library either way (tested).
+with apostrophes (which bind letters), are encoded whole, and so are texts that
+may hold one of the file's added tokens, which the library finds before it
+splits. Ids are those of the library either way (tested).
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Sought in texts as given: neither file normalizes them.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -77,6 +79,9 @@ class Encoder:
                 self.flat.extend(own)
                 self.sizes.append(len(own))
 
+    def _uncut(self, text: str) -> bool:
+        return _unclear(text) or any(t in text for t in self.added)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
@@ -85,7 +90,7 @@ class Encoder:
         if len(self.numbers) > MOST_PARTS:
             self._clear()
         known, number = len(self.numbers), self.numbers.__getitem__
-        cut = [None if _unclear(t) else array("i", map(number, filter(None, _RUN.split(t)))) for t in texts]
+        cut = [None if self._uncut(t) else array("i", map(number, filter(None, _RUN.split(t)))) for t in texts]
         if len(self.numbers) > known:
             self._remember(list(self.numbers)[known:])
         of = np.frombuffer(array("i", chain.from_iterable(c for c in cut if c)), np.int32)

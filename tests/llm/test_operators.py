@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from attnloom.llm import html_text, licenses, mixing, near_vectors, neighbours, ngram_join, packing, secrets, token_files, toxicity
 from attnloom.llm.components import components
@@ -216,6 +217,28 @@ def test_encoder_equals_the_library(name):
     assert [e.tolist() for e in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_the_ids_of_the_file(spark, name):
+    library = Tokenizer.from_file(tokenizer_path(name))
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [w for t in added for w in (t, f"one {t} two{t}\n{t}", t.upper(), f"été{t} 日本", t[:-1], f"{t[0]} {t[1:]}")]
+    texts += ["".join(chance.choices(["<|", "endoftext", "|>", "startof", " ", "a", ".", "\n", *added], k=12)) for _ in range(300)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [e.tolist() for e in Encoder(tokenizer_path(name)).encode(texts)] == expected
+    assert library.token_to_id("<|endoftext|>") in expected[texts.index("<|endoftext|>")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    folder, at = scratch_path(spark, "files"), 0
+    got = {r.doc_id: tuple(r)[1:] for r in token_files.read_token_files(token_files.write_token_files(frame, folder, tokenizer_path(name)), folder).collect()}
+    packed = {}
+    for r in packing.packed_documents(frame, tokenizer_path(name), 64).collect():
+        packed[r.doc_id] = packed.get(r.doc_id, {}) | {r.piece: bytes(r.ids)}
+    for i, ids in enumerate(expected):
+        ids = np.array([*ids, 2], "<u4").tobytes()
+        assert got[i] == (at, len(ids) // 4, zlib.crc32(ids))
+        assert b"".join(packed[i][k] for k in sorted(packed[i])) == ids
+        at += len(ids) // 4
+
+
 def vectors():
     made = np.random.default_rng(1)
     base = made.normal(size=(60, 8))

@@ -6,8 +6,9 @@ the families of TEMPLATES, `unknown` (other licence statements) and `none`
 added, on made licence statements of no family, and on a bounded sample of
 sentences of the corpus as ordinary text. A temperature is calibrated on
 examples set aside. A sentence is reported when `none` is not its likeliest
-class and it has LEAST_WORDS words; its family is confirmed when it holds most word pairs of a template of
-the family, otherwise it counts as `unknown`.
+class and it has LEAST_WORDS words. Its family is the likeliest licence class. If the calibrated probability of
+that class is below CERTAIN, a template of the same family has to confirm it by most of its word pairs; below SURE,
+or unconfirmed, the statement counts as `unknown`.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ _SHIFT = np.uint64(64 - 17)
 LEAST_WORDS = 4
 MOST_ORDINARY = 4000
 CONFIRMED = 0.6
+#: Calibrated probabilities of a family that count without a template, and at least with one.
+CERTAIN, SURE = 0.9, 0.5
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -126,12 +129,19 @@ def _tokens(text: str) -> list[str]:
 _TEMPLATE_PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in map(_tokens, wordings)] for f, wordings in TEMPLATES.items()}
 
 
-def _confirmed(sentence: str) -> tuple[str, float]:
-    """The family one of whose templates has the largest share of its word pairs in the sentence; ties to the longer template."""
+def _share(sentence: str, family: str) -> float:
+    """The largest share of the word pairs of a template of `family` that the sentence holds; 0 for `unknown`."""
     w = _tokens(sentence)
     own = set(zip(w, w[1:], strict=False))
-    share, _, family = max((len(own & t) / len(t), len(t), f) for f, ts in _TEMPLATE_PAIRS.items() for t in ts)
-    return family, share
+    return max((len(own & t) / len(t) for t in _TEMPLATE_PAIRS.get(family, ())), default=0.0)
+
+
+def _family(sentence: str, chances: np.ndarray) -> tuple[str, float]:
+    """The family by the calibrated probabilities of all classes, and its template share."""
+    best = int(chances[:-1].argmax())
+    share = _share(sentence, FAMILIES[best])
+    sure = chances[best] >= CERTAIN or (chances[best] >= SURE and share >= CONFIRMED)
+    return (FAMILIES[best] if sure else "unknown"), share
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -187,9 +197,7 @@ def _scanner(places: np.ndarray, rows: np.ndarray, heat: float):
                         i, a, b = block[k]
                         if len(_tokens(texts[i][a:b])) < LEAST_WORDS:
                             continue
-                        family, share = _confirmed(texts[i][a:b])
-                        if share < CONFIRMED:
-                            family = "unknown"
+                        family, share = _family(texts[i][a:b], chances[k])
                         found[i].append({"start": a, "end": b, "family": family, "probability": float(1 - chances[k, -1]), "template": share})
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "licences"])
 

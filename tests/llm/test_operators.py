@@ -338,3 +338,24 @@ def test_licences(spark, none):
     assert got[0] == [("mit", "Released under the MIT License.")] and got[1] == [("apache", "Licensed under the Apache License, Version 2.0.")]
     assert all(not own for i, own in got.items() if i > 1)
     assert licenses.license_scan(none).collect() == []
+
+
+def test_regression_decides_the_family():
+    def chances(**of):
+        return np.array([of.get(c.replace("-", "_"), 0.0) for c in licenses.CLASSES])
+
+    other = "You may use these files as the licence of the institute at Cambridge, Massachusetts allows."
+    assert licenses._family(other, chances(mit=0.95, none=0.05))[0] == "mit"
+    assert licenses._family(other, chances(mit=0.7, gpl=0.3))[0] == "unknown"
+    assert licenses._family("Released under the MIT License.", chances(mit=0.7, gpl=0.3)) == ("mit", 1.0)
+    assert licenses._family("Released under the MIT License.", chances(mit=0.4, gpl=0.35, bsd=0.25))[0] == "unknown"
+    assert licenses._family("Released under the MIT License.", chances(unknown=0.8, mit=0.2))[0] == "unknown"
+
+
+def test_families_of_templates_and_others(spark):
+    texts = [t + "." for ts in licenses.TEMPLATES.values() for t in ts] + ["Licensed under the Zebra license.", "Subject to the Quux public license version 7."]
+    texts += [sentence(chance.randrange(5, 60)) for _ in range(200)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [x.family for x in r.licences] for r in licenses.license_scan(frame).collect()}
+    expected = [[f] for f, ts in licenses.TEMPLATES.items() for _ in ts] + [["unknown"]] * 2 + [[]] * 200
+    assert [got[i] for i in range(len(texts))] == expected

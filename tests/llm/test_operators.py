@@ -359,3 +359,18 @@ def test_families_of_templates_and_others(spark):
     got = {r.doc_id: [x.family for x in r.licences] for r in licenses.license_scan(frame).collect()}
     expected = [[f] for f, ts in licenses.TEMPLATES.items() for _ in ts] + [["unknown"]] * 2 + [[]] * 200
     assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_statements_over_lines_short_ones_and_copies(spark):
+    wrapped = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+    long = sentence(70).replace(".", "") + " Released under the MIT License " + sentence(70).replace(".", "")
+    texts = [wrapped, sentence(9) + "\n\n" + wrapped + "\n\n" + sentence(9), "MIT License", "License: MIT", "GNU GPL v3", "subject to the terms of the\nMozilla Public License, v. 2.0", long, "The MIT is in Cambridge", "MIT!! MIT!!", "To the ershnd.", "THIS!!", "BY,!!", "is is is is is is"]
+    copies = [sentence(30)] * 400
+    frame = spark.createDataFrame(list(enumerate([*texts, *copies, *(sentence(chance.randrange(5, 60)) for _ in range(200))])), "doc_id long, text string")
+    got = {r.doc_id: [(x.family, x.start, x.end) for x in r.licences] for r in licenses.license_scan(frame).collect()}
+    own = {i: [(f, texts[i][a:b].strip()) for f, a, b in got[i]] for i in range(len(texts))}
+    assert own[0] == own[1] == [("cc-by-nc", wrapped)]
+    assert [own[i] for i in (2, 3, 4)] == [[("mit", texts[2])], [("mit", texts[3])], [("gpl", texts[4])]]
+    assert own[5] == [("mpl", texts[5])]
+    assert [f for f, _ in own[6]] == ["mit"] and "MIT License" in own[6][0][1]
+    assert not any(got[i] for i in range(7, len(got)))

@@ -33,7 +33,10 @@ WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "format")
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())]))
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST_CANDIDATE = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
+#: Fewer distinct labelled values of a kind give no automaton.
+LEAST_VALUES = 20
 #: Labelled values per kind that an automaton is built from, chosen by hash.
 MOST_VALUES = 1500
 ALPHA = 0.05
@@ -177,7 +180,7 @@ _COLUMNS = ["kind", "state", "symbol", "target", "seen", "ends", "score_limit"]
 def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     """One kind's automaton as rows; every fifth example is set aside for the limit."""
     words = [v.translate(_SHAPE) for v in sorted(rows["value"])]
-    if len(words) < 20:
+    if len(words) < LEAST_VALUES:
         return pd.DataFrame(columns=_COLUMNS, dtype=object)
     automaton = Automaton([w for i, w in enumerate(words) if i % 5]).merge()
     scores = sorted(automaton.score(w) for i, w in enumerate(words) if i % 5 == 0)
@@ -218,7 +221,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_formats(docs: DataFrame) -> Formats:
-    """Automata from labelled credentials of `docs`; none for a kind with fewer than 20 distinct values."""
+    """Automata from labelled credentials of `docs`; none for a kind with fewer than LEAST_VALUES distinct values."""
     found = stored(docs.select("text").mapInArrow(_examples, "kind int, value string, pairs long").groupBy("kind", "value").agg(F.sum("pairs").alias("pairs")), "credentials")
     sizes = {r[0]: r[1] for r in found.filter("kind >= 0").groupBy("kind").count().collect()}
     share = F.lit(0.0)
@@ -244,13 +247,32 @@ def learn_formats(docs: DataFrame) -> Formats:
     return Formats(automata, pairs, firsts)
 
 
+def _rests(start: int, end: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers; `found` is sorted."""
+    out = []
+    for s, e, _ in found:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
 def spans_of(text: str, formats: Formats) -> list[tuple[int, int, int]]:
-    """All spans (start, end, kind number) by start, then kind; learned ones never overlap base ones."""
+    """All spans (start, end, kind number) by start, then kind; learned ones never overlap base ones.
+
+    Where base spans cover a run in part, its rests are reported if the whole run
+    matches a format, and otherwise each rest that is long enough is scored.
+    """
     found = [(s, e, k) for s, e, k, _ in base_spans(text)]
     learned = []
-    for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in found) and formats.matches(m[0]):
-            learned.append((m.start(), m.end(), 3))
+    if formats.automata:
+        for m in CANDIDATE.finditer(text):
+            rests = _rests(m.start(), m.end(), found)
+            if rests and formats.matches(m[0]):
+                learned += [(s, e, 3) for s, e in rests]
+            elif rests != [m.span()]:
+                learned += [(s, e, 3) for s, e in rests if e - s >= LEAST_CANDIDATE and formats.matches(text[s:e])]
     return sorted(found + learned, key=lambda x: (x[0], x[2]))
 
 

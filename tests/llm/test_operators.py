@@ -374,3 +374,15 @@ def test_statements_over_lines_short_ones_and_copies(spark):
     assert own[5] == [("mpl", texts[5])]
     assert [f for f, _ in own[6]] == ["mit"] and "MIT License" in own[6][0][1]
     assert not any(got[i] for i in range(7, len(got)))
+
+
+def test_short_runs_and_rests_are_scored():
+    class Known:
+        automata = [None]
+
+        def matches(self, value):
+            return value in ("Kq7-Zx81-Pw3", "00112233445566aa-XYZ9", "GHIJ-KLMN-OPQ")
+
+    text = "see Kq7-Zx81-Pw3 and 00112233445566aa-XYZ9 or 00112233445566bbGHIJ-KLMN-OPQ"
+    got = [(text[s:e], secrets.KINDS[k]) for s, e, k in secrets.spans_of(text, Known())]
+    assert got == [("Kq7-Zx81-Pw3", "format"), ("00112233445566aa", "hex"), ("-XYZ9", "format"), ("00112233445566bb", "hex"), ("GHIJ-KLMN-OPQ", "format")]

@@ -43,7 +43,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Learned scores, inferred grammars and byte-pair merges have no SQL form; tests hold the stages to brute force.
+#: Learned scores, inferred grammars and byte-pair merges have no SQL form; tests hold operators, not this chain, to brute force.
 ORACLE_SQL = None
 
 

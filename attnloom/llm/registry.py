@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import html_text, licenses, mixing, near_vectors, neighbours, ngram_join, packing, secrets, token_files, toxicity
+from . import html_text, licenses, mixing, near_vectors, neighbours, ngram_join, packing, prefix_trie, secrets, token_files, toxicity, warc, whitening
+from .oracles import ORACLES
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,7 +16,9 @@ QUERIES = {
     "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
     "op9_mixing_sources": mixing.op9_mixing_sources,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_conversation_trie": prefix_trie.op11_conversation_trie,
+    "op12_warc": warc.op12_warc,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
-#: None of these operators has a form that SQL runs over whole tables in reasonable time; tests use brute force.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -26,8 +26,8 @@ _OTHER = re.compile("[^ -~\n¡-¬®-ɏ]|['İ]")
 _RUN = re.compile(f"([ \n]*[{_LETTERS}]+)")
 #: Bytes of texts that need no closer look: printable ASCII, line ends, and most two-byte letters.
 _PLAIN = bytes([10, *(b for b in range(32, 127) if b != 39), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
-#: Remembered parts; the memory starts anew beyond them.
-MOST_PARTS = 1_000_000
+#: Remembered parts; beyond them the less used ones are forgotten, so that at most half remain.
+MOST_PARTS = 300_000
 BATCH = 256
 
 
@@ -71,6 +71,19 @@ class Encoder:
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.sizes, self.flat = array("i"), array("i")
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the most used half of the parts at most, with their ids."""
+        least = np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]
+        kept = self.uses > least
+        sizes, flat = np.frombuffer(self.sizes, np.int32), np.frombuffer(self.flat, np.int32)
+        numbers = _Numbers()
+        for part, keep in zip(self.numbers, kept.tolist(), strict=True):
+            if keep:
+                numbers[part]
+        rest = array("i", flat[np.repeat(kept, sizes)].tobytes()), array("i", sizes[kept].tobytes())
+        self.numbers, (self.flat, self.sizes), self.uses = numbers, rest, self.uses[kept] // 2
 
     def _remember(self, parts: list[str]) -> None:
         for at in range(0, len(parts), BATCH):  # few results at a time, so that their memory is used again
@@ -88,12 +101,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, in order. Call it with a few MB of text at a time."""
         if len(self.numbers) > MOST_PARTS:
-            self._clear()
+            self._forget()
         known, number = len(self.numbers), self.numbers.__getitem__
         cut = [None if self._uncut(t) else array("i", map(number, filter(None, _RUN.split(t)))) for t in texts]
         if len(self.numbers) > known:
             self._remember(list(self.numbers)[known:])
         of = np.frombuffer(array("i", chain.from_iterable(c for c in cut if c)), np.int32)
+        uses = np.bincount(of, minlength=len(self.numbers))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         sizes, flat = np.frombuffer(self.sizes, np.int32), np.frombuffer(self.flat, np.int32)
         starts = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=starts[1:])

@@ -69,7 +69,7 @@ def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows with about `limit` bytes of text each, so that working memory stays bounded."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
     start = held = 0
@@ -82,5 +82,13 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until `df` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import read_table, slices, stored
+from .common import free_name, read_table, slices, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -202,7 +203,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds, values, counts = [], [], []
         pairs: Counter = Counter()
-        for text in batch.column("text").to_pylist():
+        for text in chain.from_iterable(part.column("text").to_pylist() for part in slices(batch, "text")):
             text = text or ""
             spans = base_spans(text)
             for _, _, kind, value in spans:
@@ -301,8 +302,12 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with every span of a secret replaced by `[secret]`; all rows and columns stay, n_chars follows the text."""
-    scanned = with_spans(docs, learn_formats(docs), "_spans")
+    """`docs` with every span of a secret replaced by `[secret]`; all rows and columns stay, n_chars follows the text.
+
+    Null and empty texts, and an empty table, stay as they are; repeated rows are each masked.
+    """
+    spans = free_name(docs, "spans")
+    scanned = with_spans(docs, learn_formats(docs), spans)
 
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -315,10 +320,10 @@ def without_secrets(docs: DataFrame) -> DataFrame:
             out.append("".join([*parts, text[at:]]) if parts else text)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.size("_spans") > 0, F.pandas_udf(masked, "string")("text", "_spans")).otherwise(F.col("text"))
+    text = F.when(F.size(spans) > 0, F.pandas_udf(masked, "string")("text", spans)).otherwise(F.col("text"))
     done = scanned.withColumn("text", text)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
 
 

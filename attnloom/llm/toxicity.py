@@ -6,8 +6,9 @@ with one word between, in BUCKETS places. The learner keeps per coordinate the
 sums of the proximal form, so each has its own rate, and L1 leaves most weights
 at zero: the model is a few thousand (place, weight) pairs, sent to all tasks.
 
-Fitting takes a bounded sample of labelled rows, MOST_ROWS of each class chosen
-by hash, in one task. Scoring reads every text whole.
+Fitting takes a bounded sample of labelled rows, about MOST_ROWS of each class
+chosen by hash and at most MOST_PLACES places in all, in one task. Scoring reads
+every text whole.
 """
 
 from __future__ import annotations
@@ -16,20 +17,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import read_table, slices, small_join, stored
+from .common import free_name, read_table, slices, small_join, stored
 from .hashing import SIGNS, scramble, words_and_stems
 
 BUCKETS = 1 << 20
-MOST_ROWS = 6000
+MOST_ROWS, MOST_PLACES = 6000, 1 << 26
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 19
 EPOCHS, RATE, SMOOTH, L1, L2 = 6, 0.5, 1.0, 4.0, 0.1
 STEMS = (4, 5, 6)
-_SCORE = "_toxicity"
 _NEXT, _SKIP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,21 +70,35 @@ class Ftrl:
         return at, w[at], float(-self.z[-1] / ((SMOOTH + math.sqrt(self.n[-1])) / RATE))
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["mix", "doc_id", "text"], ignore_index=True)
-    texts, labels = pa.array(rows["text"], pa.string()), rows["toxic"].to_numpy()
-    examples = []
-    for start in range(0, len(rows), 500):
-        row, place = features(texts.slice(start, 500))
-        pairs = np.unique(row * BUCKETS + place)
-        cuts = np.searchsorted(pairs, np.arange(1, min(500, len(rows) - start)) * BUCKETS)
-        examples += [np.append(p % BUCKETS, BUCKETS).astype(np.int32) for p in np.split(pairs, cuts)]
-    learner = Ftrl()
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled rows (doc_id, mix, toxic, text) with the distinct places of their features, as bytes, instead of the text."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            row, place = features(part.column(3))
+            pairs = np.unique(row * BUCKETS + place)
+            cuts = np.searchsorted(pairs, np.arange(1, part.num_rows) * BUCKETS)
+            own = [(p % BUCKETS).astype("<i4").tobytes() for p in np.split(pairs, cuts)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.binary())], ["doc_id", "mix", "toxic", "places"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights from rows (toxic, places) in their order, as far as MOST_PLACES reach."""
+    examples, labels, held = [], [], 0
+    for batch in batches:
+        for label, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(data, "<i4")
+            held += len(own)
+            if held <= MOST_PLACES:
+                examples.append(own)
+                labels.append(label)
+    if not examples:
+        return
+    learner, last = Ftrl(), np.array([BUCKETS], np.int32)
     for _ in range(EPOCHS):
-        for at, label in zip(examples, labels, strict=True):
-            learner.learn(at, int(label))
+        for own, label in zip(examples, labels, strict=True):
+            learner.learn(np.concatenate([own, last]), label)
     at, w, bias = learner.model()
-    return pd.DataFrame({"place": np.append(at, -1), "weight": np.append(w, bias)})
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], ["place", "weight"])
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -96,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights (place -1: intercept), learned only from rows that are not held out.
 
     Labels that are null or of null ids are not used; of repeated labels the
-    larger counts. Without both classes the model is empty, or an intercept of
+    larger counts; of the texts of a repeated id the one whose places are first
+    in byte order is learned. Without both classes the model is empty, or an intercept of
     the only class.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -108,14 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # a share by hash that leaves about MOST_ROWS of each class
     share = F.when(F.col("toxic") == 1, min(1.0, MOST_ROWS / totals[1])).otherwise(min(1.0, MOST_ROWS / totals[0]))
     picked = stored(known.filter((F.pmod(F.col("mix"), F.lit(1 << 20)) / (1 << 20)) < share), "toxic-sample")
-    rows = small_join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), picked, "doc_id")
-    model = stored(rows.groupBy(F.lit(0).alias("one")).applyInPandas(_fit, "place long, weight double"), "toxic-model").toPandas()
+    rows = small_join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), picked, "doc_id").select("doc_id", "mix", "toxic", "text")
+    rows = rows.mapInArrow(_places, StructType([*rows.schema.fields[:3], StructField("places", BinaryType())]))
+    # one row per id, before the rows meet, so that copies of an id do not
+    rows = stored(rows.groupBy("mix", "doc_id", "toxic").agg(F.min("places").alias("places")), "toxic-examples")
+    ordered = rows.coalesce(1).sortWithinPartitions("mix", "doc_id").select("toxic", "places")
+    model = stored(ordered.mapInArrow(_fit, "place long, weight double"), "toxic-model").toPandas()
     if not len(model):
         return np.array([-1]), np.array([-30.0])
     return model["place"].to_numpy(), model["weight"].to_numpy()
 
 
-def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = _SCORE) -> DataFrame:
+def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str) -> DataFrame:
     """`docs` with the probability of label 1 of each whole text; null and empty texts get that of the intercept."""
     at, w = model
     bias, at, w = float(w[at == -1].sum()), at[at >= 0], w[at >= 0]
@@ -124,7 +144,7 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: s
         dense = np.zeros(BUCKETS)
         dense[at] = w
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 row, place = features(part.column(part.schema.get_field_index("text")))
                 used = dense[place] != 0
                 pairs = np.unique(row[used] * BUCKETS + place[used])
@@ -146,8 +166,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose score stays under 0.5."""
-    return with_scores(docs, fit(docs, labels)).filter(F.col(_SCORE) < 0.5).drop(_SCORE)
+    """The rows of `docs`, all columns, whose score stays under 0.5; repeated rows, null and empty texts and an empty table as in `toxicity`."""
+    score = free_name(docs, "score")
+    return with_scores(docs, fit(docs, labels), score).filter(F.col(score) < 0.5).drop(score)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

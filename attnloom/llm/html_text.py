@@ -164,7 +164,7 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "html"):
+        for part in slices(batch, "html", 4 << 20):
             found = pa.array([main_text(h) for h in part.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), found], ["page_id", "url", "text"])
 

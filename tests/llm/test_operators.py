@@ -135,13 +135,14 @@ def test_mixing(docs, none, rows):
             break
         target |= {s: 2.0 * sizes[s] for s in over}
         left, free = left - sum(2 * sizes[s] for s in over), free - over
-    source_of = {r[0]: r[3] for r in rows}
+    assert len(set(sizes.values())) == len(names)
+    of_size = {n: s for s, n in sizes.items()}
     taken = dict.fromkeys(names, 0)
     for r in got:
         assert r.taken in (0, r["size"], 2 * r["size"])
         assert r.target in [pytest.approx(target[s]) for s in names]
-        taken[source_of[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - target[s]) <= max(200, 0.05 * target[s]) for s in names if s != source_of[500] and s != source_of[405])
+        taken[of_size[r.source_size]] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 100 for s in names)
     key = lambda r: (r.doc_id, r["size"], r.taken)
     assert sorted(map(key, mixing.mixed(docs.repartition(7)).collect())) == sorted(map(key, got))
     copies = mixing.mixed_rows(docs)
@@ -150,6 +151,28 @@ def test_mixing(docs, none, rows):
     assert mixing.mixed(none).collect() == []
 
 
+def test_mixing_repeated_and_sized(spark):
+    texts = [(7, "a", "w " * 100)] * 2000 + [(i, "b", "w " * (1 + i % 90)) for i in range(3000)] + [(None, "c", None)] * 3 + [(1, None, "x y")]
+    frame = spark.createDataFrame(texts, "doc_id long, source string, text string").repartition(3)
+    got = mixing.mixed(frame).collect()
+    for size in (200_000, sum(1 + i % 90 for i in range(3000))):
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 100
+    assert len(got) == len(texts) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    b = [r for r in got if r.source_size != 200_000 and r["size"] > 2]
+    share = [np.mean([r.taken == 2 * r["size"] for r in b if low <= r["size"] < low + 30]) for low in (3, 60)]
+    assert share[1] > 1.3 * share[0] > 0  # long documents are likelier
+
+
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, target int, docs int, bucket int, ranking int, _size int, _at int, score int, spans int, chance int, _band int, missing int, copies int"
+    frame = spark.createDataFrame([(i, f"word{i} some more words", "ab"[i % 2], *range(i, i + 12)) for i in range(40)], names)
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    given = {tuple(r) for r in frame.collect()}
+    for out in (mixing.mixed_rows(frame), toxicity.without_toxic(frame, marks), secrets.without_secrets(frame)):
+        assert out.columns == frame.columns and {tuple(r) for r in out.collect()} <= given
+
+
 def test_secrets(spark, none):
     values = ["".join(chance.choices("0123456789abcdef", k=32)) for _ in range(60)]
     texts = [f"été token = {v} end" for v in values] + ["plain words only", None, "", "API_KEY: 'Abc+/=_.-1234' AKIA" + "B2" * 9, "secret=short password=" + "z" * 12]

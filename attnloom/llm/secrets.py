@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import free_name, read_table, slices, stored
+from .common import read_table, slices, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -306,25 +306,31 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and an empty table, stay as they are; repeated rows are each masked.
     """
-    spans = free_name(docs, "spans")
-    scanned = with_spans(docs, learn_formats(docs), spans)
-
-    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            parts, at = [], 0
-            for s in own if text is not None else ():
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], "[secret]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, text[at:]]) if parts else text)
-        return pd.Series(out, dtype=object)
-
-    text = F.when(F.size(spans) > 0, F.pandas_udf(masked, "string")("text", spans)).otherwise(F.col("text"))
-    done = scanned.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    formats = learn_formats(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                at, size = (part.schema.get_field_index(c) for c in ("text", "n_chars"))
+                texts = part.column(at).to_pylist()
+                masked = [t and _masked(t, spans_of(t, formats)) for t in texts]
+                columns = list(part.columns)
+                columns[at] = pa.array(masked, part.schema.field(at).type)
+                if size >= 0:
+                    counts = [n if m is t else len(m) for t, m, n in zip(texts, masked, columns[size].to_pylist(), strict=True)]
+                    columns[size] = pa.array(counts, part.schema.field(size).type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    parts, at = [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            parts += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Many small-to-large regressions side by side: bounded row blocks and tree sums.
+"""Many small-to-large matrices side by side: bounded tiles and tree sums.
 
-Rows of all probes live in one table. Every probe is cut into blocks of about
-`BLOCK_ROWS` rows by a hash of the example, so one huge probe becomes many
-blocks. A task turns a block into a fixed-size matrix of sums; sums are added
-in a tree whose fan-in is bounded, so no task ever sees all blocks of a large
-probe at once.
+Rows of all probes live in one table. The matrix of a probe is cut into tiles of
+about TILE rows (by a hash of the example) and TILE columns, one table row each.
+A task turns a tile into a matrix of sums; sums are added in a tree, and a task
+adds no more of them at once than FAN_BYTES hold. So no task sees a whole matrix,
+whatever its numbers of rows and columns are. A small matrix is one tile.
 """
 
 from __future__ import annotations
@@ -13,19 +13,26 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 4096
-FAN_IN = 64
-BLOCK, BLOCKS, SUMS = "_block", "_blocks", "_sums"
+TILE = 1024
+FAN_BYTES = 1 << 28
+#: Index and number of tiles along rows and columns; index of a part in a sum, and the sum.
+ROW, ROWS, COL, COLS = "_row_tile", "_row_tiles", "_col_tile", "_col_tiles"
+BLOCK, SUMS = "_block", "_sums"
 
 
 def fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
+def schema(df: DataFrame, keys: Sequence[str], **columns: T.DataType) -> T.StructType:
+    """The fields of `keys` in `df`, and further columns."""
+    return T.StructType([*fields(df, keys), *[T.StructField(n, t) for n, t in columns.items()]])
+
+
 def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, dtype=np.float64).tobytes()
 
@@ -45,51 +52,97 @@ def plain(column: pd.Series, sample) -> pd.Series:
     return column.infer_objects() if isinstance(sample, (bool, int, float, np.number)) else column
 
 
-def assign_blocks(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Add the block number; `sizes` has `n_train` per probe."""
-    blocks = sizes.select(*keys, F.ceil(F.col("n_train") / F.lit(BLOCK_ROWS)).cast("int").alias(BLOCKS))
-    joined = rows.join(blocks, list(keys))
-    return joined.withColumn(BLOCK, F.pmod(F.xxhash64(*row), F.col(BLOCKS)).cast("int")).drop(BLOCKS)
+def tile_counts(sizes: DataFrame) -> DataFrame:
+    """`sizes` (n_train, n_features) with the numbers of tiles along both sides."""
+    along = {ROWS: "n_train", COLS: "n_features"}
+    return sizes.withColumns({name: F.ceil(F.col(n) / F.lit(float(TILE))).cast("int") for name, n in along.items()})
+
+
+def is_single() -> Column:
+    """Of sizes: the matrix is one tile."""
+    return (F.col("n_train") <= TILE) & (F.col("n_features") <= TILE)
+
+
+def each_single(
+    train: DataFrame, sizes: DataFrame, keys: Sequence[str], per_matrix: Callable[[tuple, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame],
+    out: T.StructType,
+) -> DataFrame:
+    """Run a function on the matrix, y and s of every probe of `train` that is one tile."""
+    keys = list(keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return per_matrix(key, np.stack(pdf["features"].to_numpy()), pdf["y"].to_numpy(), pdf["s"].to_numpy())
+
+    single = train.join(sizes.filter(is_single()).select(*keys), keys).select(*keys, "features", "y", "s")
+    return single.groupBy(*keys).applyInPandas(run, out)
+
+
+def tiles(train: DataFrame, sizes: DataFrame, keys: Sequence[str], row: Sequence[str], extras: Sequence[str] = ()) -> DataFrame:
+    """(keys, tile indices and counts, x, extras): the matrix of every probe as packed tiles.
+
+    `train` has keys, row, features (array) and the extras, numbers that every
+    column tile carries along. Rows of a tile are in the order of `row`.
+    """
+    keys, extras = list(keys), list(extras)
+    own = [c for c in row if c not in keys]
+    counted = train.join(tile_counts(sizes).select(*keys, ROWS, COLS), keys)
+    cut = F.transform(F.sequence(F.lit(0), F.col(COLS) - 1), lambda i: F.slice("features", i * TILE + 1, TILE))
+    rows = counted.withColumn(ROW, F.pmod(F.xxhash64(*row), F.col(ROWS)).cast("int")).select(
+        *keys, *own, ROW, ROWS, COLS, *extras, F.posexplode(cut).alias(COL, "x")
+    )
+    names = [*keys, ROW, COL]
+
+    def stack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(own, kind="stable") if own else pdf
+        first = {c: int(pdf[c].iloc[0]) for c in (ROWS, COLS)}
+        return keyed(key, names, **first, x=pack(np.stack(pdf["x"].to_numpy())), **{c: pack(pdf[c].to_numpy()) for c in extras})
+
+    out = schema(train, keys, **{ROW: T.IntegerType(), COL: T.IntegerType(), ROWS: T.IntegerType(), COLS: T.IntegerType()},
+                 x=T.BinaryType(), **{c: T.BinaryType() for c in extras})
+    return rows.groupBy(*names).applyInPandas(stack, out)
 
 
 def with_models(
     rows: DataFrame,
     models: DataFrame,
-    keys: Sequence[str],
-    per_block: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    schema: T.StructType,
+    names: Sequence[str],
+    per_tile: Callable[[tuple, pd.Series, pd.Series], pd.DataFrame],
+    out: T.StructType,
 ) -> DataFrame:
-    """Run a function on every block together with the one model row of its probe.
-
-    The model travels once per block, not once per row. `models` carries the
-    number of blocks in `_blocks`.
-    """
-    names = [*keys, BLOCK]
-    spread = models.withColumn(BLOCK, F.explode(F.sequence(F.lit(0), F.col(BLOCKS) - 1))).drop(BLOCKS)
+    """Run a function on every row of `rows` together with the one row of `models` of the same names."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
-        return per_block(key, left, right)
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in out.fields})
+        return per_tile(key, left.iloc[0], right.iloc[0])
 
-    return rows.groupBy(*names).cogroup(spread.groupBy(*names)).applyInPandas(run, schema)
+    return rows.groupBy(*names).cogroup(models.groupBy(*names)).applyInPandas(run, out)
 
 
-def tree_sum(parts: DataFrame, keys: Sequence[str], most_blocks: int) -> DataFrame:
-    """Add the packed sums of all blocks of a probe, at most `FAN_IN` at a time."""
-    names = [*keys, BLOCK]
-    schema = T.StructType(
-        [*fields(parts, keys), T.StructField(BLOCK, T.IntegerType()), T.StructField(SUMS, T.BinaryType())]
-    )
+def spread(models: DataFrame, index: str, count: str) -> DataFrame:
+    """Each row once for every tile index below its count: a model travels once per tile, not once per row."""
+    return models.withColumn(index, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+
+
+def each_tile(rows: DataFrame, names: Sequence[str], per_tile: Callable[[tuple, pd.Series], pd.DataFrame], out: T.StructType) -> DataFrame:
+    """Run a function on every row of `rows`, of which there is one per names."""
+    return rows.groupBy(*names).applyInPandas(lambda key, pdf: per_tile(key, pdf.iloc[0]), out)
+
+
+def tree_sum(parts: DataFrame, names: Sequence[str], most: int, values: int) -> DataFrame:
+    """Add the packed sums (SUMS) of each `names` over BLOCK, of which there are at most `most`, of about `values` numbers each."""
+    names = list(names)
+    fan = max(2, FAN_BYTES // (8 * max(1, values)))
+    out = schema(parts, names, **{BLOCK: T.IntegerType(), SUMS: T.BinaryType()})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = unpack(pdf[SUMS].iloc[0]).copy()
         for data in pdf[SUMS].iloc[1:]:
             total += unpack(data)
-        return keyed(key, names, **{SUMS: pack(total)})
+        return keyed(key, [*names, BLOCK], **{SUMS: pack(total)})
 
-    while most_blocks > 1:
-        merged = parts.withColumn(BLOCK, F.expr(f"{BLOCK} div {FAN_IN}").cast("int"))
-        parts = merged.groupBy(*names).applyInPandas(add, schema)
-        most_blocks = -(-most_blocks // FAN_IN)
+    while most > 1:
+        merged = parts.withColumn(BLOCK, F.expr(f"{BLOCK} div {fan}").cast("int"))
+        parts = merged.groupBy(*names, BLOCK).applyInPandas(add, out)
+        most = -(-most // fan)
     return parts.drop(BLOCK)

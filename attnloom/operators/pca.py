@@ -1,27 +1,29 @@
-"""Principal components fitted on training rows, for all probes of a sweep at once.
-
-Narrow features use the exact covariance (one pass of block sums). Wide
-features, whose covariance would not fit a task, use a distributed truncated
-SVD of the centred rows, one probe at a time.
+"""Principal components of the training rows of all probes of a sweep at once.
+
+Both shapes take one way. Columns are centred by their means. The thin side of a
+matrix, its columns if there are no more of them than rows and else its rows,
+gives a Gram matrix by products of tiles, added in a tree; its eigenvectors are
+the components, or turn into them by one more product with the tiles. Components
+stay a table of column tiles, however many features there are. One task holds
+the Gram matrix of one probe, whose size is that of the thin side. A matrix that
+is one tile has nothing to be added across tiles and takes the same steps in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
+from .blocks import BLOCK, COL, COLS, ROW, ROWS, SUMS
 
-MAX_COVARIANCE = 2048  # widest features whose d x d covariance goes through a task (32 MB)
+_THIN, _OTHER = "_thin", "_other"
 
 
 def clamp_dim(wanted: int | None, n_features: int, n_train: int) -> int | None:
@@ -29,108 +31,216 @@ def clamp_dim(wanted: int | None, n_features: int, n_train: int) -> int | None:
     return None if wanted is None else min(wanted, n_features, n_train)
 
 
-def principal_axes(x: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, components and variances of a matrix that is known to fit a task."""
+def directions(gram: np.ndarray, n: int, d: int, dim: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Falling eigenvalues and eigenvectors of the Gram matrix of the thin side of n x d, and its rank.
+
+    As many as `dim` asks for, or without it all that have variance.
+    """
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    rank = int((values > len(values) * np.finfo(float).eps * values[0]).sum())
+    k = rank if dim is None else clamp_dim(dim, d, n)
+    values, vectors = values[:k], vectors[:, :k].copy()
+    if d > n:
+        vectors[:, rank:] = 0.0  # beyond the rank rows span no direction
+    return values, vectors, rank
+
+
+def turned(x: np.ndarray, vectors: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Components, as columns, from eigenvectors of x x'."""
+    scale = np.sqrt(values)
+    return x.T @ (vectors / np.where(scale > 0, scale, np.inf))
+
+
+def components_of_tile(x: np.ndarray, dim: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Mean, components as columns, their eigenvalues and the rank of a matrix that is one tile."""
     n, d = x.shape
     mean = x.mean(0)
-    centred = x - mean
-    if d <= n:
-        values, vectors = np.linalg.eigh(centred.T @ centred)
-        top = np.argsort(values)[::-1][:dim]
-        return mean, vectors[:, top].T, values[top] / max(n - 1, 1)
-    values, vectors = np.linalg.eigh(centred @ centred.T)
-    top = np.argsort(values)[::-1][:dim]
-    scale = np.sqrt(np.maximum(values[top], 0.0))
-    axes = (vectors[:, top] / np.where(scale > 1e-12, scale, np.inf)).T @ centred
-    return mean, axes, values[top] / max(n - 1, 1)
-
-
-def fit_components(train: DataFrame, sizes: DataFrame, keys: Sequence[str], dim: int, most_blocks: int) -> DataFrame:
-    """`(keys, pca_dim, mean, components, variance)` from blocked training rows.
-
-    `components` is a packed dim x d matrix, rows by falling variance.
-    """
+    x = x - mean
+    values, vectors, rank = directions(x @ x.T if d > n else x.T @ x, n, d, dim)
+    return mean, turned(x, vectors, values) if d > n else vectors, values, rank
+
+
+@dataclass(frozen=True)
+class Shapes:
+    """Largest numbers of tiles and of values along the sides of all matrices of a sweep."""
+
+    rows: int
+    cols: int
+    n: int
+    d: int
+    tall: bool
+    wide: bool
+    single: bool
+
+    @staticmethod
+    def of(sizes: DataFrame) -> Shapes:
+        wide = F.col("n_features") > F.col("n_train")
+        r = B.tile_counts(sizes).agg(
+            F.max(ROWS).alias("rows"), F.max(COLS).alias("cols"), F.max("n_train").alias("n"), F.max("n_features").alias("d"),
+            *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("tall", ~wide), ("wide", wide), ("single", B.is_single()))],
+        ).first()
+        return Shapes(r["rows"] or 0, r["cols"] or 0, r["n"] or 0, r["d"] or 0, r["tall"], r["wide"], r["single"])
+
+
+def column_means(tiles: DataFrame, sizes: DataFrame, keys: Sequence[str], shapes: Shapes) -> DataFrame:
+    """(keys, COL, ROWS, COLS, mean)."""
     keys = list(keys)
-    names = [*keys, B.BLOCK]
-    key_fields = B.fields(train, keys)
-    part_schema = T.StructType(
-        [*key_fields, T.StructField(B.BLOCK, T.IntegerType()), T.StructField(B.SUMS, T.BinaryType())]
-    )
-
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["features"].to_numpy())
-        return B.keyed(key, names, **{B.SUMS: B.pack(np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))})
-
-    parts = train.select(*names, "features").groupBy(*names).applyInPandas(sums, part_schema)
-    total = B.tree_sum(parts, keys, most_blocks).join(sizes.select(*keys, "n_features"), keys)
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("pca_dim", T.IntegerType()),
-            T.StructField("mean", T.BinaryType()),
-            T.StructField("components", T.BinaryType()),
-            T.StructField("variance", T.ArrayType(T.DoubleType())),
-        ]
-    )
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["n_features"].iloc[0])
-        s = B.unpack(pdf[B.SUMS].iloc[0])
-        n, mean = s[0], s[1 : d + 1] / s[0]
-        cov = (s[d + 1 :].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
-        values, vectors = np.linalg.eigh(cov)
-        k = clamp_dim(dim, d, int(n))
-        top = np.argsort(values)[::-1][:k]
-        return B.keyed(
-            key, keys, pca_dim=k, mean=B.pack(mean), components=B.pack(vectors[:, top].T), variance=values[top].tolist()
-        )
+    def sums(key: tuple, tile: pd.Series) -> pd.DataFrame:
+        rows = len(tile["y"]) // 8
+        return B.keyed((*key[:-2], key[-1], key[-2]), [*keys, COL, BLOCK], **{SUMS: B.pack(B.unpack(tile["x"]).reshape(rows, -1).sum(0))})
 
-    return total.groupBy(*keys).applyInPandas(solve, schema)
+    parts = B.each_tile(tiles, [*keys, ROW, COL], sums, B.schema(tiles, keys, **{COL: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
+    totals = B.tree_sum(parts, [*keys, COL], shapes.rows, B.TILE).join(B.tile_counts(sizes).select(*keys, ROWS, COLS, "n_train"), keys)
 
+    def divide(key: tuple, total: pd.Series) -> pd.DataFrame:
+        return B.keyed(key, [*keys, COL], **{ROWS: int(total[ROWS]), COLS: int(total[COLS])}, mean=B.pack(B.unpack(total[SUMS]) / int(total["n_train"])))
 
-def fit_pca(features: DataFrame, keys: Sequence[str], row: Sequence[str], dim: int) -> DataFrame:
-    """Components of the training rows of `(keys, row, part, features)`, for all groups at once."""
+    out = B.schema(tiles, keys, **{COL: T.IntegerType(), ROWS: T.IntegerType(), COLS: T.IntegerType()}, mean=T.BinaryType())
+    return B.each_tile(totals, [*keys, COL], divide, out)
+
+
+def centred(tiles: DataFrame, means: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    train = features.filter(F.col("part") == "train")
-    sizes = train.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_train"), F.max(F.size("features")).alias("n_features")
-    )
-    largest = sizes.agg(F.max("n_train").alias("n")).first()["n"]
-    blocked = B.assign_blocks(train.select(*dict.fromkeys([*keys, *row]), "features"), sizes, keys, row)
-    return fit_components(blocked, sizes, keys, dim, -(-largest // B.BLOCK_ROWS))
+    names = [*keys, ROW, COL]
 
+    def subtract(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+        mean = B.unpack(model["mean"])
+        x = B.unpack(tile["x"]).reshape(-1, len(mean)) - mean
+        return B.keyed(key, names, **{ROWS: int(tile[ROWS]), COLS: int(tile[COLS])}, x=B.pack(x), y=tile["y"], s=tile["s"])
 
-def project(rows: DataFrame, models: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Rows in component space; `models` carries `_blocks`."""
-    keep = list(keep)
-    schema = T.StructType(
-        [*B.fields(rows, [*keys, B.BLOCK, *keep]), T.StructField("features", T.ArrayType(T.DoubleType()))]
-    )
+    return B.with_models(tiles, B.spread(means.drop(COLS), ROW, ROWS).drop(ROWS), names, subtract, tiles.schema)
 
-    def per_block(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        mean = B.unpack(model["mean"].iloc[0])
-        components = B.unpack(model["components"].iloc[0]).reshape(-1, len(mean))
-        x = np.stack(pdf["features"].to_numpy())
-        out = pd.DataFrame({c: pdf[c].astype(object) if c in keys else pdf[c] for c in [*keys, B.BLOCK, *keep]})
-        out["features"] = list((x - mean) @ components.T)
-        return out
 
-    return B.with_models(rows, models.select(*keys, B.BLOCKS, "mean", "components"), keys, per_block, schema)
+def _gram(tiles: DataFrame, sizes: DataFrame, keys: list[str], shapes: Shapes) -> DataFrame:
+    """(keys, _thin, _other, SUMS): tiles of the Gram matrices, upper half."""
+    shaped = tiles.join(sizes.select(*keys, (F.col("n_features") > F.col("n_train")).alias("_wide")), keys)
+    thin, long = F.when(F.col("_wide"), F.col(ROW)).otherwise(F.col(COL)), F.when(F.col("_wide"), F.col(COL)).otherwise(F.col(ROW))
+    shaped = shaped.select(*keys, "_wide", thin.alias(_THIN), long.alias(BLOCK), F.when(F.col("_wide"), F.col(ROWS)).otherwise(F.col(COLS)).alias("_thins"), "x", F.octet_length("y").alias("_y"))
+    out = B.schema(tiles, keys, **{_THIN: T.IntegerType(), _OTHER: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()})
 
+    def side(tile: pd.Series) -> np.ndarray:
+        x = B.unpack(tile["x"]).reshape(int(tile["_y"]) // 8, -1)
+        return x.T if tile["_wide"] else x
 
-def explained_variance(components: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return components.select(*keys, "pca_dim", F.posexplode("variance").alias("component", "variance"))
+    def own(key: tuple, tile: pd.Series) -> pd.DataFrame:
+        a = side(tile)
+        return B.keyed((*key[:-1], key[-2], key[-1]), [*keys, _THIN, _OTHER, BLOCK], **{SUMS: B.pack(a.T @ a)})
+
+    parts = B.each_tile(shaped, [*keys, _THIN, BLOCK], own, out)
+    if (shapes.cols if shapes.tall else 0) > 1 or (shapes.rows if shapes.wide else 0) > 1:
+        # a thin side of several tiles: each pair of them, along every tile of the long side
+        every = F.explode(F.sequence(F.lit(0), F.col("_thins") - 1))
+        upper = F.col(_OTHER) > F.col(_THIN)
+        first = shaped.withColumn(_OTHER, every).filter(upper)
+        second = shaped.withColumnRenamed(_THIN, _OTHER).withColumn(_THIN, every).filter(upper)
+        second = second.toDF(*second.columns)  # columns of its own, as both sides come from one table
+        names = [*keys, _THIN, _OTHER, BLOCK]
+
+        def pair(key: tuple, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+            return B.keyed(key, names, **{SUMS: B.pack(side(a).T @ side(b))})
 
+        parts = parts.unionByName(B.with_models(first, second, names, pair, out))
+    longest = max(shapes.rows if shapes.tall else 1, shapes.cols if shapes.wide else 1)
+    return B.tree_sum(parts, [*keys, _THIN, _OTHER], longest, B.TILE**2)
 
-def wide_components(train: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and components of one probe with wide features.
 
-    Centring and the truncated SVD run on distributed rows in the JVM. Only the
-    mean and the dim x d components reach the driver; their size depends on the
-    model and not on the number of rows.
+def _solve(gram: DataFrame, sizes: DataFrame, keys: list[str], dim: int | None) -> DataFrame:
+    """(keys, _thin, basis, values, pca_dim, rank): eigenvectors of each thin tile, by falling eigenvalue.
+
+    Without `dim` all directions of positive variance are kept.
     """
-    vectors = train.select(array_to_vector("features").alias("v"))
-    scaler = StandardScaler(inputCol="v", outputCol="centred", withMean=True, withStd=False).fit(vectors)
-    centred = scaler.transform(vectors).select("centred")
-    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(centred))
-    return scaler.mean.toArray(), rows.computeSVD(dim, computeU=False).V.toArray().T
+    out = B.schema(gram, keys, **{_THIN: T.IntegerType()}, basis=T.BinaryType(), values=T.BinaryType(), pca_dim=T.IntegerType(), rank=T.IntegerType(), variance=T.ArrayType(T.DoubleType()))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, d = int(pdf["n_train"].iloc[0]), int(pdf["n_features"].iloc[0])
+        pieces = {(int(r[_THIN]), int(r[_OTHER])): B.unpack(r[SUMS]) for _, r in pdf.iterrows()}
+        widths = [round(len(pieces[t, t]) ** 0.5) for t in range(max(t for t, _ in pieces) + 1) if (t, t) in pieces]
+        names = [t for t in range(max(t for t, _ in pieces) + 1) if (t, t) in pieces]
+        at = dict(zip(names, np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(int)))
+        size = dict(zip(names, widths))
+        whole = np.zeros((sum(widths), sum(widths)))
+        for (t, u), values in pieces.items():
+            block = values.reshape(size[t], size[u])
+            whole[at[t] : at[t] + size[t], at[u] : at[u] + size[u]] = block
+            whole[at[u] : at[u] + size[u], at[t] : at[t] + size[t]] = block.T
+        values, vectors, rank = directions(whole, n, d, dim)
+        k = len(values)
+        rows = [B.keyed(key, keys, **{_THIN: t}, basis=B.pack(vectors[at[t] : at[t] + size[t]]), values=B.pack(values), pca_dim=k, rank=rank,
+                        variance=(values / max(n - 1, 1)).tolist()) for t in names]
+        return pd.concat(rows, ignore_index=True)
+
+    return gram.join(sizes.select(*keys, "n_train", "n_features"), keys).groupBy(*keys).applyInPandas(solve, out)
+
+
+def components_of(tiles: DataFrame, sizes: DataFrame, keys: Sequence[str], dim: int | None, shapes: Shapes) -> tuple[DataFrame, DataFrame]:
+    """Of centred tiles: (keys, COL, axes) with packed columns x components, and facts (keys, pca_dim, rank, variance)."""
+    keys = list(keys)
+    solved = _solve(_gram(tiles, sizes, keys, shapes), sizes, keys, dim).persist()
+    facts = solved.filter(F.col(_THIN) == 0).select(*keys, "pca_dim", "rank", "variance")
+    # thin tiles may be empty for a hash without rows; the first of them then has another number
+    if shapes.rows > 1 and shapes.wide:
+        facts = solved.groupBy(*keys).agg(F.max("pca_dim").alias("pca_dim"), F.max("rank").alias("rank"), F.first("variance").alias("variance"))
+    out = B.schema(tiles, keys, **{COL: T.IntegerType()}, axes=T.BinaryType())
+    shaped = solved.join(B.tile_counts(sizes).select(*keys, COLS, (F.col("n_features") > F.col("n_train")).alias("_wide")), keys)
+    axes = shaped.filter("NOT _wide").select(*keys, F.col(_THIN).alias(COL), F.col("basis").alias("axes"))
+    if shapes.wide:
+        names = [*keys, ROW, COL]
+        bases = B.spread(shaped.filter("_wide").withColumnRenamed(_THIN, ROW).select(*keys, ROW, COLS, "basis", "values"), COL, COLS).drop(COLS)
+
+        def turn(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+            values = B.unpack(model["values"])
+            x = B.unpack(tile["x"]).reshape(len(tile["y"]) // 8, -1)
+            part = turned(x, B.unpack(model["basis"]).reshape(len(x), len(values)), values)
+            return B.keyed((*key[:-2], key[-1], key[-2]), [*keys, COL, BLOCK], **{SUMS: B.pack(part)})
+
+        parts = B.with_models(tiles, bases, names, turn, B.schema(tiles, keys, **{COL: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
+        most = min(shapes.n, dim or shapes.n)
+        axes = axes.unionByName(B.tree_sum(parts, [*keys, COL], shapes.rows, B.TILE * most).withColumnRenamed(SUMS, "axes"))
+    return axes.select(*[f.name for f in out.fields]), facts
+
+
+def project(tiles: DataFrame, axes: DataFrame, sizes: DataFrame, keys: Sequence[str], shapes: Shapes, most: int) -> DataFrame:
+    """(keys, ROW, ROWS, z): rows in component space, with y and s as the last two columns of packed z."""
+    keys = list(keys)
+    names = [*keys, ROW, COL]
+    models = B.spread(axes.join(B.tile_counts(sizes).select(*keys, ROWS), keys), ROW, ROWS).drop(ROWS)
+
+    def turn(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+        y, s = B.unpack(tile["y"]), B.unpack(tile["s"])
+        x = B.unpack(tile["x"]).reshape(len(y), -1)
+        z = x @ B.unpack(model["axes"]).reshape(x.shape[1], -1)
+        first = float(key[-1] == 0)
+        return B.keyed(key, [*keys, ROW, BLOCK], **{SUMS: B.pack(np.column_stack([z, first * y, first * s]))})
+
+    parts = B.with_models(tiles, models, names, turn, B.schema(tiles, keys, **{ROW: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
+    return B.tree_sum(parts, [*keys, ROW], shapes.cols, B.TILE * (most + 2)).withColumnRenamed(SUMS, "z")
+
+
+def fit_pca(features: DataFrame, keys: Sequence[str], row: Sequence[str], dim: int) -> DataFrame:
+    """(keys, pca_dim, rank, variance) of the training rows of `(keys, row, part, features)`, for all groups at once."""
+    keys = list(keys)
+    train = features.filter(F.col("part") == "train")
+    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.max(F.size("features")).alias("n_features")).persist()
+    shapes = Shapes.of(sizes)
+    rows = train.select(*dict.fromkeys([*keys, *row]), "features", F.lit(0.0).alias("y"), F.lit(0.0).alias("s"))
+    out = B.schema(train, keys, pca_dim=T.IntegerType(), rank=T.IntegerType(), variance=T.ArrayType(T.DoubleType()))
+
+    def whole(key: tuple, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        _, _, values, rank = components_of_tile(x, dim)
+        return B.keyed(key, keys, pca_dim=len(values), rank=rank, variance=(values / max(len(x) - 1, 1)).tolist())
+
+    found = []
+    if shapes.single:
+        found.append(B.each_single(rows, sizes, keys, whole, out))
+    if shapes.rows > 1 or shapes.cols > 1:
+        sizes = sizes.filter(~B.is_single())
+        tiles = B.tiles(rows, sizes, keys, row, ["y", "s"])
+        flat = centred(tiles, column_means(tiles, sizes, keys, shapes), keys)
+        found.append(components_of(flat, sizes, keys, dim, shapes)[1])
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def explained_variance(components: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return components.select(*keys, "pca_dim", F.posexplode("variance").alias("component", "variance"))

@@ -1,14 +1,13 @@
 """Logistic-regression probes: L2 penalty, balanced classes, optional PCA.
 
-A sweep is one table of feature rows keyed by probe, and the measured size of
-each probe decides how it is fitted:
-
-* training matrix within `LOCAL_VALUES`: one task per probe, all probes of the
-  sweep in a single job;
-* larger: damped Newton steps over row blocks. Per iteration one pass gives
-  every large probe its gradient and Hessian and a small task solves for the
-  next step, so the number of jobs is the number of iterations (about ten);
-* larger and too wide for a Hessian: the L-BFGS of Spark ML, one probe per fit.
+A sweep is one table of feature rows keyed by probe, and all probes take one way.
+Their matrices are cut into tiles. With PCA, and where there are more features
+than rows, rows move into the space of the components (the penalty is invariant
+under rotation, so without PCA all directions of the row space are kept). Damped
+Newton steps follow: per pass every tile gives its probe's gradient and Hessian,
+a tree adds them, and a small task solves for the next step; the number of passes
+is that of the slowest probe (about ten). A probe that is one tile has no sums to
+wait for and takes the same steps in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +29,7 @@ from .metrics import probe_metrics
 
 MAX_ITER = 2000  # fixed value: iteration limit of the reference solver, an upper bound here
 SEED = 42  # fixed value: recorded seed; the fit itself has no random part
-MAX_NEWTON = 2048  # widest features (after PCA) solved by Newton steps
 TOLERANCE = 1e-8
-MAX_BASIS = 1 << 28  # largest PCA basis sent to every executor (2 GB), a bound on the model and not on the rows
-LOCAL_VALUES = 1 << 24  # largest training matrix handled by one task (128 MB)
 METRICS = ("auc", "average_precision", "precision", "recall", "f1")
 
 
@@ -73,64 +67,123 @@ def fit_probes(
 
     Gives one row per probe: `coef` and `intercept` in the space of the given
     features (PCA is linear and folds into them), the number of trained
-    parameters, and how the fit ended.
+    parameters, the rank of the centred rows where they were rotated, and how
+    the fit ended.
     """
     keys = list(keys)
     sizes = cut_lineage(probe_sizes(features, keys))
-    small = F.col("n_train") * F.col("n_features") <= LOCAL_VALUES
-    counts = sizes.agg(F.count_if(small).alias("small"), F.count_if(~small).alias("large")).first()
-    if not counts["small"] + counts["large"]:
+    shapes = P.Shapes.of(sizes)
+    if not shapes.n:
         raise ValueError("no training rows")
+    train = features.filter(F.col("part") == "train").join(sizes.select(*keys, "n_train", "n_1"), keys)
+    weight = balanced_weight(F.col("n_train"), F.col("n_1"), F.col("label"))
+    train = train.select(*keys, *[c for c in row if c not in keys], F.col("label").cast("double").alias("y"), weight.alias("s"), "features")
+    kept: list[DataFrame] = []
     fitted = []
-    if counts["small"]:
-        fitted.append(_fit_in_tasks(features, sizes.filter(small), keys, pca_dim, max_iter, tolerance))
-    if counts["large"]:
-        fitted.append(_fit_large(features, sizes.filter(~small), keys, row, pca_dim, max_iter, tolerance))
-    return fitted[0] if len(fitted) == 1 else fitted[0].unionByName(fitted[1])
-
-
-def _model_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType(
-        [
-            *B.fields(df, keys),
-            T.StructField("coef", T.ArrayType(T.DoubleType())),
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("trainable_params", T.IntegerType()),
-            T.StructField("pca_dim", T.IntegerType()),
-            T.StructField("n_train", T.LongType()),
-            T.StructField("iterations", T.IntegerType()),
-            T.StructField("converged", T.BooleanType()),
-        ]
-    )
+    try:
+        if shapes.single:
+            fitted.append(_fit_single(train, sizes, keys, pca_dim, max_iter, tolerance))
+        if shapes.rows > 1 or shapes.cols > 1:
+            sizes = sizes.filter(~B.is_single())
+            tiles = B.tiles(train, sizes, keys, row, ["y", "s"]).repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(tiles)
+            rotated = F.lit(True) if pca_dim is not None else F.col("n_features") > F.col("n_train")
+            for fit, own in ((_fit_rotated, sizes.filter(rotated)), (_fit_plain, sizes.filter(~rotated))):
+                if not own.isEmpty():
+                    fitted.append(fit(tiles.join(own.select(*keys), keys, "left_semi"), own, keys, pca_dim, max_iter, tolerance, kept))
+        models = fitted[0]
+        for more in fitted[1:]:
+            models = models.unionByName(more)
+        return cut_lineage(models)
+    finally:
+        for table in kept:
+            table.unpersist()
 
 
-def _fit_in_tasks(
-    features: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: int | None, max_iter: int, tolerance: float
-) -> DataFrame:
-    """One task per probe; `sizes` holds only probes whose matrix was measured to fit."""
-    train = features.filter(F.col("part") == "train").join(sizes.select(*keys, "n_train", "n_1"), keys)
-    weight = balanced_weight(F.col("n_train"), F.col("n_1"), F.col("label"))
-    train = train.select(*keys, F.col("label").cast("double").alias("y"), weight.alias("s"), "features")
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, s = np.stack(pdf["features"].to_numpy()), pdf["y"].to_numpy(), pdf["s"].to_numpy()
-        dim = P.clamp_dim(pca_dim, x.shape[1], x.shape[0])
-        offset, axes = np.zeros(x.shape[1]), None
-        if dim is not None:
-            offset, axes, _ = P.principal_axes(x, dim)
-        elif x.shape[1] > x.shape[0]:
-            # the penalty is invariant under rotation: work in the row space, which has at most n dimensions
-            axes = np.linalg.svd(x, full_matrices=False)[2]
-        z = x if axes is None else (x - offset) @ axes.T
-        beta, iterations, converged = newton(z, y, s, max_iter, tolerance)
-        coef = beta[:-1] if axes is None else axes.T @ beta[:-1]
+def _fit_single(train: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: int | None, max_iter: int, tolerance: float) -> DataFrame:
+    """Probes of one tile: all steps of the other fits, with nothing to add across tiles."""
+    out = B.schema(
+        train, keys, coef=T.ArrayType(T.DoubleType()), intercept=T.DoubleType(), trainable_params=T.IntegerType(), pca_dim=T.IntegerType(),
+        rank=T.IntegerType(), n_train=T.LongType(), iterations=T.IntegerType(), converged=T.BooleanType(),
+    )
+
+    def fit(key: tuple, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        n, d = x.shape
+        mean, axes, rank = np.zeros(d), None, None
+        if pca_dim is not None or d > n:
+            mean, axes, _, rank = P.components_of_tile(x, pca_dim)
+        beta, iterations, converged = newton(x if axes is None else (x - mean) @ axes, y, s, max_iter, tolerance)
+        coef = beta[:-1] if axes is None else axes @ beta[:-1]
+        dim = P.clamp_dim(pca_dim, d, n)
         return B.keyed(
-            key, keys, coef=coef.tolist(), intercept=float(beta[-1] - coef @ offset),
-            trainable_params=int((dim or x.shape[1]) + 1), pca_dim=dim, n_train=len(x),
-            iterations=iterations, converged=converged,
+            key, keys, coef=coef.tolist(), intercept=float(beta[-1] - coef @ mean), trainable_params=(dim or d) + 1, pca_dim=dim,
+            rank=rank, n_train=n, iterations=iterations, converged=converged,
         )
 
-    return train.groupBy(*keys).applyInPandas(fit, _model_schema(features, keys))
+    return B.each_single(train, sizes, keys, fit, out)
+
+
+def _fit_rotated(
+    tiles: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: int | None, max_iter: int, tolerance: float, kept: list[DataFrame]
+) -> DataFrame:
+    """Probes on the components of their rows; coefficients return to the features by column tiles."""
+    shapes = P.Shapes.of(sizes)
+    means = P.column_means(tiles, sizes, keys, shapes).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = P.centred(tiles, means, keys).repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
+    axes, facts = P.components_of(whole, sizes, keys, pca_dim, shapes)
+    axes, facts = axes.persist(StorageLevel.MEMORY_AND_DISK), facts.persist(StorageLevel.MEMORY_AND_DISK)
+    kept += [means, whole, axes, facts]
+    most = min(shapes.n, shapes.d, pca_dim or shapes.n)
+    rows = P.project(whole, axes, sizes, keys, shapes, most)
+    start = B.tile_counts(sizes).join(facts, keys).select(*keys, B.ROWS, F.col("pca_dim").alias("_d"))
+    state = _newton(rows, start, keys, shapes.rows, most, max_iter, tolerance)
+    found = state.join(B.tile_counts(sizes).select(*keys, B.COLS), keys)
+    models = B.spread(found.select(*keys, B.COLS, "_best"), B.COL, B.COLS).drop(B.COLS)
+    names = [*keys, B.COL]
+
+    def back(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+        beta, mean = B.unpack(model["_best"])[:-1], B.unpack(tile["mean"])
+        coef = B.unpack(tile["axes"]).reshape(len(mean), -1) @ beta
+        return B.keyed(key, names, part=coef.tolist(), shift=float(coef @ mean))
+
+    out = B.schema(sizes, keys, **{B.COL: T.IntegerType()}, part=T.ArrayType(T.DoubleType()), shift=T.DoubleType())
+    parts = B.with_models(axes.join(means.select(*names, "mean"), names), models, names, back, out)
+    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(B.COL, "part"))).alias("_parts"), F.sum("shift").alias("_shift"))
+    ends = state.join(joined, keys).join(facts.select(*keys, F.col("pca_dim").alias("_dim"), "rank"), keys).join(sizes.select(*keys, "n_train", "n_features"), keys)
+    dim = F.lit(None).cast("int") if pca_dim is None else F.col("_dim")
+    return ends.select(
+        *keys, F.flatten(F.transform("_parts", lambda p: p["part"])).alias("coef"), (F.col("_constant") - F.col("_shift")).alias("intercept"),
+        (F.coalesce(dim, F.col("n_features")) + 1).cast("int").alias("trainable_params"), dim.alias("pca_dim"), "rank", "n_train", "iterations", F.col("done").alias("converged"),
+    )
+
+
+def _fit_plain(
+    tiles: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: None, max_iter: int, tolerance: float, kept: list[DataFrame]
+) -> DataFrame:
+    """Probes on their features as they are."""
+    shapes = P.Shapes.of(sizes)
+    names, step = [*keys, B.ROW, B.BLOCK], B.TILE
+
+    def place(key: tuple, tile: pd.Series) -> pd.DataFrame:
+        y, s = B.unpack(tile["y"]), B.unpack(tile["s"])
+        x = B.unpack(tile["x"]).reshape(len(y), -1)
+        first = float(key[-1] == 0)
+        z = np.zeros((len(y), int(tile["n_features"]) + 2))
+        z[:, key[-1] * step : key[-1] * step + x.shape[1]] = x
+        z[:, -2], z[:, -1] = first * y, first * s
+        return B.keyed(key, names, **{B.SUMS: B.pack(z)})
+
+    out = B.schema(tiles, keys, **{B.ROW: T.IntegerType(), B.BLOCK: T.IntegerType(), B.SUMS: T.BinaryType()})
+    sized = tiles.join(sizes.select(*keys, "n_features"), keys)
+    parts = B.each_tile(sized, [*keys, B.ROW, B.COL], place, out)
+    rows = B.tree_sum(parts, [*keys, B.ROW], shapes.cols, B.TILE * (shapes.d + 2)).withColumnRenamed(B.SUMS, "z")
+    start = B.tile_counts(sizes).select(*keys, B.ROWS, F.col("n_features").cast("int").alias("_d"))
+    state = _newton(rows, start, keys, shapes.rows, shapes.d, max_iter, tolerance)
+    none = F.lit(None).cast("int")
+    return state.join(sizes.select(*keys, "n_train", "n_features"), keys).select(
+        *keys, F.col("_coef").alias("coef"), F.col("_constant").alias("intercept"), (F.col("n_features") + 1).cast("int").alias("trainable_params"),
+        none.alias("pca_dim"), none.alias("rank"), "n_train", "iterations", F.col("done").alias("converged"),
+    )
 
 
 def objective(x: np.ndarray, y: np.ndarray, s: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -154,7 +207,7 @@ def newton_move(loss, gradient, hessian, beta, best, step, best_loss, slope, t,
 
 
 def newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, max_iter: int, tolerance: float) -> tuple[np.ndarray, int, bool]:
-    """The same steps as `_newton` on one matrix."""
+    """All steps on one matrix."""
     x = np.column_stack([x, np.ones(len(x))])
     zeros = np.zeros(x.shape[1])
     move = (zeros, zeros, zeros, float("inf"), 0.0, 1.0, False)
@@ -165,171 +218,83 @@ def newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, max_iter: int, tolerance
     return move[1], max_iter, False
 
 
-def _fit_large(
-    features: DataFrame, sizes: DataFrame, keys: list[str], row: Sequence[str], pca_dim: int | None,
-    max_iter: int, tolerance: float,
-) -> DataFrame:
-    """Block-wise Newton over all large probes, or one Spark ML fit each if they are too wide."""
-    shape = sizes.agg(F.max("n_train").alias("n"), F.max("n_features").alias("d")).first()
-    width = P.clamp_dim(pca_dim, shape["d"], shape["n"]) or shape["d"]
-    if width > MAX_NEWTON or (pca_dim is not None and shape["d"] > P.MAX_COVARIANCE):
-        return _fit_wide(features, sizes, keys, pca_dim, max_iter)
-
-    most_blocks = -(-shape["n"] // B.BLOCK_ROWS)
-    sizes = sizes.withColumn(B.BLOCKS, F.ceil(F.col("n_train") / F.lit(B.BLOCK_ROWS)).cast("int"))
-    train = features.filter(F.col("part") == "train").join(sizes.select(*keys, "n_train", "n_1"), keys)
-    weight = balanced_weight(F.col("n_train"), F.col("n_1"), F.col("label"))
-    train = train.select(*keys, *[c for c in row if c not in keys], F.col("label").cast("double").alias("y"),
-                         weight.alias("s"), "features")
-    blocked = B.assign_blocks(train, sizes, keys, row).select(*keys, B.BLOCK, "y", "s", "features")
-    blocked = blocked.repartition(*keys, B.BLOCK).persist()
-    projected = components = None
-    try:
-        if pca_dim is not None:
-            components = cut_lineage(P.fit_components(blocked, sizes, keys, pca_dim, most_blocks))
-            models = components.join(sizes.select(*keys, B.BLOCKS), keys)
-            projected = P.project(blocked, models, keys, ["y", "s"]).repartition(*keys, B.BLOCK).persist()
-            start = models.select(*keys, B.BLOCKS, F.col("pca_dim").alias("_d"))
-        else:
-            start = sizes.select(*keys, B.BLOCKS, F.col("n_features").alias("_d"))
-        state = _newton(blocked if projected is None else projected, start, keys, most_blocks, max_iter, tolerance)
-    finally:
-        if projected is not None:
-            projected.unpersist()
-        blocked.unpersist()
-    return _collapse(state, components, sizes, keys, pca_dim)
-
-
-_STATE = [
-    T.StructField(B.BLOCKS, T.IntegerType()),
-    T.StructField("_beta", T.BinaryType()),  # point to evaluate next
-    T.StructField("_best", T.BinaryType()),  # last accepted point
-    T.StructField("_step", T.BinaryType()),
-    T.StructField("_loss", T.DoubleType()),
-    T.StructField("_slope", T.DoubleType()),
-    T.StructField("_t", T.DoubleType()),
-    T.StructField("done", T.BooleanType()),
-    T.StructField("iterations", T.IntegerType()),
-]
+_STATE = {
+    B.ROWS: T.IntegerType(),
+    "_d": T.IntegerType(),
+    "_beta": T.BinaryType(),  # point to evaluate next
+    "_best": T.BinaryType(),  # last accepted point
+    "_step": T.BinaryType(),
+    "_loss": T.DoubleType(),
+    "_slope": T.DoubleType(),
+    "_t": T.DoubleType(),
+    "done": T.BooleanType(),
+    "iterations": T.IntegerType(),
+    "_constant": T.DoubleType(),
+    "_coef": T.ArrayType(T.DoubleType()),
+}
 
 
 def _newton(
-    rows: DataFrame, start: DataFrame, keys: list[str], most_blocks: int, max_iter: int, tolerance: float
+    rows: DataFrame, start: DataFrame, keys: list[str], most_tiles: int, width: int, max_iter: int, tolerance: float
 ) -> DataFrame:
-    names = [*keys, B.BLOCK]
-    key_fields = B.fields(rows, keys)
-    part_schema = T.StructType(
-        [*key_fields, T.StructField(B.BLOCK, T.IntegerType()), T.StructField(B.SUMS, T.BinaryType())]
-    )
-    state_schema = T.StructType([*key_fields, *_STATE])
-
-    def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        zeros = B.pack(np.zeros(int(pdf["_d"].iloc[0]) + 1))
-        return B.keyed(
-            key, keys, **{B.BLOCKS: int(pdf[B.BLOCKS].iloc[0])}, _beta=zeros, _best=zeros, _step=zeros,
-            _loss=float("inf"), _slope=0.0, _t=1.0, done=False, iterations=0,
-        )
-
-    def sums(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        beta = B.unpack(model["_beta"].iloc[0])
-        x = np.column_stack([np.stack(pdf["features"].to_numpy()), np.ones(len(pdf))])
-        loss, gradient, hessian = objective(x, pdf["y"].to_numpy(), pdf["s"].to_numpy(), beta)
-        packed = B.pack(np.concatenate([[loss], gradient, hessian.ravel()]))
-        return B.keyed(key, names, **{B.SUMS: packed})
+    """Final state per probe of `rows` (keys, ROW, z: packed features, y, s); `start` has the tile counts and widths."""
+    names = [*keys, B.ROW]
+    part_schema = B.schema(rows, keys, **{B.BLOCK: T.IntegerType(), B.SUMS: T.BinaryType()})
+    state_schema = B.schema(rows, keys, **_STATE)
+    rows = rows.repartition(*names).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+        d = int(model["_d"])
+        z = B.unpack(tile["z"]).reshape(-1, d + 2)
+        x, y, s = z[:, :d], z[:, d], z[:, d + 1]
+        if model[B.ROWS] == 1:
+            beta, iterations, converged = newton(x, y, s, max_iter, tolerance)
+            out = np.concatenate([[iterations, converged], beta])
+        else:
+            loss, gradient, hessian = objective(np.column_stack([x, np.ones(len(x))]), y, s, B.unpack(model["_beta"]))
+            out = np.concatenate([[loss], gradient, hessian.ravel()])
+        return B.keyed(key, [*keys, B.BLOCK], **{B.SUMS: B.pack(out)})
 
     def advance(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        m = model.iloc[0]
-        beta = B.unpack(m["_beta"])
-        d = len(beta)
-        total = B.unpack(pdf[B.SUMS].iloc[0])
-        beta, best, step, loss, slope, t, done = newton_move(
-            total[0], total[1 : d + 1], total[d + 1 :].reshape(d, d), beta, B.unpack(m["_best"]), B.unpack(m["_step"]),
-            m["_loss"], m["_slope"], m["_t"], tolerance,
-        )
+        m, total = model.iloc[0], B.unpack(pdf[B.SUMS].iloc[0])
+        d, iterations = int(m["_d"]) + 1, int(m["iterations"]) + 1
+        if m[B.ROWS] == 1:
+            iterations, done, best = int(total[0]), bool(total[1]), total[2:]
+            beta, step, loss, slope, t = best, best, 0.0, 0.0, 1.0
+        else:
+            beta, best, step, loss, slope, t, done = newton_move(
+                total[0], total[1 : d + 1], total[d + 1 :].reshape(d, d), B.unpack(m["_beta"]), B.unpack(m["_best"]),
+                B.unpack(m["_step"]), m["_loss"], m["_slope"], m["_t"], tolerance,
+            )
         return B.keyed(
-            key, keys, **{B.BLOCKS: int(m[B.BLOCKS])}, _beta=B.pack(beta), _best=B.pack(best), _step=B.pack(step),
-            _loss=float(loss), _slope=float(slope), _t=float(t), done=done, iterations=int(m["iterations"]) + 1,
+            key, keys, **{B.ROWS: int(m[B.ROWS])}, _d=d - 1, _beta=B.pack(beta), _best=B.pack(best), _step=B.pack(step),
+            _loss=float(loss), _slope=float(slope), _t=float(t), done=done, iterations=iterations,
+            _constant=float(best[-1]), _coef=best[:-1].tolist(),
         )
 
-    state = cut_lineage(start.groupBy(*keys).applyInPandas(begin, state_schema))
-    for _ in range(max_iter):
-        active, finished = state.filter(~F.col("done")), state.filter(F.col("done"))
-        parts = B.with_models(rows, active.select(*keys, B.BLOCKS, "_beta"), keys, sums, part_schema)
-        total = B.tree_sum(parts, keys, most_blocks)
-        moved = total.groupBy(*keys).cogroup(active.groupBy(*keys)).applyInPandas(advance, state_schema)
-        state = cut_lineage(moved.unionByName(finished))
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    return state
-
-
-def _collapse(
-    state: DataFrame, components: DataFrame | None, sizes: DataFrame, keys: list[str], pca_dim: int | None
-) -> DataFrame:
-    facts = state.select(*keys, "_best", "done", "iterations").join(
-        sizes.select(*keys, "n_train", "n_features"), keys
-    )
-    if components is not None:
-        facts = facts.join(components.select(*keys, "pca_dim", "mean", "components"), keys)
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.iloc[0]
-        beta = B.unpack(m["_best"])
-        coef, intercept, dim = beta[:-1], float(beta[-1]), None
-        if pca_dim is not None:
-            mean = B.unpack(m["mean"])
-            coef = B.unpack(m["components"]).reshape(-1, len(mean)).T @ beta[:-1]
-            intercept, dim = intercept - float(coef @ mean), int(m["pca_dim"])
+    def begin(key: tuple, m: pd.Series) -> pd.DataFrame:
+        zeros = B.pack(np.zeros(int(m["_d"]) + 1))
         return B.keyed(
-            key, keys, coef=coef.tolist(), intercept=intercept, trainable_params=len(beta), pca_dim=dim,
-            n_train=int(m["n_train"]), iterations=int(m["iterations"]), converged=bool(m["done"]),
+            key, keys, **{B.ROWS: int(m[B.ROWS])}, _d=int(m["_d"]), _beta=zeros, _best=zeros, _step=zeros, _loss=float("inf"),
+            _slope=0.0, _t=1.0, done=False, iterations=0, _constant=0.0, _coef=[],
         )
 
-    return facts.groupBy(*keys).applyInPandas(finish, _model_schema(state, keys))
-
-
-def _fit_wide(features: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: int | None, max_iter: int) -> DataFrame:
-    """One distributed L-BFGS fit per probe; the list of probes is short and holds no data."""
-    spark = features.sparkSession
-    rows = []
-    for probe in sizes.collect():
-        train = features.filter(F.col("part") == "train")
-        for k in keys:
-            train = train.filter(F.col(k).eqNullSafe(F.lit(probe[k])))
-        n, d = probe["n_train"], probe["n_features"]
-        dim = P.clamp_dim(pca_dim, d, n)
-        train = train.withColumn("s", balanced_weight(F.lit(n), F.lit(probe["n_1"]), F.col("label")))
-        mean = components = None
-        if dim is not None:
-            if dim * d > MAX_BASIS:
-                raise ValueError(f"{dim} components of {d} features exceed the size a task can hold; lower pca_dim")
-            mean, components = P.wide_components(train, dim)
-            basis = spark.sparkContext.broadcast((mean, components))
-
-            @F.pandas_udf(T.ArrayType(T.DoubleType()))
-            def shrink(v: pd.Series) -> pd.Series:
-                m, c = basis.value
-                return pd.Series(list((np.stack(v.to_numpy()) - m) @ c.T))
-
-            train = train.withColumn("features", shrink("features"))
-        model = train_single(train, n, max_iter)
-        beta = model.coefficients.toArray()
-        coef, intercept = beta, float(model.intercept)
-        if dim is not None:
-            coef = components.T @ beta
-            intercept -= float(coef @ mean)
-        rows.append((*[probe[k] for k in keys], coef.tolist(), intercept, len(beta) + 1, dim, n,
-                     int(model.summary.totalIterations), True))
-    return spark.createDataFrame(rows, _model_schema(sizes, keys))
-
-
-def train_single(train: DataFrame, n_train: int, max_iter: int = MAX_ITER, tolerance: float = 1e-8):
-    """One probe with Spark ML. C = 1 and weights that sum to n mean a penalty of 1/n."""
-    vectors = train.select("label", "s", array_to_vector("features").alias("v"))
-    return LogisticRegression(
-        featuresCol="v", labelCol="label", weightCol="s", regParam=1.0 / n_train, elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=tolerance,
-    ).fit(vectors)
+    state = B.each_tile(start, keys, begin, state_schema)
+    try:
+        for _ in range(max_iter):
+            # a probe of one tile is through with its first pass, converged or not
+            open_ = ~F.col("done") & ((F.col(B.ROWS) > 1) | (F.col("iterations") == 0))
+            active = state.filter(open_)
+            models = B.spread(active.select(*keys, F.col(B.ROWS).alias("_n"), B.ROWS, "_d", "_beta"), B.ROW, "_n").drop("_n")
+            parts = B.with_models(rows, models, names, sums, part_schema)
+            total = B.tree_sum(parts, keys, most_tiles, (width + 1) ** 2)
+            moved = total.groupBy(*keys).cogroup(active.groupBy(*keys)).applyInPandas(advance, state_schema)
+            state = cut_lineage(moved.unionByName(state.filter(~open_)))
+            if state.filter(open_).isEmpty():
+                break
+    finally:
+        rows.unpersist()
+    return state
 
 
 # ---------------------------------------------------------------- scoring

@@ -68,76 +68,81 @@ def check(models, data):
         assert r["trainable_params"] == x.shape[1] + 1 and r["converged"] and r["iterations"] < 30
 
 
-def test_small_probes(sweep):
-    df, data = sweep
-    check(probe.fit_probes(df, KEYS), data)
+@pytest.fixture
+def small_tiles(monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 16)
+    monkeypatch.setattr(blocks, "FAN_BYTES", 1)  # two parts at a time
 
 
-def test_large_probes_take_blocks(sweep, monkeypatch):
+def test_probes_of_one_tile(sweep):
     df, data = sweep
-    monkeypatch.setattr(probe, "LOCAL_VALUES", 0)
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(blocks, "FAN_IN", 2)
     check(probe.fit_probes(df, KEYS), data)
 
 
-def test_sizes_mix(sweep, monkeypatch):
+def test_probes_of_many_tiles(sweep, small_tiles):
     df, data = sweep
-    monkeypatch.setattr(probe, "LOCAL_VALUES", 200)
-    models = probe.fit_probes(df, KEYS)
-    assert models.count() == 3
-    check(models, data)
+    check(probe.fit_probes(df, KEYS), data)
 
 
-def test_wide_probes_take_spark_ml(sweep, monkeypatch):
-    df, data = sweep
-    monkeypatch.setattr(probe, "LOCAL_VALUES", 0)
-    monkeypatch.setattr(probe, "MAX_NEWTON", 1)
-    for r in probe.fit_probes(df.filter("probe = 'p'"), KEYS).collect():
-        x, y, part = data[(r["run_id"], r["probe"])]
-        want = reference_fit(x[part == "train"], y[part == "train"])
-        assert r["coef"] == pytest.approx(want[:-1].tolist(), abs=2e-3)
+def test_columns_of_many_tiles(spark, small_tiles):
+    df, data = make(spark, {("a", "p"): (90, 20), ("b", "p"): (12, 3)}, seed=8)
+    check(probe.fit_probes(df, KEYS), data)
 
 
-def test_more_features_than_rows(spark):
-    df, data = make(spark, {("a", "p"): (30, 80)}, seed=3)
-    r = probe.fit_probes(df, KEYS).first()
+@pytest.mark.parametrize("tile", [16, 1024])
+@pytest.mark.parametrize("shape", [(30, 80), (120, 7)])
+def test_both_shapes_by_the_same_way(spark, monkeypatch, tile, shape):
+    """More features than rows, and fewer, without PCA and with more components than there are directions."""
+    monkeypatch.setattr(blocks, "TILE", tile)
+    df, data = make(spark, {("a", "p"): shape}, seed=3)
     x, y, part = data[("a", "p")]
     train = part == "train"
     want = reference_fit(x[train], y[train])
-    z, z_want = x @ np.array(r["coef"]) + r["intercept"], x @ want[:-1] + want[-1]
-    assert np.allclose(z, z_want, atol=1e-4)
-
-
-@pytest.mark.parametrize("path", ["task", "blocks", "wide"])
-def test_pca_then_regression(spark, monkeypatch, path):
-    df, data = make(spark, {("a", "p"): (150, 6), ("b", "p"): (100, 6)}, seed=5)
-    if path != "task":
-        monkeypatch.setattr(probe, "LOCAL_VALUES", 0)
-        monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
-    if path == "wide":
-        monkeypatch.setattr(pca, "MAX_COVARIANCE", 1)
+    for dim in (None, 500):
+        r = probe.fit_probes(df, KEYS, pca_dim=dim).first()
+        assert r["coef"] == pytest.approx(want[:-1].tolist(), abs=1e-6) and r["intercept"] == pytest.approx(want[-1], abs=1e-6)
+        assert r["converged"] and r["n_train"] == train.sum()
+        if dim or shape[1] > shape[0]:
+            assert r["rank"] == min(train.sum() - 1, shape[1])  # centred rows lose one direction
+        assert r["pca_dim"] == (dim and min(shape[1], train.sum()))
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+@pytest.mark.parametrize("shape", [(150, 6), (20, 50)])
+def test_pca_then_regression(spark, monkeypatch, tile, shape):
+    monkeypatch.setattr(blocks, "TILE", tile)
+    df, data = make(spark, {("a", "p"): shape, ("b", "p"): (100, 6)}, seed=5)
     for r in probe.fit_probes(df, KEYS, pca_dim=3).collect():
         x, y, part = data[(r["run_id"], r["probe"])]
         train = part == "train"
         mean = x[train].mean(0)
         axes = np.linalg.svd(x[train] - mean, full_matrices=False)[2][:3]
         want = reference_fit((x[train] - mean) @ axes.T, y[train])
+        assert r["coef"] == pytest.approx((axes.T @ want[:-1]).tolist(), abs=1e-6)
         z = x @ np.array(r["coef"]) + r["intercept"]
-        assert np.allclose(z, (x - mean) @ axes.T @ want[:-1] + want[-1], atol=2e-3 if path == "wide" else 1e-5)
-        assert r["pca_dim"] == 3 and r["trainable_params"] == 4
-
-
-def test_pca_variance(spark, sweep):
-    df, data = sweep
-    train = df.filter("part = 'train' AND probe = 'p'").withColumn("_block", (F.col("row_idx") % 3).cast("int"))
-    sizes = probe.probe_sizes(df.filter("probe = 'p'"), KEYS)
-    found = pca.fit_components(train, sizes, KEYS, 10, 3)
-    for (run, name), (x, y, part) in data.items():
-        if name == "p":
-            want = np.linalg.svd(x[part == "train"] - x[part == "train"].mean(0), compute_uv=False) ** 2 / ((part == "train").sum() - 1)
-            got = [r["variance"] for r in pca.explained_variance(found, KEYS).filter(F.col("run_id") == run).orderBy("component").collect()]
-            assert got == pytest.approx(want.tolist())
+        assert np.allclose(z, (x - mean) @ axes.T @ want[:-1] + want[-1], atol=1e-5)
+        assert r["pca_dim"] == 3 and r["trainable_params"] == 4 and r["converged"]
+
+
+def test_rank_of_repeated_columns(spark, small_tiles):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 4))
+    rows = [("a", "p", i, int(i % 2), "train", [*base[i].tolist(), *base[i].tolist(), 3.0]) for i in range(60)]
+    r = probe.fit_probes(spark.createDataFrame(rows, SCHEMA), KEYS, pca_dim=6).first()
+    assert r["rank"] == 4 and r["pca_dim"] == 6 and r["converged"] and np.isfinite(r["coef"]).all()
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_pca_variance(spark, monkeypatch, tile):
+    monkeypatch.setattr(blocks, "TILE", tile)
+    df, data = make(spark, {("a", "p"): (120, 3), ("b", "p"): (25, 40)}, seed=6)
+    shifted = df.withColumn("features", F.transform("features", lambda v: v + 1e6))
+    found = pca.fit_pca(shifted, KEYS, ["run_id", "row_idx"], 10)
+    for (run, _), (x, y, part) in data.items():
+        x = x[part == "train"] + 1e6
+        want = np.linalg.svd(x - x.mean(0), compute_uv=False)[:10] ** 2 / (len(x) - 1)
+        got = [r["variance"] for r in pca.explained_variance(found, KEYS).filter(F.col("run_id") == run).orderBy("component").collect()]
+        assert got == pytest.approx(want.tolist(), rel=1e-6)
 
 
 def test_clamp():

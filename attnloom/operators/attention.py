@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..schema import EXAMPLE, HEAD
+from .joins import enforced
 
 ROW_SUM_TOLERANCE = 1e-2  # fixed value: allowed gap between a row sum and 1
 
@@ -76,9 +77,8 @@ def row_sum_error(w: Column) -> Column:
 
 
 def checked_rows(matrices: DataFrame, tolerance: float = ROW_SUM_TOLERANCE) -> DataFrame:
-    bad = row_sum_error(F.col("w")) > tolerance
-    message = F.lit(f"attention rows do not sum to 1 within {tolerance}")
-    return matrices.withColumn("w", F.when(bad, F.raise_error(message)).otherwise(F.col("w")))
+    """`matrices`, raising for rows that do not sum to 1, also where nothing reads them."""
+    return enforced(matrices, row_sum_error(F.col("w")) > tolerance, f"attention rows do not sum to 1 within {tolerance}")
 
 
 def strip_padding_edges(
@@ -219,11 +219,12 @@ def full_laplacian(edges: DataFrame, head: Sequence[str] = HEAD) -> DataFrame:
     adjacency = edges.filter(F.col("w") != 0).select(*graph, row.alias("r"), column.alias("c"), "w", "layer")
     off_diagonal = adjacency.filter(F.col("r") != F.col("c")).select(*graph, "r", "c", (-F.col("w")).alias("value"))
     diagonal = adjacency.groupBy(*graph, "c").agg(
-        (F.avg("w") - F.coalesce(F.sum(F.when(F.col("r") == F.col("c"), F.col("w"))), F.lit(0.0))).alias("value")
+        (F.avg("w") - F.coalesce(F.sum(F.when(F.col("r") == F.col("c"), F.col("w"))), F.lit(0.0))).alias("value"),
+        F.min("layer").alias("_low"), F.max("layer").alias("_high"),
     )
     entries = off_diagonal.unionByName(diagonal.select(*graph, F.col("c").alias("r"), "c", "value"))
-    # adds no rows: the generated id only keeps the optimizer from dropping the check
-    layers = edges.groupBy(*graph).agg(F.min("layer").alias("_low"), F.max("layer").alias("_high"))
+    # adds no rows: the generated id only keeps the optimizer from dropping the check, which reads the sums once more and no edges
+    layers = diagonal.groupBy(*graph).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     single = F.raise_error(F.lit("the full Laplacian needs at least two layers"))
     guard = layers.filter(F.when(F.col("_low") == F.col("_high"), single).otherwise(F.monotonically_increasing_id() < 0))
     return entries.unionByName(guard.select(*graph), allowMissingColumns=True)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import BUCKET, running_totals, value_buckets
 
 
@@ -24,10 +25,11 @@ def ranking_metrics(
 
     A group with one class has no AUC: `single_class='raise'` stops, `'null'`
     gives NULL. Running counts are exact and spread over buckets of the score,
-    so one dominant group does not end up in one task.
+    so one dominant group does not end up in one task. The input is read once,
+    for the counts per distinct score; the rest works on these.
     """
     group = list(group)
-    counts = score_counts(df, group, label, score)
+    counts = cut_lineage(score_counts(df, group, label, score))
     placed = running_totals(
         value_buckets(counts, group, "score"), group, [BUCKET], [F.col("score")], ["pos", "neg"]
     )

@@ -14,8 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
 COARSE = 32
+ACCURACY = 10_000  # entries of a quantile sketch
 
 
 def running_totals(
@@ -78,25 +81,55 @@ def rank_in_group(
     return ranked.withColumn(name, F.col("below__one") + 1).drop(*names, "_one", "below__one", "all__one")
 
 
-def value_buckets(
-    df: DataFrame, group: Sequence[str], value: str, buckets: int = 1024, sample_one_in: int = 4096
+def first_in_group(
+    df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], quota: DataFrame
 ) -> DataFrame:
+    """Add `chosen`: the row is among the first `quota` of its group along `order`, which no two rows share.
+
+    Rows are not ranked. Counts per bucket tell in which bucket of a group the
+    quota is reached; only rows of that bucket are sorted, to find the last one
+    chosen. Every row is then compared with its group's limit. `bucket` must not
+    decrease along `order`; groups without a quota have no chosen rows.
+    """
+    group = list(group)
+    order = list(order)
+    counts = df.groupBy(*group, bucket.alias(BUCKET)).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(quota.select(*group, "quota"), group)
+    reached = reached.withColumn("_inside", (F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") > F.col("quota")))
+    # whole buckets up to `_full`, and of `_edge` the first `_need` rows
+    limits = reached.groupBy(*group).agg(
+        F.max(F.when(F.col("_before") + F.col("_n") <= F.col("quota"), F.col(BUCKET))).alias("_full"),
+        F.max(F.when(F.col("_inside"), F.col(BUCKET))).alias("_edge"),
+        F.max(F.when(F.col("_inside"), F.col("quota") - F.col("_before"))).alias("_need"),
+    )
+    limits = cut_lineage(limits)
+    place = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    edge_rows = df.join(limits.filter("_edge is not null"), group).filter(bucket == F.col("_edge"))
+    sorted_ = Window.partitionBy(*group).orderBy(*order)
+    last = edge_rows.withColumn("_rank", F.row_number().over(sorted_)).filter(F.col("_rank") == F.col("_need")).select(*group, place.alias("_last"))
+    bounded = df.join(limits.join(last, group, "left"), group, "left")
+    chosen = (bucket <= F.col("_full")) | ((bucket == F.col("_edge")) & (place <= F.col("_last")))
+    return bounded.withColumn("chosen", F.coalesce(chosen, F.lit(False))).drop("_full", "_edge", "_need", "_last")
+
+
+def value_buckets(df: DataFrame, group: Sequence[str], value: str, buckets: int = 1024, rows: int = 4096) -> DataFrame:
     """Add `_bucket`, an integer that never decreases with `value` inside the group.
 
-    Boundaries are order statistics of a sample picked by hash, so they are the
-    same on every evaluation; small groups have no sample and get one bucket.
+    Boundaries come from a quantile sketch, merged across tasks and of bounded
+    size; a group has one bucket per `rows` rows and `buckets` at most. They are
+    stored, so that they are the same on every evaluation.
     """
     if not group:
-        return value_buckets(df.withColumn("_all", F.lit(0)), ["_all"], value, buckets, sample_one_in).drop("_all")
+        return value_buckets(df.withColumn("_all", F.lit(0)), ["_all"], value, buckets, rows).drop("_all")
     group = list(group)
-    in_sample = F.pmod(F.xxhash64(*group, value), F.lit(sample_one_in)) == 0
-    sampled = (
-        df.filter(in_sample).groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("_sample"))
+    steps = [i / buckets for i in range(1, buckets)]
+    sketched = df.groupBy(*group).agg(F.percentile_approx(value, steps, ACCURACY).alias("_sketch"), F.count(F.lit(1)).alias("_n"))
+    stride = F.greatest(F.ceil(F.lit(float(buckets) * rows) / F.col("_n")), F.lit(1))
+    bounds = cut_lineage(
+        sketched.select(*group, F.array_distinct(F.filter("_sketch", lambda _, i: (i + 1) % stride == 0)).alias("_bounds"))
+        .withColumn("_coarse", F.filter("_bounds", lambda _, i: i % COARSE == 0))
     )
-    stride = F.ceil(F.size("_sample") / F.lit(float(buckets - 1))).cast("int")
-    bounds = sampled.select(
-        *group, F.filter("_sample", lambda _, i: i % stride == 0).alias("_bounds")
-    ).withColumn("_coarse", F.filter("_bounds", lambda _, i: i % COARSE == 0))
 
     tagged = df.join(bounds, group, "left")
     v = F.col(value)

@@ -315,6 +315,31 @@ def score(features: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFr
     return scored.withColumn("pred", (F.col("p1") > 0.5).cast("int"))
 
 
+def score_each(
+    features: DataFrame, models: DataFrame, keys: Sequence[str], by: Sequence[str], row: Sequence[str], salts: int = 64
+) -> DataFrame:
+    """Every row under every model of its `keys`; models of equal keys differ in `by`.
+
+    The models of a key are stacked into one row, so a vector meets them in one
+    join and is copied for none of them. As few keys hold all rows, rows are
+    dealt over `salts` copies of the stack. A model of another width raises.
+    """
+    keys, by = list(keys), list(by)
+    stacks = models.groupBy(*keys).agg(F.collect_list(F.struct(*by, "coef", "intercept")).alias("_models"))
+    stacks = stacks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = features.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))
+    width = F.raise_error(F.lit("features and probe differ in width"))
+
+    def scored(m: Column) -> Column:
+        z = F.aggregate(F.zip_with("features", m["coef"], lambda x, c: x * c), m["intercept"], lambda acc, v: acc + v)
+        z = F.when(F.size("features") != F.size(m["coef"]), width).otherwise(z)
+        return F.struct(*[m[c].alias(c) for c in by], (1.0 / (1.0 + F.exp(-z))).alias("p1"))
+
+    joined = dealt.join(stacks, [*keys, "_salt"]).withColumn("_scores", F.transform("_models", scored)).drop("_models", "_salt", "features")
+    rest = [c for c in joined.columns if c != "_scores"]
+    return joined.select(*rest, F.inline("_scores")).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
+
+
 def probe_results(predictions: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per probe: metadata and the five metrics of both parts."""
     keys = list(keys)

@@ -1,7 +1,8 @@
 """Splits, samples, global orders and perturbations, all deterministic under any partitioning.
 
-Random choices are orders by a seeded hash of the example key. Ranks come from
-`ordering.rank_in_group`, so a run that holds most rows is still spread out.
+Random choices are orders by a seeded hash of the example key. The first rows of
+an order come from `ordering.first_in_group`, ranks from `ordering.rank_in_group`,
+so a run that holds most rows is still spread out.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schema import EXAMPLE, RUN
 from .labels import valid_only
-from .ordering import hash_bucket, rank_in_group
+from .ordering import first_in_group, hash_bucket, rank_in_group
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,7 @@ def _quota_split(
     counts = labels.groupBy(*run, "label").agg(F.count(F.lit(1)).alias("n"))
     quota = class_quota(counts, run, n_train)
     bucket, keys = order.columns(F.col(row), seed)
-    ranked = rank_in_group(labels, [*run, "label"], bucket, keys, "_rank")
-    return ranked.join(quota, [*run, "label"])
+    return first_in_group(labels, [*run, "label"], bucket, keys, quota)
 
 
 def stratified_split(
@@ -74,12 +74,13 @@ def stratified_split(
 ) -> DataFrame:
     """Valid examples into `train` and `test`, class shares kept to the row.
 
-    The test part has ceil(test_size * n) rows.
+    The test part has ceil(test_size * n) rows. Rows are compared with a limit
+    per class and never ranked.
     """
     n_train = F.col("n_total") - F.ceil(F.col("n_total") * F.lit(test_size))
     valid = valid_only(labels).select(*run, row, "label")
     placed = _quota_split(valid, n_train, order, F.lit(seed), run, row)
-    part = F.when(F.col("_rank") <= F.col("quota"), "train").otherwise("test")
+    part = F.when(F.col("chosen"), "train").otherwise("test")
     return placed.select(*run, row, "label", part.alias("part"))
 
 
@@ -103,7 +104,7 @@ def train_fractions(
     group = [*run, "frac", "seed"]
     n_train = F.floor(F.col("n_total") * F.col("frac"))
     placed = _quota_split(spread.filter(F.col("part") == "train"), n_train, order, F.col("seed"), group, row)
-    chosen = placed.filter(F.col("_rank") <= F.col("quota"))
+    chosen = placed.filter("chosen")
     columns = [*run, row, "label", "part", "frac", "seed"]
     return chosen.select(*columns).unionByName(spread.filter(F.col("part") == "test").select(*columns))
 
@@ -126,15 +127,15 @@ def balanced_samples(
     group = [*run, "seed"]
     counts = spread.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("_n"))
     bucket, keys = order.columns(F.col(row), F.col("seed"))
-    ranked = rank_in_group(spread, [*group, "label"], bucket, keys, "_rank").join(counts, [*group, "label"])
-    scarce = F.raise_error(F.lit(f"a class has no more than {per_class} examples"))
-    rank = F.when(F.col("_n") <= per_class, scarce).otherwise(F.col("_rank"))
     # both classes have the same size, so the quota is the same for both up to one row
     total = 2 * per_class
     n_train = total - _ceil(test_size * total)
-    quota = F.when(F.col("label") == 0, n_train - n_train // 2).otherwise(n_train // 2)
-    part = F.when(F.col("_rank") <= quota, "train").otherwise("test")
-    return ranked.filter(rank <= per_class).select(*group, row, "label", part.alias("part"))
+    scarce = F.raise_error(F.lit(f"a class has no more than {per_class} examples"))
+    picked = counts.select(*group, "label", F.when(F.col("_n") <= per_class, scarce).otherwise(F.lit(per_class)).alias("quota"))
+    sample = first_in_group(spread, [*group, "label"], bucket, keys, picked).filter("chosen").drop("chosen")
+    train = F.when(F.col("label") == 0, n_train - n_train // 2).otherwise(n_train // 2)
+    split = first_in_group(sample, [*group, "label"], bucket, keys, picked.select(*group, "label", train.alias("quota")))
+    return split.select(*group, row, "label", F.when(F.col("chosen"), "train").otherwise("test").alias("part"))
 
 
 def _ceil(x: float) -> int:

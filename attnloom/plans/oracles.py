@@ -589,6 +589,7 @@ scored AS (SELECT f.run_id, part, y AS label, 1 / (1 + exp(-(w * x + b))) AS sco
 sizes AS (SELECT run_id, count(*) AS n_train FROM train GROUP BY run_id)
 SELECT run_id, part, n_train, 2 AS trainable_params, {_r('w', 5)} AS coef, {_r('b', 5)} AS intercept, {_FIVE}
 FROM auc JOIN ap USING (run_id, part) JOIN m USING (run_id, part) JOIN model USING (run_id) JOIN sizes USING (run_id)"""
+ORACLES["probe_wide_features"] = ORACLES["probe_single_feature"].replace("2 AS trainable_params", "9 AS trainable_params, 1 AS rank")
 ORACLES["probe_transfer"] = f"""WITH RECURSIVE {NEWTON},
 scored AS (
   SELECT model.run_id AS train_run, f.run_id AS test_run, y AS label, 1 / (1 + exp(-(w * x + b))) AS score

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -644,6 +645,28 @@ def probe_single_feature(spark, sf):
     )
 
 
+WIDE = 1500  # features, more than the training rows of a run and more than a tile
+
+
+@query
+def probe_wide_features(spark, sf):
+    """Probes with more features than rows: the attention score spread over WIDE equal columns, fitted on their components.
+
+    The penalty is invariant under rotation, so the norm of the coefficients, the
+    intercept and the metrics are those of the one feature behind them.
+    """
+    one = features.labelled(_single_feature(spark, sf), _split_arithmetic(spark, sf))
+    rows = one.withColumn("features", F.array_repeat(F.col("features")[0] / math.sqrt(WIDE), WIDE))
+    models = probe.fit_probes(rows, RUN, pca_dim=8)
+    scored = cut_lineage(probe.score(rows, models, RUN))
+    measured = metrics.probe_metrics(scored, ["run_id", "part"]).join(models, RUN)
+    norm = F.aggregate("coef", F.lit(0.0), lambda acc, c: acc + c / math.sqrt(WIDE))
+    return measured.select(
+        "run_id", "part", "n_train", "trainable_params", "rank", A.rounded(norm, 5).alias("coef"),
+        A.rounded(F.col("intercept"), 5).alias("intercept"), *[_r(m) for m in probe.METRICS],
+    )
+
+
 @query
 def probe_transfer(spark, sf):
     """One-feature probes of every run measured on the test rows of every run."""

@@ -68,17 +68,14 @@ def generalization(
 ) -> DataFrame:
     """Every run's probe on the test rows of every run.
 
-    `features` has one row per example and `probe`. Test rows are repeated once
-    per model run (a short list) and meet their model in an equi-join.
+    `features` has one row per example and `probe`. A test row meets the stacked
+    models of all runs in one join; its vector is not repeated per model.
     """
     labelled = S.labelled(features, split).persist(StorageLevel.MEMORY_AND_DISK)
-    train_side = labelled.filter(F.col("part") == "train").withColumnRenamed("run_id", "train_run")
-    models = cut_lineage(
-        probe.fit_probes(train_side, ["probe", "train_run"], ["train_run", "row_idx"], pca_dim)
-    )
+    train_side = labelled.filter((F.col("part") == "train") & F.col("run_id").isin(list(runs))).withColumnRenamed("run_id", "train_run")
+    models = probe.fit_probes(train_side, ["probe", "train_run"], ["train_run", "row_idx"], pca_dim)
     test_rows = labelled.filter(F.col("part") == "test").withColumnRenamed("run_id", "test_run")
-    spread = test_rows.withColumn("train_run", F.explode(F.array(*[F.lit(r) for r in runs])))
-    scored = cut_lineage(probe.score(spread, models, ["probe", "train_run"]))
+    scored = cut_lineage(probe.score_each(test_rows, models, ["probe"], ["train_run"], ["test_run", "row_idx"]))
     labelled.unpersist()
     return metrics.probe_metrics(scored, ["probe", "train_run", "test_run"])
 

@@ -13,7 +13,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "attnloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; `conf` overrides any setting."""
+    """A session with adaptive execution on, whose executors can import this package; `conf` overrides any setting."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -27,7 +27,9 @@ def build_session(app: str = "attnloom", master: str | None = None, **conf: str)
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,15 +26,15 @@ def frame(spark, groups):
     return spark.createDataFrame(rows, "g string, label int, score double")
 
 
-@pytest.mark.parametrize("sample_one_in", [1, 3, 4096])
-def test_ranking_metrics_against_brute_force(spark, monkeypatch, sample_one_in):
+@pytest.mark.parametrize("rows", [1, 30, 4096])
+def test_ranking_metrics_against_brute_force(spark, monkeypatch, rows):
     rng = np.random.default_rng(5)
     groups = {}
     for g, n, digits in (("hot", 900, 2), ("mid", 200, 1), ("tiny", 12, 3)):
         groups[g] = (np.append(rng.integers(0, 2, n - 2), [0, 1]), np.round(rng.normal(size=n), digits))
     original = ordering.value_buckets
     monkeypatch.setattr(
-        metrics, "value_buckets", lambda df, group, value: original(df, group, value, buckets=200, sample_one_in=sample_one_in)
+        metrics, "value_buckets", lambda df, group, value: original(df, group, value, buckets=200, rows=rows)
     )
     got = {r["g"]: r for r in metrics.ranking_metrics(frame(spark, groups), ["g"], "label", "score").collect()}
     for g, (y, s) in groups.items():
@@ -66,7 +66,7 @@ def test_threshold_metrics(spark):
 
 def test_buckets_follow_the_value(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), F.rand(7).alias("v")).persist()
-    rows = sorted((r["v"], r["_bucket"]) for r in ordering.value_buckets(df, ["g"], "v", buckets=300, sample_one_in=2).collect())
+    rows = sorted((r["v"], r["_bucket"]) for r in ordering.value_buckets(df, ["g"], "v", buckets=300, rows=10).collect())
     buckets = [b for _, b in rows]
     assert buckets == sorted(buckets) and len(set(buckets)) > 100
     sizes = np.bincount(buckets)
@@ -75,7 +75,7 @@ def test_buckets_follow_the_value(spark):
 
 def test_value_buckets_bounds_are_inclusive_of_equal_values(spark):
     df = spark.createDataFrame([("g", float(v)) for v in (1, 1, 2, 3, 3, 3)], "g string, v double")
-    got = ordering.value_buckets(df, ["g"], "v", sample_one_in=1).collect()
+    got = ordering.value_buckets(df, ["g"], "v", rows=1).collect()
     assert len({(r["v"], r["_bucket"]) for r in got}) == 3
 
 
@@ -87,3 +87,33 @@ def test_rank_in_hot_group(spark):
     for g in ("hot", "cold"):
         rows = sorted((r["v"], r["id"], r["rank"]) for r in ranked if r["g"] == g)
         assert [r[2] for r in rows] == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_first_in_group(spark, buckets):
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"), "id", (F.hash("id") % 40).alias("v"))
+    quota = spark.createDataFrame([("hot", 133), ("cold", 0)], "g string, quota long")
+    by = F.floor((F.col("v") + 40) * buckets / 81)
+    rows = ordering.first_in_group(df, ["g"], by, [F.col("v"), F.col("id")], quota).collect()
+    for g, n in (("hot", 133), ("cold", 0)):
+        own = sorted((r["v"], r["id"], r["chosen"]) for r in rows if r["g"] == g)
+        assert [r[2] for r in own] == [i < n for i in range(len(own))]
+    whole = spark.createDataFrame([("hot", 400)], "g string, quota long")
+    got = ordering.first_in_group(df, ["g"], by, [F.col("v"), F.col("id")], whole).collect()
+    assert all(r["chosen"] == (r["g"] == "hot") for r in got) and len(got) == 600
+
+
+def test_no_value_is_ranked_in_a_split(spark):
+    from attnloom.operators import sampling
+
+    labels = spark.range(500).select(F.lit("r").alias("run_id"), F.col("id").alias("row_idx"), (F.col("id") % 2).cast("int").alias("label"))
+    plan = sampling.stratified_split(labels)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert len(windows) <= 1  # only rows of the bucket in which the quota is reached
+
+
+def test_counts_are_the_only_read_of_the_input(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    spark.createDataFrame([("a", i % 2, float(i)) for i in range(20)], "g string, label int, score double").write.parquet(path)
+    done = metrics.ranking_metrics(spark.read.parquet(path), ["g"], "label", "score")
+    assert "FileScan" not in done._jdf.queryExecution().executedPlan().toString()

@@ -216,3 +216,19 @@ def test_each_k_of_the_perturbation_study_has_its_own_noise(spark):
     got = studies.perturbation_study(diags, split, ks=(1, 2), stds=(0.1, None), repeats=2, pca_dim=None).collect()
     assert sorted((r["top_k"], r["std"], r["rep"]) for r in got) == [(k, s, r) for k in (1, 2) for s in (0.0, 0.1) for r in (0, 1)]
     assert len({r["avg_diff_l2_norm"] for r in got if r["std"] > 0}) == 4
+
+
+def test_each_model_scores_each_row(spark):
+    rows = spark.createDataFrame([("p", i, [float(i), 1.0]) for i in range(50)] + [("q", 0, [1.0, 1.0])], "probe string, row_idx long, features array<double>")
+    models = spark.createDataFrame([("p", m, [float(m), 0.5], 0.1 * m) for m in range(3)], "probe string, model int, coef array<double>, intercept double")
+    scored = probe.score_each(rows, models, ["probe"], ["model"], ["row_idx"])
+    got = {(r["row_idx"], r["model"]): r["p1"] for r in scored.collect()}
+    assert len(got) == 150
+    for (i, m), p in got.items():
+        assert p == pytest.approx(1 / (1 + np.exp(-(i * m + 0.5 + 0.1 * m))))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "features" not in plan[:join].split("Generate", 1)[0]  # vectors end before rows multiply
+    wrong = models.withColumn("coef", F.slice("coef", 1, 1))
+    with pytest.raises(Exception, match="differ in width"):
+        probe.score_each(rows, wrong, ["probe"], ["model"], ["row_idx"]).collect()

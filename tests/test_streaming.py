@@ -1,3 +1,5 @@
+import shutil
+
 from pyspark.sql import functions as F
 
 from attnloom.schema import HEAD
@@ -29,9 +31,31 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert stored.select(*columns).exceptAll(batch.select(*columns)).count() == 0
 
 
-def test_replayed_batch_is_dropped(spark, tmp_path):
-    sink = S.append_once(str(tmp_path / "out"))
-    batch = S.head_features(maps(spark, range(3)))
-    sink(batch, 0)
-    sink(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+def test_replayed_batch_is_stored_once(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    maps(spark, range(5)).repartition(2).write.parquet(source)
+    schema = maps(spark, [0]).schema
+    S.run_available(spark, source, target, state, schema, files_per_batch=1)
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    lost = str(tmp_path / "lost")  # as if the driver had died before it noted the last batch
+    shutil.copytree(state, lost, ignore=lambda folder, _: {str(last), f".{last}.crc"} if folder.endswith("commits") else set())
+    S.run_available(spark, source, target, lost, schema, files_per_batch=1)
+    stored = spark.read.parquet(target)
+    assert stored.count() == 10 == stored.select(*HEAD).distinct().count()
+
+
+def test_a_batch_reads_nothing_stored(spark, tmp_path):
+    source = str(tmp_path / "in")
+    maps(spark, range(3)).write.parquet(source)
+    stream = S.first_of_each(S.head_features(S.read_shards(spark, source, maps(spark, [0]).schema)))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "Join" not in plan
+
+
+def test_watermark_bounds_the_state(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = maps(spark, range(3)).withColumn("at", F.timestamp_seconds("row_idx"))
+    rows.write.parquet(source)
+    read = S.read_shards(spark, source, rows.schema)
+    plan = S.first_of_each(read, arrival="at", delay="10 seconds")._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in plan

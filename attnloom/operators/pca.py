@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
-from .blocks import BLOCK, COL, COLS, ROW, ROWS, SUMS
+from .blocks import BLOCK, COL, COLS, ROW, ROWS, SAMPLE, SUMS
 
 _THIN, _OTHER = "_thin", "_other"
 
@@ -63,7 +64,10 @@ def components_of_tile(x: np.ndarray, dim: int | None) -> tuple[np.ndarray, np.n
 
 @dataclass(frozen=True)
 class Shapes:
-    """Largest numbers of tiles and of values along the sides of all matrices of a sweep."""
+    """Largest numbers of tiles and of values along the sides of all matrices of a sweep, and which shapes occur.
+
+    A sample is wide if it has fewer rows than features.
+    """
 
     rows: int
     cols: int
@@ -83,162 +87,174 @@ class Shapes:
         return Shapes(r["rows"] or 0, r["cols"] or 0, r["n"] or 0, r["d"] or 0, r["tall"], r["wide"], r["single"])
 
 
+def _parts(df: DataFrame, keys: Sequence[str], *index: str) -> T.StructType:
+    return B.schema(df, keys, **{c: T.IntegerType() for c in (SAMPLE, *index)}, **{SUMS: T.BinaryType()})
+
+
 def column_means(tiles: DataFrame, sizes: DataFrame, keys: Sequence[str], shapes: Shapes) -> DataFrame:
-    """(keys, COL, ROWS, COLS, mean)."""
+    """(keys, SAMPLE, COL, mean, _wide) of the rows of every sample; `sizes` has keys and SAMPLE."""
     keys = list(keys)
+    names = [*keys, SAMPLE, COL]
 
-    def sums(key: tuple, tile: pd.Series) -> pd.DataFrame:
-        rows = len(tile["y"]) // 8
-        return B.keyed((*key[:-2], key[-1], key[-2]), [*keys, COL, BLOCK], **{SUMS: B.pack(B.unpack(tile["x"]).reshape(rows, -1).sum(0))})
+    def sums(key: tuple, tile: pd.Series) -> list[pd.DataFrame]:
+        x, _, w = B.matrix(tile)
+        return [B.keyed((*key[:-2], j, key[-1], key[-2]), [*names, BLOCK], **{SUMS: B.pack(x[mask].sum(0))}) for j, mask in B.samples_in(w)]
 
-    parts = B.each_tile(tiles, [*keys, ROW, COL], sums, B.schema(tiles, keys, **{COL: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
-    totals = B.tree_sum(parts, [*keys, COL], shapes.rows, B.TILE).join(B.tile_counts(sizes).select(*keys, ROWS, COLS, "n_train"), keys)
+    parts = B.each_tile(tiles, [*keys, ROW, COL], sums, _parts(tiles, keys, COL, BLOCK))
+    totals = B.tree_sum(parts, names, shapes.rows, B.TILE).join(sizes.select(*keys, SAMPLE, "n_train", "n_features"), [*keys, SAMPLE])
 
-    def divide(key: tuple, total: pd.Series) -> pd.DataFrame:
-        return B.keyed(key, [*keys, COL], **{ROWS: int(total[ROWS]), COLS: int(total[COLS])}, mean=B.pack(B.unpack(total[SUMS]) / int(total["n_train"])))
+    def divide(key: tuple, total: pd.Series) -> list[pd.DataFrame]:
+        n, d = int(total["n_train"]), int(total["n_features"])
+        return [B.keyed(key, names, mean=B.pack(B.unpack(total[SUMS]) / n), _wide=d > n)]
 
-    out = B.schema(tiles, keys, **{COL: T.IntegerType(), ROWS: T.IntegerType(), COLS: T.IntegerType()}, mean=T.BinaryType())
-    return B.each_tile(totals, [*keys, COL], divide, out)
+    out = B.schema(tiles, keys, **{SAMPLE: T.IntegerType(), COL: T.IntegerType()}, mean=T.BinaryType(), _wide=T.BooleanType())
+    return B.each_tile(totals, names, divide, out)
 
 
-def centred(tiles: DataFrame, means: DataFrame, keys: Sequence[str]) -> DataFrame:
-    keys = list(keys)
-    names = [*keys, ROW, COL]
+def with_means(tiles: DataFrame, means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tiles with the means of their columns in every sample."""
+    lists = means.groupBy(*keys, COL).agg(F.collect_list(F.struct(SAMPLE, "mean", "_wide")).alias("_means"))
+    return tiles.join(lists, [*keys, COL])
 
-    def subtract(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
-        mean = B.unpack(model["mean"])
-        x = B.unpack(tile["x"]).reshape(-1, len(mean)) - mean
-        return B.keyed(key, names, **{ROWS: int(tile[ROWS]), COLS: int(tile[COLS])}, x=B.pack(x), y=tile["y"], s=tile["s"])
 
-    return B.with_models(tiles, B.spread(means.drop(COLS), ROW, ROWS).drop(ROWS), names, subtract, tiles.schema)
+def _centred(tile: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray, bool]]:
+    """Per sample with rows in the tile: these rows without their means, their mask, and whether the sample is wide."""
+    x, _, w = B.matrix(tile)
+    means = {int(m[SAMPLE]): m for m in tile["_means"]}
+    return {j: (x[mask] - B.unpack(means[j]["mean"]), mask, bool(means[j]["_wide"])) for j, mask in B.samples_in(w) if j in means}
 
 
-def _gram(tiles: DataFrame, sizes: DataFrame, keys: list[str], shapes: Shapes) -> DataFrame:
-    """(keys, _thin, _other, SUMS): tiles of the Gram matrices, upper half."""
-    shaped = tiles.join(sizes.select(*keys, (F.col("n_features") > F.col("n_train")).alias("_wide")), keys)
-    thin, long = F.when(F.col("_wide"), F.col(ROW)).otherwise(F.col(COL)), F.when(F.col("_wide"), F.col(COL)).otherwise(F.col(ROW))
-    shaped = shaped.select(*keys, "_wide", thin.alias(_THIN), long.alias(BLOCK), F.when(F.col("_wide"), F.col(ROWS)).otherwise(F.col(COLS)).alias("_thins"), "x", F.octet_length("y").alias("_y"))
-    out = B.schema(tiles, keys, **{_THIN: T.IntegerType(), _OTHER: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()})
+def _gram(tiles: DataFrame, keys: list[str], shapes: Shapes) -> DataFrame:
+    """(keys, SAMPLE, _thin, _other, SUMS): tiles of the Gram matrices, upper half."""
+    names = [*keys, SAMPLE, _THIN, _OTHER, BLOCK]
+    out = _parts(tiles, keys, _THIN, _OTHER, BLOCK)
 
-    def side(tile: pd.Series) -> np.ndarray:
-        x = B.unpack(tile["x"]).reshape(int(tile["_y"]) // 8, -1)
-        return x.T if tile["_wide"] else x
+    def own(key: tuple, tile: pd.Series) -> list[pd.DataFrame]:
+        row, col = key[-2:]
+        return [
+            B.keyed((*key[:-2], j, *((row, row, col) if wide else (col, col, row))), names, **{SUMS: B.pack(x @ x.T if wide else x.T @ x)})
+            for j, (x, _, wide) in _centred(tile).items()
+        ]
 
-    def own(key: tuple, tile: pd.Series) -> pd.DataFrame:
-        a = side(tile)
-        return B.keyed((*key[:-1], key[-2], key[-1]), [*keys, _THIN, _OTHER, BLOCK], **{SUMS: B.pack(a.T @ a)})
+    parts = B.each_tile(tiles, [*keys, ROW, COL], own, out)
+    for wide, thin, long, count, several in ((False, COL, ROW, COLS, shapes.tall and shapes.cols > 1), (True, ROW, COL, ROWS, shapes.wide and shapes.rows > 1)):
+        if several:  # a thin side of several tiles: each pair of them, along every tile of the long side
+            parts = parts.unionByName(_pairs(tiles, keys, wide, thin, long, count, names, out))
+    longest = max(shapes.rows if shapes.tall else 1, shapes.cols if shapes.wide else 1)
+    return B.tree_sum(parts, [*keys, SAMPLE, _THIN, _OTHER], longest, B.TILE**2)
 
-    parts = B.each_tile(shaped, [*keys, _THIN, BLOCK], own, out)
-    if (shapes.cols if shapes.tall else 0) > 1 or (shapes.rows if shapes.wide else 0) > 1:
-        # a thin side of several tiles: each pair of them, along every tile of the long side
-        every = F.explode(F.sequence(F.lit(0), F.col("_thins") - 1))
-        upper = F.col(_OTHER) > F.col(_THIN)
-        first = shaped.withColumn(_OTHER, every).filter(upper)
-        second = shaped.withColumnRenamed(_THIN, _OTHER).withColumn(_THIN, every).filter(upper)
-        second = second.toDF(*second.columns)  # columns of its own, as both sides come from one table
-        names = [*keys, _THIN, _OTHER, BLOCK]
 
-        def pair(key: tuple, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-            return B.keyed(key, names, **{SUMS: B.pack(side(a).T @ side(b))})
+def _pairs(tiles: DataFrame, keys: list[str], wide: bool, thin: str, long: str, count: str, names: list[str], out: T.StructType) -> DataFrame:
+    shaped = tiles.select(*keys, F.col(thin).alias(_THIN), F.col(long).alias(BLOCK), F.col(count).alias("_thins"), "x", "y", "w", "_means")
+    every = F.explode(F.sequence(F.lit(0), F.col("_thins") - 1))
+    upper = F.col(_OTHER) > F.col(_THIN)
+    first = shaped.withColumn(_OTHER, every).filter(upper)
+    second = shaped.withColumnRenamed(_THIN, _OTHER).withColumn(_THIN, every).filter(upper)
+    second = second.toDF(*second.columns)  # columns of its own, as both sides come from one table
 
-        parts = parts.unionByName(B.with_models(first, second, names, pair, out))
-    longest = max(shapes.rows if shapes.tall else 1, shapes.cols if shapes.wide else 1)
-    return B.tree_sum(parts, [*keys, _THIN, _OTHER], longest, B.TILE**2)
+    def pair(key: tuple, a: pd.Series, b: pd.Series) -> list[pd.DataFrame]:
+        left, right = _centred(a), _centred(b)
+        found = []
+        for j in sorted(set(left) & set(right)):
+            x, z = left[j][0], right[j][0]
+            if left[j][2] == wide:
+                found.append(B.keyed((*key[:-3], j, *key[-3:]), names, **{SUMS: B.pack(x @ z.T if wide else x.T @ z)}))
+        return found
 
+    return B.with_models(first, second, [*keys, _THIN, _OTHER, BLOCK], pair, out)
 
-def _solve(gram: DataFrame, sizes: DataFrame, keys: list[str], dim: int | None) -> DataFrame:
-    """(keys, _thin, basis, values, pca_dim, rank): eigenvectors of each thin tile, by falling eigenvalue.
 
-    Without `dim` all directions of positive variance are kept.
-    """
-    out = B.schema(gram, keys, **{_THIN: T.IntegerType()}, basis=T.BinaryType(), values=T.BinaryType(), pca_dim=T.IntegerType(), rank=T.IntegerType(), variance=T.ArrayType(T.DoubleType()))
+def _solve(gram: DataFrame, sizes: DataFrame, keys: list[str], dim: int | None) -> DataFrame:
+    """(keys, SAMPLE, _thin, basis, values, pca_dim, rank, variance): eigenvectors of each thin tile, by falling eigenvalue."""
+    names = [*keys, SAMPLE]
+    kinds = {"basis": T.BinaryType(), "values": T.BinaryType(), "pca_dim": T.IntegerType(), "rank": T.IntegerType(), "variance": T.ArrayType(T.DoubleType())}
+    out = B.schema(gram, names, **{_THIN: T.IntegerType()}, **kinds)
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, d = int(pdf["n_train"].iloc[0]), int(pdf["n_features"].iloc[0])
-        pieces = {(int(r[_THIN]), int(r[_OTHER])): B.unpack(r[SUMS]) for _, r in pdf.iterrows()}
-        widths = [round(len(pieces[t, t]) ** 0.5) for t in range(max(t for t, _ in pieces) + 1) if (t, t) in pieces]
-        names = [t for t in range(max(t for t, _ in pieces) + 1) if (t, t) in pieces]
-        at = dict(zip(names, np.concatenate([[0], np.cumsum(widths)[:-1]]).astype(int)))
-        size = dict(zip(names, widths))
-        whole = np.zeros((sum(widths), sum(widths)))
+        pieces = {(int(t), int(u)): B.unpack(data) for t, u, data in zip(pdf[_THIN], pdf[_OTHER], pdf[SUMS])}
+        size = {t: round(len(values) ** 0.5) for (t, u), values in sorted(pieces.items()) if t == u}
+        at = dict(zip(size, np.concatenate([[0], np.cumsum(list(size.values()))]).astype(int)))
+        whole = np.zeros((sum(size.values()),) * 2)
         for (t, u), values in pieces.items():
             block = values.reshape(size[t], size[u])
             whole[at[t] : at[t] + size[t], at[u] : at[u] + size[u]] = block
             whole[at[u] : at[u] + size[u], at[t] : at[t] + size[t]] = block.T
         values, vectors, rank = directions(whole, n, d, dim)
-        k = len(values)
-        rows = [B.keyed(key, keys, **{_THIN: t}, basis=B.pack(vectors[at[t] : at[t] + size[t]]), values=B.pack(values), pca_dim=k, rank=rank,
-                        variance=(values / max(n - 1, 1)).tolist()) for t in names]
+        variance = (values / max(n - 1, 1)).tolist()
+        rows = [B.keyed(key, names, **{_THIN: t}, basis=B.pack(vectors[at[t] : at[t] + size[t]]), values=B.pack(values), pca_dim=len(values),
+                        rank=rank, variance=variance) for t in size]
         return pd.concat(rows, ignore_index=True)
 
-    return gram.join(sizes.select(*keys, "n_train", "n_features"), keys).groupBy(*keys).applyInPandas(solve, out)
+    return gram.join(sizes.select(*names, "n_train", "n_features"), names).groupBy(*names).applyInPandas(solve, out)
 
 
 def components_of(tiles: DataFrame, sizes: DataFrame, keys: Sequence[str], dim: int | None, shapes: Shapes) -> tuple[DataFrame, DataFrame]:
-    """Of centred tiles: (keys, COL, axes) with packed columns x components, and facts (keys, pca_dim, rank, variance)."""
+    """Of tiles with means: (keys, SAMPLE, COL, axes) with packed columns x components, and facts (keys, SAMPLE, pca_dim, rank, variance)."""
     keys = list(keys)
-    solved = _solve(_gram(tiles, sizes, keys, shapes), sizes, keys, dim).persist()
-    facts = solved.filter(F.col(_THIN) == 0).select(*keys, "pca_dim", "rank", "variance")
-    # thin tiles may be empty for a hash without rows; the first of them then has another number
-    if shapes.rows > 1 and shapes.wide:
-        facts = solved.groupBy(*keys).agg(F.max("pca_dim").alias("pca_dim"), F.max("rank").alias("rank"), F.first("variance").alias("variance"))
-    out = B.schema(tiles, keys, **{COL: T.IntegerType()}, axes=T.BinaryType())
-    shaped = solved.join(B.tile_counts(sizes).select(*keys, COLS, (F.col("n_features") > F.col("n_train")).alias("_wide")), keys)
-    axes = shaped.filter("NOT _wide").select(*keys, F.col(_THIN).alias(COL), F.col("basis").alias("axes"))
+    names = [*keys, SAMPLE]
+    solved = _solve(_gram(tiles, keys, shapes), sizes, keys, dim).persist(StorageLevel.MEMORY_AND_DISK)
+    facts = solved.groupBy(*names).agg(F.max("pca_dim").alias("pca_dim"), F.max("rank").alias("rank"), F.first("variance").alias("variance"))
+    counts = B.tile_counts(sizes).select(*names, COLS, (F.col("n_features") > F.col("n_train")).alias("_wide"))
+    shaped = solved.join(counts, names)
+    axes = shaped.filter("NOT _wide").select(*names, F.col(_THIN).alias(COL), F.col("basis").alias("axes"))
     if shapes.wide:
-        names = [*keys, ROW, COL]
-        bases = B.spread(shaped.filter("_wide").withColumnRenamed(_THIN, ROW).select(*keys, ROW, COLS, "basis", "values"), COL, COLS).drop(COLS)
+        bases = B.spread(shaped.filter("_wide").select(*names, F.col(_THIN).alias(ROW), COLS, "basis", "values"), COL, COLS).drop(COLS)
 
-        def turn(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
-            values = B.unpack(model["values"])
-            x = B.unpack(tile["x"]).reshape(len(tile["y"]) // 8, -1)
+        def turn(key: tuple, tile: pd.Series, model: pd.Series) -> list[pd.DataFrame]:
+            j, values = int(model[SAMPLE]), B.unpack(model["values"])
+            x = _centred(tile)[j][0]
             part = turned(x, B.unpack(model["basis"]).reshape(len(x), len(values)), values)
-            return B.keyed((*key[:-2], key[-1], key[-2]), [*keys, COL, BLOCK], **{SUMS: B.pack(part)})
+            return [B.keyed((*key[:-2], j, key[-1], key[-2]), [*names, COL, BLOCK], **{SUMS: B.pack(part)})]
 
-        parts = B.with_models(tiles, bases, names, turn, B.schema(tiles, keys, **{COL: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
+        parts = B.with_models(tiles, bases, [*keys, ROW, COL], turn, _parts(tiles, keys, COL, BLOCK))
         most = min(shapes.n, dim or shapes.n)
-        axes = axes.unionByName(B.tree_sum(parts, [*keys, COL], shapes.rows, B.TILE * most).withColumnRenamed(SUMS, "axes"))
-    return axes.select(*[f.name for f in out.fields]), facts
+        axes = axes.unionByName(B.tree_sum(parts, [*names, COL], shapes.rows, B.TILE * most).withColumnRenamed(SUMS, "axes"))
+    return axes, facts
 
 
 def project(tiles: DataFrame, axes: DataFrame, sizes: DataFrame, keys: Sequence[str], shapes: Shapes, most: int) -> DataFrame:
-    """(keys, ROW, ROWS, z): rows in component space, with y and s as the last two columns of packed z."""
+    """(keys, SAMPLE, ROW, z): rows of every sample in component space, with y and weights as the last two columns of packed z."""
     keys = list(keys)
-    names = [*keys, ROW, COL]
-    models = B.spread(axes.join(B.tile_counts(sizes).select(*keys, ROWS), keys), ROW, ROWS).drop(ROWS)
-
-    def turn(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
-        y, s = B.unpack(tile["y"]), B.unpack(tile["s"])
-        x = B.unpack(tile["x"]).reshape(len(y), -1)
+    names = [*keys, SAMPLE]
+    models = B.spread(axes.join(B.tile_counts(sizes).select(*names, ROWS), names), ROW, ROWS).drop(ROWS)
+
+    def turn(key: tuple, tile: pd.Series, model: pd.Series) -> list[pd.DataFrame]:
+        j, held = int(model[SAMPLE]), _centred(tile)
+        if j not in held:
+            return []
+        x, mask, _ = held[j]
+        _, y, w = B.matrix(tile)
         z = x @ B.unpack(model["axes"]).reshape(x.shape[1], -1)
         first = float(key[-1] == 0)
-        return B.keyed(key, [*keys, ROW, BLOCK], **{SUMS: B.pack(np.column_stack([z, first * y, first * s]))})
+        return [B.keyed((*key[:-2], j, *key[-2:]), [*names, ROW, BLOCK], **{SUMS: B.pack(np.column_stack([z, first * y[mask], first * w[mask, j]]))})]
 
-    parts = B.with_models(tiles, models, names, turn, B.schema(tiles, keys, **{ROW: T.IntegerType(), BLOCK: T.IntegerType(), SUMS: T.BinaryType()}))
-    return B.tree_sum(parts, [*keys, ROW], shapes.cols, B.TILE * (most + 2)).withColumnRenamed(SUMS, "z")
+    parts = B.with_models(tiles, models, [*keys, ROW, COL], turn, _parts(tiles, keys, ROW, BLOCK))
+    return B.tree_sum(parts, [*names, ROW], shapes.cols, B.TILE * (most + 2)).withColumnRenamed(SUMS, "z")
 
 
 def fit_pca(features: DataFrame, keys: Sequence[str], row: Sequence[str], dim: int) -> DataFrame:
     """(keys, pca_dim, rank, variance) of the training rows of `(keys, row, part, features)`, for all groups at once."""
     keys = list(keys)
     train = features.filter(F.col("part") == "train")
-    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.max(F.size("features")).alias("n_features")).persist()
+    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.max(F.size("features")).alias("n_features"))
+    sizes = sizes.withColumns({"n_rows": F.col("n_train"), SAMPLE: F.lit(0)}).persist()
     shapes = Shapes.of(sizes)
-    rows = train.select(*dict.fromkeys([*keys, *row]), "features", F.lit(0.0).alias("y"), F.lit(0.0).alias("s"))
+    rows = train.select(*dict.fromkeys([*keys, *row]), "features", F.lit(0.0).alias("y"), F.array(F.lit(1.0)).alias("w"))
     out = B.schema(train, keys, pca_dim=T.IntegerType(), rank=T.IntegerType(), variance=T.ArrayType(T.DoubleType()))
 
-    def whole(key: tuple, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    def whole(key: tuple, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[pd.DataFrame]:
         _, _, values, rank = components_of_tile(x, dim)
-        return B.keyed(key, keys, pca_dim=len(values), rank=rank, variance=(values / max(len(x) - 1, 1)).tolist())
+        return [B.keyed(key, keys, pca_dim=len(values), rank=rank, variance=(values / max(len(x) - 1, 1)).tolist())]
 
     found = []
     if shapes.single:
         found.append(B.each_single(rows, sizes, keys, whole, out))
     if shapes.rows > 1 or shapes.cols > 1:
         sizes = sizes.filter(~B.is_single())
-        tiles = B.tiles(rows, sizes, keys, row, ["y", "s"])
-        flat = centred(tiles, column_means(tiles, sizes, keys, shapes), keys)
-        found.append(components_of(flat, sizes, keys, dim, shapes)[1])
+        tiles = B.tiles(rows, sizes, keys, row)
+        tiles = with_means(tiles, column_means(tiles, sizes, keys, shapes), keys)
+        found.append(components_of(tiles, sizes, keys, dim, shapes)[1].drop(SAMPLE))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

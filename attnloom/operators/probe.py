@@ -12,7 +12,7 @@ wait for and takes the same steps in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,13 +33,22 @@ TOLERANCE = 1e-8
 METRICS = ("auc", "average_precision", "precision", "recall", "f1")
 
 
-def probe_sizes(features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Training rows, class counts and width per probe; one class or ragged features raise."""
-    sizes = features.filter(F.col("part") == "train").groupBy(*keys).agg(
+def trained_in(samples: int | None) -> Column:
+    """Samples in which a row trains: of `members`, or sample 0 for the training part."""
+    if samples is None:
+        return F.when(F.col("part") == "train", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter("members", lambda m: m["part"] == "train"), lambda m: m["sample"])
+
+
+def probe_sizes(features: DataFrame, keys: Sequence[str], samples: int | None = None) -> DataFrame:
+    """Training rows, class counts and width per probe and sample, and rows that train in any; one class or ragged features raise."""
+    keys = list(keys)
+    narrow = features.select(*keys, "label", F.size("features").alias("_d"), trained_in(samples).alias("_in"))
+    sizes = narrow.select(*keys, "label", "_d", F.explode("_in").alias(B.SAMPLE)).groupBy(*keys, B.SAMPLE).agg(
         F.count(F.lit(1)).alias("n_train"),
         F.count_if(F.col("label") == 1).alias("n_1"),
-        F.min(F.size("features")).alias("_narrow"),
-        F.max(F.size("features")).alias("n_features"),
+        F.min("_d").alias("_narrow"),
+        F.max("_d").alias("n_features"),
     )
     one_class = (F.col("n_1") == 0) | (F.col("n_1") == F.col("n_train"))
     guarded = (
@@ -47,7 +56,11 @@ def probe_sizes(features: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(F.col("_narrow") != F.col("n_features"), F.raise_error(F.lit("ragged features in one probe")))
         .otherwise(F.col("n_train"))
     )
-    return sizes.withColumn("n_train", guarded).drop("_narrow")
+    sizes = sizes.withColumn("n_train", guarded).drop("_narrow")
+    if samples is None:
+        return sizes.withColumn("n_rows", F.col("n_train"))
+    rows = narrow.filter(F.size("_in") > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return sizes.join(rows, keys)
 
 
 def balanced_weight(n: Column, n_1: Column, label: Column) -> Column:
@@ -62,22 +75,31 @@ def fit_probes(
     pca_dim: int | None = None,
     max_iter: int = MAX_ITER,
     tolerance: float = TOLERANCE,
+    samples: int | None = None,
 ) -> DataFrame:
     """Fit every probe of `(keys, row, label, part, features)` on its training rows.
 
     Gives one row per probe: `coef` and `intercept` in the space of the given
     features (PCA is linear and folds into them), the number of trained
     parameters, the rank of the centred rows where they were rotated, and how
-    the fit ended.
+    the fit ended. With `samples`, rows have `members`, an array of (sample,
+    part), instead of a part: every probe is fitted in each of that many samples
+    of its rows, from one copy of them, and the result has a column `sample`.
     """
     keys = list(keys)
-    sizes = cut_lineage(probe_sizes(features, keys))
+    sizes = cut_lineage(probe_sizes(features, keys, samples))
     shapes = P.Shapes.of(sizes)
     if not shapes.n:
         raise ValueError("no training rows")
-    train = features.filter(F.col("part") == "train").join(sizes.select(*keys, "n_train", "n_1"), keys)
-    weight = balanced_weight(F.col("n_train"), F.col("n_1"), F.col("label"))
-    train = train.select(*keys, *[c for c in row if c not in keys], F.col("label").cast("double").alias("y"), weight.alias("s"), "features")
+    of = F.map_from_entries(F.collect_list(F.struct(B.SAMPLE, F.struct("n_train", "n_1"))))
+    train = features.withColumn("_in", trained_in(samples)).filter(F.size("_in") > 0).join(sizes.groupBy(*keys).agg(of.alias("_sizes")), keys)
+
+    def weight(j: int) -> Column:
+        own = F.col("_sizes")[F.lit(j)]
+        return F.when(F.array_contains("_in", j), balanced_weight(own["n_train"], own["n_1"], F.col("label"))).otherwise(F.lit(0.0))
+
+    weights = F.array(*[weight(j) for j in range(samples or 1)])
+    train = train.select(*keys, *[c for c in row if c not in keys], F.col("label").cast("double").alias("y"), weights.alias("w"), "features")
     kept: list[DataFrame] = []
     fitted = []
     try:
@@ -85,16 +107,17 @@ def fit_probes(
             fitted.append(_fit_single(train, sizes, keys, pca_dim, max_iter, tolerance))
         if shapes.rows > 1 or shapes.cols > 1:
             sizes = sizes.filter(~B.is_single())
-            tiles = B.tiles(train, sizes, keys, row, ["y", "s"]).repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
+            tiles = B.tiles(train, sizes.select(*keys, "n_rows", "n_features").distinct(), keys, row)
+            tiles = tiles.repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(tiles)
             rotated = F.lit(True) if pca_dim is not None else F.col("n_features") > F.col("n_train")
             for fit, own in ((_fit_rotated, sizes.filter(rotated)), (_fit_plain, sizes.filter(~rotated))):
                 if not own.isEmpty():
-                    fitted.append(fit(tiles.join(own.select(*keys), keys, "left_semi"), own, keys, pca_dim, max_iter, tolerance, kept))
+                    fitted.append(fit(tiles, own, keys, pca_dim, max_iter, tolerance, kept))
         models = fitted[0]
         for more in fitted[1:]:
             models = models.unionByName(more)
-        return cut_lineage(models)
+        return cut_lineage(models.drop(B.SAMPLE) if samples is None else models.withColumnRenamed(B.SAMPLE, "sample"))
     finally:
         for table in kept:
             table.unpersist()
@@ -102,9 +125,10 @@ def fit_probes(
 
 def _fit_single(train: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: int | None, max_iter: int, tolerance: float) -> DataFrame:
     """Probes of one tile: all steps of the other fits, with nothing to add across tiles."""
+    names = [*keys, B.SAMPLE]
     out = B.schema(
-        train, keys, coef=T.ArrayType(T.DoubleType()), intercept=T.DoubleType(), trainable_params=T.IntegerType(), pca_dim=T.IntegerType(),
-        rank=T.IntegerType(), n_train=T.LongType(), iterations=T.IntegerType(), converged=T.BooleanType(),
+        train, keys, **{B.SAMPLE: T.IntegerType()}, coef=T.ArrayType(T.DoubleType()), intercept=T.DoubleType(), trainable_params=T.IntegerType(),
+        pca_dim=T.IntegerType(), rank=T.IntegerType(), n_train=T.LongType(), iterations=T.IntegerType(), converged=T.BooleanType(),
     )
 
     def fit(key: tuple, x: np.ndarray, y: np.ndarray, s: np.ndarray) -> pd.DataFrame:
@@ -116,11 +140,14 @@ def _fit_single(train: DataFrame, sizes: DataFrame, keys: list[str], pca_dim: in
         coef = beta[:-1] if axes is None else axes @ beta[:-1]
         dim = P.clamp_dim(pca_dim, d, n)
         return B.keyed(
-            key, keys, coef=coef.tolist(), intercept=float(beta[-1] - coef @ mean), trainable_params=(dim or d) + 1, pca_dim=dim,
+            key, names, coef=coef.tolist(), intercept=float(beta[-1] - coef @ mean), trainable_params=(dim or d) + 1, pca_dim=dim,
             rank=rank, n_train=n, iterations=iterations, converged=converged,
         )
 
-    return B.each_single(train, sizes, keys, fit, out)
+    def each(key: tuple, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[pd.DataFrame]:
+        return [fit((*key, j), x[mask], y[mask], w[mask, j]) for j, mask in B.samples_in(w)]
+
+    return B.each_single(train, sizes.select(*keys, "n_rows", "n_features").distinct(), keys, each, out)
 
 
 def _fit_rotated(
@@ -128,31 +155,33 @@ def _fit_rotated(
 ) -> DataFrame:
     """Probes on the components of their rows; coefficients return to the features by column tiles."""
     shapes = P.Shapes.of(sizes)
+    names = [*keys, B.SAMPLE]
     means = P.column_means(tiles, sizes, keys, shapes).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = P.centred(tiles, means, keys).repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = P.with_means(tiles, means, keys).repartition(*keys, B.ROW, B.COL).persist(StorageLevel.MEMORY_AND_DISK)
     axes, facts = P.components_of(whole, sizes, keys, pca_dim, shapes)
     axes, facts = axes.persist(StorageLevel.MEMORY_AND_DISK), facts.persist(StorageLevel.MEMORY_AND_DISK)
     kept += [means, whole, axes, facts]
     most = min(shapes.n, shapes.d, pca_dim or shapes.n)
     rows = P.project(whole, axes, sizes, keys, shapes, most)
-    start = B.tile_counts(sizes).join(facts, keys).select(*keys, B.ROWS, F.col("pca_dim").alias("_d"))
-    state = _newton(rows, start, keys, shapes.rows, most, max_iter, tolerance)
-    found = state.join(B.tile_counts(sizes).select(*keys, B.COLS), keys)
-    models = B.spread(found.select(*keys, B.COLS, "_best"), B.COL, B.COLS).drop(B.COLS)
-    names = [*keys, B.COL]
-
-    def back(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+    counts = B.tile_counts(sizes)
+    start = counts.join(facts, names).select(*names, B.ROWS, F.col("pca_dim").alias("_d"))
+    state = _newton(rows, start, names, shapes.rows, most, max_iter, tolerance)
+    found = state.join(counts.select(*names, B.COLS), names)
+    models = B.spread(found.select(*names, B.COLS, "_best"), B.COL, B.COLS).drop(B.COLS)
+    parted = [*names, B.COL]
+
+    def back(key: tuple, tile: pd.Series, model: pd.Series) -> list[pd.DataFrame]:
         beta, mean = B.unpack(model["_best"])[:-1], B.unpack(tile["mean"])
         coef = B.unpack(tile["axes"]).reshape(len(mean), -1) @ beta
-        return B.keyed(key, names, part=coef.tolist(), shift=float(coef @ mean))
+        return [B.keyed(key, parted, part=coef.tolist(), shift=float(coef @ mean))]
 
-    out = B.schema(sizes, keys, **{B.COL: T.IntegerType()}, part=T.ArrayType(T.DoubleType()), shift=T.DoubleType())
-    parts = B.with_models(axes.join(means.select(*names, "mean"), names), models, names, back, out)
-    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(B.COL, "part"))).alias("_parts"), F.sum("shift").alias("_shift"))
-    ends = state.join(joined, keys).join(facts.select(*keys, F.col("pca_dim").alias("_dim"), "rank"), keys).join(sizes.select(*keys, "n_train", "n_features"), keys)
+    out = B.schema(sizes, names, **{B.COL: T.IntegerType()}, part=T.ArrayType(T.DoubleType()), shift=T.DoubleType())
+    parts = B.with_models(axes.join(means.select(*parted, "mean"), parted), models, parted, back, out)
+    joined = parts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(B.COL, "part"))).alias("_parts"), F.sum("shift").alias("_shift"))
+    ends = state.join(joined, names).join(facts.select(*names, F.col("pca_dim").alias("_dim"), "rank"), names).join(sizes.select(*names, "n_train", "n_features"), names)
     dim = F.lit(None).cast("int") if pca_dim is None else F.col("_dim")
     return ends.select(
-        *keys, F.flatten(F.transform("_parts", lambda p: p["part"])).alias("coef"), (F.col("_constant") - F.col("_shift")).alias("intercept"),
+        *names, F.flatten(F.transform("_parts", lambda p: p["part"])).alias("coef"), (F.col("_constant") - F.col("_shift")).alias("intercept"),
         (F.coalesce(dim, F.col("n_features")) + 1).cast("int").alias("trainable_params"), dim.alias("pca_dim"), "rank", "n_train", "iterations", F.col("done").alias("converged"),
     )
 
@@ -162,26 +191,30 @@ def _fit_plain(
 ) -> DataFrame:
     """Probes on their features as they are."""
     shapes = P.Shapes.of(sizes)
-    names, step = [*keys, B.ROW, B.BLOCK], B.TILE
+    names, step = [*keys, B.SAMPLE], B.TILE
+    placed = [*names, B.ROW, B.BLOCK]
 
-    def place(key: tuple, tile: pd.Series) -> pd.DataFrame:
-        y, s = B.unpack(tile["y"]), B.unpack(tile["s"])
-        x = B.unpack(tile["x"]).reshape(len(y), -1)
+    def place(key: tuple, tile: pd.Series) -> list[pd.DataFrame]:
+        x, y, w = B.matrix(tile)
         first = float(key[-1] == 0)
-        z = np.zeros((len(y), int(tile["n_features"]) + 2))
-        z[:, key[-1] * step : key[-1] * step + x.shape[1]] = x
-        z[:, -2], z[:, -1] = first * y, first * s
-        return B.keyed(key, names, **{B.SUMS: B.pack(z)})
-
-    out = B.schema(tiles, keys, **{B.ROW: T.IntegerType(), B.BLOCK: T.IntegerType(), B.SUMS: T.BinaryType()})
-    sized = tiles.join(sizes.select(*keys, "n_features"), keys)
+        found = []
+        for j, mask in B.samples_in(w):
+            if j in set(tile["_samples"]):
+                z = np.zeros((mask.sum(), int(tile["n_features"]) + 2))
+                z[:, key[-1] * step : key[-1] * step + x.shape[1]] = x[mask]
+                z[:, -2], z[:, -1] = first * y[mask], first * w[mask, j]
+                found.append(B.keyed((*key[:-2], j, *key[-2:]), placed, **{B.SUMS: B.pack(z)}))
+        return found
+
+    out = B.schema(tiles, keys, **{c: T.IntegerType() for c in (B.SAMPLE, B.ROW, B.BLOCK)}, **{B.SUMS: T.BinaryType()})
+    sized = tiles.join(sizes.groupBy(*keys).agg(F.max("n_features").alias("n_features"), F.collect_list(B.SAMPLE).alias("_samples")), keys)
     parts = B.each_tile(sized, [*keys, B.ROW, B.COL], place, out)
-    rows = B.tree_sum(parts, [*keys, B.ROW], shapes.cols, B.TILE * (shapes.d + 2)).withColumnRenamed(B.SUMS, "z")
-    start = B.tile_counts(sizes).select(*keys, B.ROWS, F.col("n_features").cast("int").alias("_d"))
-    state = _newton(rows, start, keys, shapes.rows, shapes.d, max_iter, tolerance)
+    rows = B.tree_sum(parts, [*names, B.ROW], shapes.cols, B.TILE * (shapes.d + 2)).withColumnRenamed(B.SUMS, "z")
+    start = B.tile_counts(sizes).select(*names, B.ROWS, F.col("n_features").cast("int").alias("_d"))
+    state = _newton(rows, start, names, shapes.rows, shapes.d, max_iter, tolerance)
     none = F.lit(None).cast("int")
-    return state.join(sizes.select(*keys, "n_train", "n_features"), keys).select(
-        *keys, F.col("_coef").alias("coef"), F.col("_constant").alias("intercept"), (F.col("n_features") + 1).cast("int").alias("trainable_params"),
+    return state.join(sizes.select(*names, "n_train", "n_features"), names).select(
+        *names, F.col("_coef").alias("coef"), F.col("_constant").alias("intercept"), (F.col("n_features") + 1).cast("int").alias("trainable_params"),
         none.alias("pca_dim"), none.alias("rank"), "n_train", "iterations", F.col("done").alias("converged"),
     )
 
@@ -243,7 +276,7 @@ def _newton(
     state_schema = B.schema(rows, keys, **_STATE)
     rows = rows.repartition(*names).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def sums(key: tuple, tile: pd.Series, model: pd.Series) -> pd.DataFrame:
+    def sums(key: tuple, tile: pd.Series, model: pd.Series) -> list[pd.DataFrame]:
         d = int(model["_d"])
         z = B.unpack(tile["z"]).reshape(-1, d + 2)
         x, y, s = z[:, :d], z[:, d], z[:, d + 1]
@@ -253,7 +286,7 @@ def _newton(
         else:
             loss, gradient, hessian = objective(np.column_stack([x, np.ones(len(x))]), y, s, B.unpack(model["_beta"]))
             out = np.concatenate([[loss], gradient, hessian.ravel()])
-        return B.keyed(key, [*keys, B.BLOCK], **{B.SUMS: B.pack(out)})
+        return [B.keyed(key, [*keys, B.BLOCK], **{B.SUMS: B.pack(out)})]
 
     def advance(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         m, total = model.iloc[0], B.unpack(pdf[B.SUMS].iloc[0])
@@ -272,12 +305,12 @@ def _newton(
             _constant=float(best[-1]), _coef=best[:-1].tolist(),
         )
 
-    def begin(key: tuple, m: pd.Series) -> pd.DataFrame:
+    def begin(key: tuple, m: pd.Series) -> list[pd.DataFrame]:
         zeros = B.pack(np.zeros(int(m["_d"]) + 1))
-        return B.keyed(
+        return [B.keyed(
             key, keys, **{B.ROWS: int(m[B.ROWS])}, _d=int(m["_d"]), _beta=zeros, _best=zeros, _step=zeros, _loss=float("inf"),
             _slope=0.0, _t=1.0, done=False, iterations=0, _constant=0.0, _coef=[],
-        )
+        )]
 
     state = B.each_tile(start, keys, begin, state_schema)
     try:
@@ -316,13 +349,15 @@ def score(features: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def score_each(
-    features: DataFrame, models: DataFrame, keys: Sequence[str], by: Sequence[str], row: Sequence[str], salts: int = 64
+    features: DataFrame, models: DataFrame, keys: Sequence[str], by: Sequence[str], row: Sequence[str], salts: int = 64,
+    wanted: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Every row under every model of its `keys`; models of equal keys differ in `by`.
 
     The models of a key are stacked into one row, so a vector meets them in one
     join and is copied for none of them. As few keys hold all rows, rows are
-    dealt over `salts` copies of the stack. A model of another width raises.
+    dealt over `salts` copies of the stack. `wanted` of a model tells whether the
+    row takes it. A model of another width raises.
     """
     keys, by = list(keys), list(by)
     stacks = models.groupBy(*keys).agg(F.collect_list(F.struct(*by, "coef", "intercept")).alias("_models"))
@@ -335,7 +370,7 @@ def score_each(
         z = F.when(F.size("features") != F.size(m["coef"]), width).otherwise(z)
         return F.struct(*[m[c].alias(c) for c in by], (1.0 / (1.0 + F.exp(-z))).alias("p1"))
 
-    joined = dealt.join(stacks, [*keys, "_salt"]).withColumn("_scores", F.transform("_models", scored)).drop("_models", "_salt", "features")
+    joined = dealt.join(stacks, [*keys, "_salt"]).withColumn("_scores", F.transform(F.filter("_models", wanted) if wanted else F.col("_models"), scored)).drop("_models", "_salt", "features")
     rest = [c for c in joined.columns if c != "_scores"]
     return joined.select(*rest, F.inline("_scores")).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
 
@@ -356,17 +391,25 @@ def probe_results(predictions: DataFrame, models: DataFrame, keys: Sequence[str]
 
 
 def run_probes(
-    features: DataFrame, keys: Sequence[str], row: Sequence[str] = EXAMPLE, pca_dim: int | None = None
+    features: DataFrame, keys: Sequence[str], row: Sequence[str] = EXAMPLE, pca_dim: int | None = None, samples: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit, score and measure a sweep: `(results, predictions)`.
+    """Fit, score and measure a sweep: `(results, predictions)`; with `samples` (see `fit_probes`) each sample for itself.
 
     Predictions are narrow and used several times, so they are written once;
     the metrics then start from them and not from the feature pipeline.
     """
+    keys = list(keys)
     features = features.persist(StorageLevel.MEMORY_AND_DISK)  # read by sizes, fit and score
     try:
-        models = cut_lineage(fit_probes(features, keys, row, pca_dim))
-        predictions = cut_lineage(score(features, models, keys))
+        models = fit_probes(features, keys, row, pca_dim, samples=samples)
+        if samples is None:
+            scored = score(features, models, keys)
+        else:
+            of = F.map_from_entries(F.transform("members", lambda m: F.struct(m["sample"], m["part"])))
+            scored = score_each(features.withColumn("_part", of).drop("members"), models, keys, ["sample"], row, wanted=lambda m: F.map_contains_key("_part", m["sample"]))
+            scored = scored.withColumn("part", F.col("_part")[F.col("sample")]).drop("_part")
+            keys.append("sample")
+        predictions = cut_lineage(scored)
     finally:
         features.unpersist()
     return probe_results(predictions, models, keys), predictions

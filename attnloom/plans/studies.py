@@ -7,6 +7,7 @@ the number of runs, seeds, fractions or noise levels.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -84,6 +85,21 @@ def _all_layers(diags: DataFrame, top_k: int, families: Sequence[str]) -> DataFr
     return S.spectral_features(diags, [top_k], per_layer=False, families=families)
 
 
+def _resampled(table: DataFrame, samples: DataFrame, grid: dict[str, list], pca_dim: int | None) -> DataFrame:
+    """Probes of every cell of `grid`, from one copy of each feature vector.
+
+    `samples` has a narrow row per example and cell it is in. An example carries
+    the list of its cells, at most as long as the grid.
+    """
+    cells = list(itertools.product(*grid.values()))
+    values = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(grid, cell)]) for cell in cells])
+    place = (F.array_position(values, F.struct(*[F.col(n) for n in grid])) - 1).cast("int")
+    members = samples.groupBy(*EXAMPLE, "label").agg(F.collect_list(F.struct(place.alias("sample"), "part")).alias("members"))
+    results, _ = probe.run_probes(table.join(members, EXAMPLE), ["run_id", "probe"], EXAMPLE, pca_dim, samples=len(cells))
+    cell = F.element_at(values, F.col("sample") + 1)
+    return results.select("*", *[cell[n].alias(n) for n in grid]).drop("sample")
+
+
 def temperature_study(
     diags: DataFrame, labels: DataFrame, top_k: int = STUDY_TOP_K, per_class: int = SAMPLES_PER_CLASS,
     seeds: Sequence[int] = SAMPLE_SEEDS, pca_dim: int | None = None, order: sampling.RandomOrder = sampling.HASHED,
@@ -91,9 +107,7 @@ def temperature_study(
     """Three probes on balanced resamples of every run (one run per temperature)."""
     samples = sampling.balanced_samples(labels, per_class, seeds, order=order)
     table = _all_layers(diags, top_k, ("attn_log_det", "attn_eigval_topk", "laplacian_eigval_topk"))
-    joined = table.join(samples, EXAMPLE)
-    results, _ = probe.run_probes(joined, ["run_id", "probe", "seed"], EXAMPLE, pca_dim)
-    return results
+    return _resampled(table, samples, {"seed": list(seeds)}, pca_dim)
 
 
 def size_study(
@@ -103,9 +117,7 @@ def size_study(
     """Attention and Laplacian probes on growing shares of the training part."""
     samples = sampling.train_fractions(split, fractions, seeds, order)
     table = _all_layers(diags, top_k, ("attn_eigval_topk", "laplacian_eigval_topk"))
-    joined = table.join(samples, EXAMPLE)
-    results, _ = probe.run_probes(joined, ["run_id", "probe", "frac", "seed"], EXAMPLE, pca_dim)
-    return results
+    return _resampled(table, samples, {"frac": [float(f) for f in fractions], "seed": list(seeds)}, pca_dim)
 
 
 def size_summary(results: DataFrame) -> DataFrame:

@@ -232,3 +232,35 @@ def test_each_model_scores_each_row(spark):
     wrong = models.withColumn("coef", F.slice("coef", 1, 1))
     with pytest.raises(Exception, match="differ in width"):
         probe.score_each(rows, wrong, ["probe"], ["model"], ["row_idx"]).collect()
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+@pytest.mark.parametrize("dim", [None, 3])
+def test_samples_equal_probes_of_their_own(spark, monkeypatch, tile, dim):
+    """Samples of one copy of the rows, wide and tall ones mixed, against a table with a copy per sample."""
+    monkeypatch.setattr(blocks, "TILE", tile)
+    df, _ = make(spark, {("a", "p"): (70, 18), ("b", "p"): (60, 5)}, seed=12)
+    inside = [F.lit(True), F.col("row_idx") % 3 != 0, F.col("row_idx") < 14, F.col("row_idx") % 2 == 0]
+    cells = F.filter(F.array(*[F.when(c, F.struct(F.lit(j).alias("sample"), "part")) for j, c in enumerate(inside)]), lambda m: m.isNotNull())
+    once = df.withColumn("members", cells).drop("part")
+    copied = df.withColumn("m", F.explode(cells)).withColumn("sample", F.col("m.sample")).drop("m")
+    got = {(r["run_id"], r["sample"]): r for r in probe.fit_probes(once, KEYS, pca_dim=dim, samples=4).collect()}
+    want = probe.fit_probes(copied, [*KEYS, "sample"], pca_dim=dim).collect()
+    assert len(got) == len(want) == 8
+    for r in want:
+        own = got[r["run_id"], r["sample"]]
+        assert own["coef"] == pytest.approx(r["coef"], abs=1e-6) and own["intercept"] == pytest.approx(r["intercept"], abs=1e-6)
+        assert (own["n_train"], own["pca_dim"], own["rank"], own["converged"]) == (r["n_train"], r["pca_dim"], r["rank"], True)
+
+
+def test_sample_results_equal_probes_of_their_own(spark):
+    df, _ = make(spark, {("a", "p"): (90, 4)}, seed=13)
+    cells = F.filter(F.array(*[F.when(F.col("row_idx") % m != 1, F.struct(F.lit(j).alias("sample"), "part")) for j, m in enumerate((7, 2))]), lambda m: m.isNotNull())
+    once = df.withColumn("members", cells).drop("part")
+    copied = df.withColumn("m", F.explode(cells)).withColumn("sample", F.col("m.sample")).drop("m")
+    results, predictions = probe.run_probes(once, KEYS, samples=2)
+    want, expected = probe.run_probes(copied, [*KEYS, "sample"])
+    assert predictions.count() == expected.count()
+    names = ["sample", "n_train", *[f"{p}_{m}" for p in ("train", "test") for m in probe.METRICS]]
+    for a, b in zip(results.select(names).orderBy("sample").collect(), want.select(names).orderBy("sample").collect(), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b))

@@ -331,6 +331,28 @@ m AS (
 SELECT run_id, tp, fp, fn, {_r('p')} AS precision, {_r('r')} AS recall,
        {_r('coalesce(2 * p * r / nullif(p + r, 0), 0.0)')} AS f1 FROM m"""
 
+ORACLES["single_layer_stripped"] = f"""WITH {STATES}, {STATE_TOKENS}, {LABELS},
+kept AS (
+  SELECT run_id, row_idx, pos - 1 AS old, token_id, CAST(row_number() OVER (PARTITION BY row_idx ORDER BY pos) - 1 AS INT) AS new_idx
+  FROM toks WHERE pos >= 1 AND NOT is_special),
+lists AS (SELECT row_idx, string_agg(token_id::VARCHAR, ',' ORDER BY old) AS gen_tokens FROM kept GROUP BY ALL),
+last_in AS (
+  SELECT row_idx, CAST(3 - count(*) FILTER (is_special AND pos BETWEEN 1 AND 3) - 1 AS INT) AS last_input_token_idx FROM toks GROUP BY ALL),
+sums AS (SELECT run_id, row_idx, layer, tok_idx, sum(v) AS s FROM states WHERE layer = 1 GROUP BY ALL)
+SELECT s.run_id, s.row_idx, layer, new_idx AS tok_idx, label, gen_tokens, last_input_token_idx, {_r('s')} AS vec_sum
+FROM sums s JOIN kept ON kept.row_idx = s.row_idx AND kept.old = s.tok_idx JOIN lists ON lists.row_idx = s.row_idx
+JOIN last_in ON last_in.row_idx = s.row_idx JOIN labels_fx l ON l.run_id = s.run_id AND l.row_idx = s.row_idx WHERE label IN (0, 1)"""
+ORACLES["size_study_summary"] = f"""WITH {SCORES}, drawn AS (
+  SELECT run_id, row_idx, label, score, frac, seed FROM scores, (VALUES (0.5), (1.0)) f(frac), (VALUES (0), (1), (2)) g(seed)
+  WHERE frac = 1.0 OR (row_idx + seed) % 3 < 2), {_ranking('drawn', 'run_id, frac, seed')}
+SELECT run_id, 'score' AS probe, frac::DOUBLE AS frac, round(avg(auc), 4) AS mean, round(stddev_samp(auc), 4) AS std FROM auc GROUP BY run_id, frac"""
+ORACLES["halueval_questions"] = """SELECT substr(text, 1, 60) AS question, source AS answer, 1 AS n_messages,
+  'Answer the following question as briefly as possible.' || chr(10) || 'Question: ' || substr(text, 1, 60) || chr(10) || 'Answer:' || chr(10) AS content
+FROM documents WHERE text IS NOT NULL"""
+ORACLES["nq_open_default_split"] = """SELECT item_id, substr(text, 1, 40) AS question, substr(text, 1, 5) AS first_answer, 'validation' AS split
+FROM benchmark WHERE text IS NOT NULL AND item_id % 3 = 0"""
+ORACLES["stored_answers_json"] = "SELECT doc_id AS row_idx, source AS prediction, concat_ws('|', lang, source) AS gold FROM documents"
+
 # ---------------------------------------------------------------- questions, answers, judges
 
 ORACLES["qa_prompts"] = f"WITH {USERS} " + " UNION ALL ".join(

@@ -243,9 +243,68 @@ def single_layer_dataset(spark, sf):
     )
 
 
+@query
+def single_layer_stripped(spark, sf):
+    """States of layer 1 without padding, with the kept tokens and the last input position; ids below 5 play the pad."""
+    lab = V.labels(spark, sf)
+    ans = lab.select(*EXAMPLE, F.concat(F.lit("p"), F.col("row_idx").cast("string")).alias("prediction"))
+    met = lab.select(*EXAMPLE, (F.col("row_idx") % 7 / 7).alias("squad_f1"))
+    jud = lab.select(*EXAMPLE, F.when(F.col("label") == 1, "incorrect").otherwise("correct").alias("verdict"))
+    toks = V.state_tokens(spark, sf).withColumn("token_ids", F.transform("token_ids", lambda t: F.when(t % 5 == 0, 0).otherwise(t)))
+    one = catalog.single_layer_dataset(V.hidden_states(spark, sf), ans, met, jud, lab, layer=1, valid=True, tokens=toks, remove_padding=True, pad=0)
+    return one.select(
+        *EXAMPLE, "layer", "tok_idx", "label", F.array_join(F.col("gen_tokens").cast("array<string>"), ",").alias("gen_tokens"),
+        F.col("last_input_token_idx").cast("int").alias("last_input_token_idx"),
+        A.rounded(A.total(F.transform("vec", lambda x: x.cast("double")))).alias("vec_sum"),
+    )
+
+
 # ---------------------------------------------------------------- ranking metrics
 
 
+@query
+def size_study_summary(spark, sf):
+    """Mean and deviation over seeds of the AUC on shares of the examples, summed up as in the size study."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("frac"), F.lit(s).alias("seed")) for f in (0.5, 1.0) for s in (0, 1, 2)])).alias("c")
+    scored = V.scores(spark, sf).select("run_id", "row_idx", "label", "score", cells).select("run_id", "row_idx", "label", "score", "c.*")
+    drawn = scored.filter((F.col("frac") == 1.0) | ((F.col("row_idx") + F.col("seed")) % 3 < 2))
+    auc = metrics.ranking_metrics(drawn, ["run_id", "frac", "seed"], "label", "score", single_class="null")
+    return studies.size_summary(auc.select("run_id", F.lit("score").alias("probe"), "frac", F.col("auc").alias("test_auc")))
+
+
+@query
+def halueval_questions(spark, sf):
+    """JSON lines of another layout written from documents, read as a question set and formatted as prompts."""
+    root = scratch_path(spark, "halueval")
+    docs = V.table(spark, sf, "documents").filter("text is not null")
+    lines = docs.select(F.col("lang").alias("knowledge"), F.substring("text", 1, 60).alias("question"), F.col("source").alias("right_answer"), F.lit("x").alias("hallucinated_answer"))
+    lines.write.json(root)
+    shaped = qa.prepare_dataset(spark, qa.dataset("halueval_qa", root), QA_PROMPTS["short_zero_shot"])
+    return shaped.select("question", "answer", F.size("messages").alias("n_messages"), F.col("messages")[0]["content"].alias("content"))
+
+
+@query
+def nq_open_default_split(spark, sf):
+    """A columnar question set partitioned by split, read without naming one: the default split is pruned to."""
+    root = scratch_path(spark, "nq-open")
+    items = V.table(spark, sf, "benchmark").filter("text is not null")
+    rows = items.select("item_id", F.substring("text", 1, 40).alias("question"), F.array(F.substring("text", 1, 5)).alias("answer"),
+                        F.when(F.col("item_id") % 3 == 0, "validation").otherwise("train").alias("split"))
+    rows.write.partitionBy("split").parquet(root)
+    read = qa.read_dataset(spark, qa.dataset("nq_open", root), default_split=True)
+    return read.select("item_id", "question", F.col("answer")[0].alias("first_answer"), "split")
+
+
+@query
+def stored_answers_json(spark, sf):
+    """Answers written as JSON lines and read back under their schema."""
+    root = scratch_path(spark, "answers")
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.col("source").alias("prediction"), F.array("lang", "source").alias("gold"))
+    docs.write.json(f"{root}/answers.jsonl")
+    read = catalog.json_table(spark, f"{root}/answers.jsonl", "row_idx long, prediction string, gold array<string>")
+    return read.select("row_idx", "prediction", F.array_join("gold", "|").alias("gold"))
+
+
 @query
 def score_auc_ap(spark, sf):
     ranked = metrics.ranking_metrics(V.scores(spark, sf), RUN, "label", "score", single_class="null")

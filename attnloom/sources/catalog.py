@@ -186,17 +186,37 @@ def load_hidden_states(
 def single_layer_dataset(
     states: DataFrame, answers: DataFrame, metrics: DataFrame, judges: DataFrame, labels: DataFrame,
     layer: int, valid: bool = False, example: Sequence[str] = EXAMPLE,
+    tokens: DataFrame | None = None, remove_padding: bool = False, pad: int | None = None,
 ) -> DataFrame:
     """Hidden states of one layer with everything known about each example.
 
-    The narrow tables are joined first; the wide states meet one side only.
+    With `tokens` each row also has `gen_tokens` and `last_input_token_idx` of
+    its example. `remove_padding` leaves out the states and tokens of all pads,
+    numbers the states anew and moves the last input position accordingly.
+
+    The narrow tables are joined first; the wide states meet one side only, and
+    which of them stay is then decided row by row.
     """
+    if remove_padding and tokens is None:
+        raise ValueError("padding is found by tokens")
     facts = joins.zip_strict(answers, metrics, example)
     facts = joins.zip_strict(facts, judges.select(*example, "verdict"), example)
     facts = joins.zip_strict(facts, labels.select(*example, "label"), example)
     if valid:
         facts = facts.filter(F.col("label").isin(0, 1))
-    return hidden.select_layer(states, layer).join(facts, list(example))
+    if remove_padding:
+        kept = padding.strip_all_padding(tokens, pad, example)
+        kept = kept.select(
+            *example, F.col("kept")["token_id"].alias("gen_tokens"), F.col("last_input_idx").alias("last_input_token_idx"), F.col("kept")["tok_idx"].alias("_places")
+        )
+        facts = facts.join(kept, list(example))
+    elif tokens is not None:
+        facts = facts.join(tokens.select(*example, F.col("token_ids").alias("gen_tokens"), (F.col("input_length") - 1).alias("last_input_token_idx")), list(example))
+    joined = hidden.select_layer(states, layer).join(facts, list(example))
+    if not remove_padding:
+        return joined
+    place = F.array_position("_places", F.col("tok_idx").cast(T.IntegerType()))
+    return joined.filter(place > 0).withColumn("tok_idx", (place - 1).cast("int")).drop("_places")
 
 
 def shard_stats(tokens: DataFrame, mask: str = "attention_mask", run: Sequence[str] = RUN) -> DataFrame:

@@ -273,3 +273,18 @@ def test_qa_metrics_table(spark):
     assert "llm_judge_m_e" in one.columns and "llm_judge_gpt_4o_e" not in one.columns
     with pytest.raises(ValueError, match="neither"):
         judge.judge_key("m", None)
+
+
+def test_single_layer_with_tokens(spark):
+    states = spark.createDataFrame([("r", i, l, t, [float(10 * i + t)]) for i in range(2) for l in range(2) for t in range(4)], "run_id string, row_idx long, layer int, tok_idx int, vec array<double>")
+    facts = [spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], f"run_id string, row_idx long, {name}") for name, values in (
+        ("prediction string", "ab"), ("squad_f1 double", [0.0, 1.0]), ("verdict string", "cd"), ("label int", [0, 1]))]
+    tokens = spark.createDataFrame([("r", 0, [0, 5, 0, 6, 7], 3), ("r", 1, [4, 5, 6, 7, 0], 3)], "run_id string, row_idx long, token_ids array<int>, input_length int")
+    plain = catalog.single_layer_dataset(states, *facts, layer=1, tokens=tokens).collect()
+    assert len(plain) == 8 and {(r["row_idx"], tuple(r["gen_tokens"]), r["last_input_token_idx"]) for r in plain} == {(0, (0, 5, 0, 6, 7), 2), (1, (4, 5, 6, 7, 0), 2)}
+    cut = catalog.single_layer_dataset(states, *facts, layer=1, tokens=tokens, remove_padding=True, pad=0).collect()
+    # state i belongs to token i + 1; of the first three of these the pads move the last input position
+    assert {(r["row_idx"], r["tok_idx"], r["vec"][0]) for r in cut} == {(0, 0, 0.0), (0, 1, 2.0), (0, 2, 3.0), (1, 0, 10.0), (1, 1, 11.0), (1, 2, 12.0)}
+    assert {(r["row_idx"], tuple(r["gen_tokens"]), r["last_input_token_idx"]) for r in cut} == {(0, (5, 6, 7), 1), (1, (5, 6, 7), 2)}
+    with pytest.raises(ValueError, match="padding"):
+        catalog.single_layer_dataset(states, *facts, layer=1, remove_padding=True, pad=0)

@@ -41,7 +41,7 @@ STARTS, START_ROUNDS = 8, 2
 _SEEDS = scramble(np.arange(1, STARTS + 1, dtype=np.uint64))[:, None]
 MIN_BITS, MAX_BITS = 64, 1 << 17
 #: A shingle counts as frequent when it is in one of so many documents of some block of texts; order only, never a filter.
-FREQUENT_SHARE, FREQUENT_LIST = 400, 200_000
+FREQUENT_SHARE, FREQUENT_LIST, FREQUENT_BLOCK = 400, 200_000, 4 << 20
 BLOCK = 2048
 #: Shared shingles of 16 bytes that are broadcast at most (24 MB); more go by a shuffled join.
 MOST_SHARED = 1_500_000
@@ -91,8 +91,10 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles in at least 1 / FREQUENT_SHARE of the documents of one block of texts.
 
     A shingle in that share of all documents has it in some block, so none is missed.
+    Blocks are larger than the slices that are hashed at once, as only hashes are held.
     """
-    for _, sets in _rows(batches):
+    for block in (block for batch in batches for block in slices(batch, "text", FREQUENT_BLOCK)):
+        sets = [s for _, some in _rows([block]) for s in some]
         every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
         counts = np.diff(np.append(edges, len(every)))

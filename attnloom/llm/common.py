@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,10 @@ def removed(*steps: DataFrame) -> None:
     """Delete the folders of `stored` steps that no later step reads, so that disk holds only steps in use.
 
     Call it when everything derived from them is stored itself: a lost executor
-    then needs none of them again. Folders outside the shared one stay.
+    then needs none of them again. Folders outside the shared one stay. Spark
+    deletes the shuffle files of finished steps once the driver has collected
+    them as garbage, which it is asked to do here, as a driver with memory to
+    spare leaves them on the executors' disks.
     """
     for step in steps:
         spark = step.sparkSession
@@ -41,6 +45,9 @@ def removed(*steps: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(folder))
             if path.getParent().toUri().getPath() == root:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if steps:
+        steps[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -2,7 +2,10 @@
 
 Markup is stripped into blocks, one line each, with the length of their text
 outside links. Blocks in menus, headers, footers, sidebars, notices, adverts,
-forms and comments are asides: they weigh nothing and are never kept. Lengths
+forms and comments are asides: they weigh nothing and are never kept. A name
+alone does not make an aside of a wrapper: one that holds WRAPPED of the page's
+weight, and nearly all that of marked articles, is none, unless it is named for
+comments, adverts, consent, newsletters, related pages or sharing. Lengths
 are summed over windows of WINDOW lines: the text starts at the surge, the first
 line whose window ahead is heavy, and ends at the dive, the last line whose
 window behind is. Markup is a weight: a line inside an article counts as heavy
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import read_table, slices
 
 WINDOW, HEAVY = 3, 60
+WRAPPED, BESIDE = 0.75, 0.1
 
 #: Elements without text of the page; those of RAW_TAGS run to the end of the page when no end tag follows, as in browsers.
 DROPPED_TAGS = frozenset("script style noscript template svg iframe object textarea select button title canvas audio video".split())
@@ -49,24 +53,53 @@ _VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 _CLASS = re.compile(r"(?<![\w-])(?:class|role)" + _VALUE, re.I)
 _ANY_NAME = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)" + _VALUE, re.I)
 #: Boxes that are content of an article.
-_CONTENT_BOX = re.compile(r"(?:^|[\s_-])(?:notices?|alert)(?=$|[\s_-])", re.I)
+_CONTENT_BOX = re.compile(r"(?:^|[_-])(?:notices?|alert)(?=$|[_-])", re.I)
 _ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"(?:^|[_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav\w*|menus?|breadcrumbs?|side-?bar|widgets?|footer|site-?header|masthead|topbar|toolbar|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|disqus|respond|replies|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"comments?|commentlist|disqus|respond|replies|pagination|pager|complementary|contentinfo|search)(?:$|[_-])",
     re.I,
 )
+#: Names that say what a box stands beside or was built with, such as `with-sidebar`.
+_STATE_NAME = re.compile(r"(?:^|[_-])(?:with|without|has|no|elementor)[_-]", re.I)
+#: Asides whatever they hold.
+_FIRM_NAME = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|adbox|sponsor\w*|cookies?|consent|newsletter|subscribe|promo\w*|"
+    r"related|recommend\w*|share|sharing|social|breadcrumbs?|pagination|comments?|commentlist|disqus|respond|replies)(?:$|[_-])",
+    re.I,
+)
+#: Whole ids and classes of reader comments, which count in articles and on sections too.
+_COMMENTS = re.compile(
+    r"(?:(?:post|reader|readers|user|article)[_-])?(?:comments?|comment-?list|respond|replies|disqus|disqus_thread)(?:[_-](?:section|area|list|box|block|wrap|wrapper|container|form))?", re.I
+)
+#: Whole classes of a paragraph, list item or article that is an advert, or a reader's comment.
+_ADVERT = re.compile(r"ads?|advert|advertisement|sponsored", re.I)
+FIRM, NAMED = 2, 1
+
 
+def _aside_kind(tag: str, attributes: str, in_article: bool) -> int:
+    """FIRM for asides by tag or firm name, NAMED for other names of containers, else 0.
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Asides by tag, or by class and role of a container; ids and labels count outside articles, but not those of sections."""
+    Class and role count on containers; ids and labels outside articles, but not
+    those of sections; ids and classes of reader comments everywhere.
+    """
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
-        return True
-    if tag not in CONTAINER_TAGS or not attributes:
-        return False
-    named = _CLASS if in_article or tag == "section" else _ANY_NAME
-    names = (next(filter(None, m.groups()), "") for m in named.finditer(attributes))
-    return any(_ASIDE_NAME.search(_CONTENT_BOX.sub("", name) if in_article else name) for name in names)
+        return FIRM
+    if not attributes or not (tag in CONTAINER_TAGS or tag in ("p", "li", "article")):
+        return 0
+    any_names = [name for m in _ANY_NAME.finditer(attributes) for name in next(filter(None, m.groups()), "").split()]
+    classes = [name for m in _CLASS.finditer(attributes) for name in next(filter(None, m.groups()), "").split()]
+    if tag not in CONTAINER_TAGS:
+        whole = _ADVERT if tag != "article" else _COMMENTS
+        return FIRM if any(whole.fullmatch(name) for name in classes) else 0
+    if any(_COMMENTS.fullmatch(name) for name in any_names):
+        return FIRM
+    kind = 0
+    for name in classes if in_article or tag == "section" else any_names:
+        name = _CONTENT_BOX.sub("", name) if in_article else name
+        if not _STATE_NAME.search(name) and _ASIDE_NAME.search(name):
+            kind = max(kind, FIRM if _FIRM_NAME.search(name) else NAMED)
+    return kind
 
 
 def _dropped_end(page: str, tag: str, attributes: str, at: int, open_ended: set[str]) -> int:
@@ -80,18 +113,79 @@ def _dropped_end(page: str, tag: str, attributes: str, at: int, open_ended: set[
     return len(page) if tag in RAW_TAGS else at
 
 
+class _Asides:
+    """Open asides while a page is read, and all of them for the weighing after."""
+
+    def __init__(self) -> None:
+        self.parents: list[int] = []
+        self.kinds: list[int] = []
+        self.open: list[tuple[int, str, int]] = []  # number, tag, level of the tag
+        self.levels: dict[str, int] = {}
+        self.places: dict[tuple[str, int], int] = {}  # where in `open` the aside of a tag's level is
+        self.comments = 0  # open firm ones by name, in which articles are comments
+
+    def innermost(self) -> int:
+        return self.open[-1][0] if self.open else -1
+
+    def opened(self, tag: str, kind: int) -> None:
+        level = self.levels[tag] = self.levels.get(tag, 0) + 1
+        if kind:
+            self.places[tag, level] = len(self.open)
+            self.parents.append(self.innermost())
+            self.kinds.append(kind)
+            self.open.append((len(self.kinds) - 1, tag, level))
+            self.comments += kind == FIRM and tag not in ASIDE_TAGS
+
+    def closed(self, tag: str) -> None:
+        level = self.levels.get(tag, 0)
+        self.levels[tag] = max(0, level - 1)
+        self.cut(self.places.get((tag, level), len(self.open)))
+
+    def cut(self, size: int = 0) -> None:
+        while len(self.open) > size:
+            number, tag, level = self.open.pop()
+            del self.places[tag, level]
+            self.comments -= self.kinds[number] == FIRM and tag not in ASIDE_TAGS
+
+    def paragraph_ends(self) -> None:
+        """A paragraph or list item that is an aside ends where the next block starts or ends."""
+        if self.open and self.open[-1][1] in ("p", "li"):
+            self.cut(len(self.open) - 1)
+
+    def judged(self, lines: list[tuple[str, int, bool, int]]) -> list[bool]:
+        """Per aside whether it stays one: wrappers that hold nearly all weight do not."""
+        firm, inside, marked = [], [0] * len(self.kinds), [0] * len(self.kinds)
+        for parent, kind in zip(self.parents, self.kinds, strict=True):
+            firm.append(kind == FIRM or (parent >= 0 and firm[parent]))
+        free = [(w, m, n) for _, w, m, n in lines if n < 0 or not firm[n]]
+        total, articles = sum(w for w, _, _ in free), sum(w for w, m, _ in free if m)
+        for w, m, n in free:
+            if n >= 0:
+                inside[n] += w
+                marked[n] += w if m else 0
+        for n in range(len(self.kinds) - 1, -1, -1):
+            if (parent := self.parents[n]) >= 0 and not firm[n]:
+                inside[parent] += inside[n]
+                marked[parent] += marked[n]
+        out: list[bool] = []
+        for n, parent in enumerate(self.parents):
+            wraps = not firm[n] and inside[n] >= max(1, WRAPPED * total) and articles - marked[n] <= BESIDE * articles
+            out.append(not wraps or (parent >= 0 and out[parent]))
+        return out
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters outside links, inside an article, in an aside) of the blocks of a page."""
-    out: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, bool, int]] = []
     words: list[str] = []
     linked = articles = links = 0
-    aside: list[str] = []  # the open tags from the outermost aside on
+    asides = _Asides()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), articles > 0, bool(aside)))
+            lines.append((text, max(0, len(text) - linked), articles > 0, asides.innermost()))
         words.clear()
         linked = 0
 
@@ -114,26 +208,25 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             words.append(" ")
         elif tag == "a":
             links = max(0, links - 1) if closing else 1
-        opens_aside = not closing and not aside and _is_aside(tag, m["attributes"], articles > 0)
-        if tag in BLOCK_TAGS or opens_aside or (aside and closing and aside[0] == tag):
-            flush()
-            links = 0
+        if tag not in BLOCK_TAGS:
+            continue
+        flush()
+        links = 0
+        asides.paragraph_ends()
         if tag in VOID_TAGS:
             continue
-        if tag in ("article", "main"):
+        kind = 0 if closing else _aside_kind(tag, m["attributes"], articles > 0)
+        if tag in ("article", "main") and not kind and not asides.comments:
             articles = max(0, articles + (-1 if closing else 1))
-            if closing or aside:
-                aside.clear()  # an aside that was never closed ends with the article, or before one opens
-        if opens_aside:
-            aside.append(tag)
-        elif aside and tag == aside[0]:
-            if closing:
-                aside.pop()
-            else:
-                aside.append(tag)
+            asides.cut()  # an aside that was never closed ends with the article, or before one opens
+        if closing:
+            asides.closed(tag)
+        else:
+            asides.opened(tag, kind)
     words.append(page[at:])
     flush()
-    return out
+    stays = asides.judged(lines)
+    return [(text, weight, inside, n >= 0 and stays[n]) for text, weight, inside, n in lines]
 
 
 def _windows(weights: list[int]) -> list[int]:

@@ -353,6 +353,30 @@ def test_windows_act_beside_articles(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # wrappers with names of asides
+        (f"<article><h1>Head</h1><div class='elementor-widget'><p>{LONG}</p></div><div class='elementor-widget'><p>{LONG}</p></div></article>", f"Head\n\n{LONG}\n\n{LONG}"),
+        (f"<div class='content with-sidebar'><p>{LONG}</p><div class='sidebar'>Side</div></div>", LONG),
+        (f"<div class='body has-banner'><p>{LONG}</p></div>", LONG),
+        (f"<nav>Menu</nav><div class='widget'><h1>Head</h1><p>{LONG}</p><div class='related-posts'>More</div></div><footer>f</footer>", f"Head\n\n{LONG}"),
+        # readers' comments and adverts, however long
+        (f"<main><p>{LONG}</p><section id='comments'><p>First!</p></section></main>", LONG),
+        (f"<article><p>Short.</p><div id='comments'><p>{LONG}</p><p>{LONG}</p></div></article>", "Short."),
+        (f"<article><p>{LONG}</p></article><section id='comments'><article class='comment'><p>No.</p></article><article><p>{LONG}</p></article></section>", LONG),
+        (f"<article><p>{LONG}</p><p class='advert'>Buy<p>End.</p><p class='lead advertised'>Kept.</p></article>", f"{LONG}\n\nEnd.\n\nKept."),
+        # a long box beside a short article is no wrapper, nor is one of related pages inside
+        (f"<article><p>Short.</p><div class='related'><p>{LONG}</p></div></article>", "Short."),
+        (f"<article><p>Short.</p></article><div class='sidebar'><p>{LONG}</p><p>{LONG}</p></div>", "Short."),
+        # repeated and very deep elements
+        ("<div class='sidebar'>" * 20000 + "x", "x"),
+    ],
+)
+def test_names_do_not_make_asides_of_wrappers(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_licences(spark, none):
     texts = [sentence(12) + ".\nReleased under the MIT License.\n" + sentence(20), "Licensed under the Apache License, Version 2.0.", sentence(60), None, "", "MIT!! MIT!!"]
     texts += [sentence(chance.randrange(5, 60)) for _ in range(200)]

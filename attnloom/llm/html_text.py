@@ -74,11 +74,13 @@ _COMMENTS = re.compile(
 )
 #: Whole classes of a paragraph, list item or article that is an advert, or a reader's comment.
 _ADVERT = re.compile(r"ads?|advert|advertisement|sponsored", re.I)
-FIRM, NAMED = 2, 1
+#: Asides that hold articles of their own: comments and cards of other pages.
+_LISTING = re.compile(r"(?:^|[_-])(?:related|recommend\w*|comments?|commentlist|replies)(?:$|[_-])", re.I)
+LISTING, FIRM, NAMED = 3, 2, 1
 
 
 def _aside_kind(tag: str, attributes: str, in_article: bool) -> int:
-    """FIRM for asides by tag or firm name, NAMED for other names of containers, else 0.
+    """LISTING or FIRM for asides by tag or firm name, NAMED for other names of containers, else 0.
 
     Class and role count on containers; ids and labels outside articles, but not
     those of sections; ids and classes of reader comments everywhere.
@@ -91,14 +93,14 @@ def _aside_kind(tag: str, attributes: str, in_article: bool) -> int:
     classes = [name for m in _CLASS.finditer(attributes) for name in next(filter(None, m.groups()), "").split()]
     if tag not in CONTAINER_TAGS:
         whole = _ADVERT if tag != "article" else _COMMENTS
-        return FIRM if any(whole.fullmatch(name) for name in classes) else 0
+        return LISTING if any(whole.fullmatch(name) for name in classes) else 0
     if any(_COMMENTS.fullmatch(name) for name in any_names):
-        return FIRM
+        return LISTING
     kind = 0
     for name in classes if in_article or tag == "section" else any_names:
         name = _CONTENT_BOX.sub("", name) if in_article else name
         if not _STATE_NAME.search(name) and _ASIDE_NAME.search(name):
-            kind = max(kind, FIRM if _FIRM_NAME.search(name) else NAMED)
+            kind = max(kind, LISTING if _LISTING.search(name) else FIRM if _FIRM_NAME.search(name) else NAMED)
     return kind
 
 
@@ -122,7 +124,7 @@ class _Asides:
         self.open: list[tuple[int, str, int]] = []  # number, tag, level of the tag
         self.levels: dict[str, int] = {}
         self.places: dict[tuple[str, int], int] = {}  # where in `open` the aside of a tag's level is
-        self.comments = 0  # open firm ones by name, in which articles are comments
+        self.listings = 0  # open ones in which articles are none
 
     def innermost(self) -> int:
         return self.open[-1][0] if self.open else -1
@@ -134,7 +136,7 @@ class _Asides:
             self.parents.append(self.innermost())
             self.kinds.append(kind)
             self.open.append((len(self.kinds) - 1, tag, level))
-            self.comments += kind == FIRM and tag not in ASIDE_TAGS
+            self.listings += kind == LISTING
 
     def closed(self, tag: str) -> None:
         level = self.levels.get(tag, 0)
@@ -145,7 +147,7 @@ class _Asides:
         while len(self.open) > size:
             number, tag, level = self.open.pop()
             del self.places[tag, level]
-            self.comments -= self.kinds[number] == FIRM and tag not in ASIDE_TAGS
+            self.listings -= self.kinds[number] == LISTING
 
     def paragraph_ends(self) -> None:
         """A paragraph or list item that is an aside ends where the next block starts or ends."""
@@ -156,7 +158,7 @@ class _Asides:
         """Per aside whether it stays one: wrappers that hold nearly all weight do not."""
         firm, inside, marked = [], [0] * len(self.kinds), [0] * len(self.kinds)
         for parent, kind in zip(self.parents, self.kinds, strict=True):
-            firm.append(kind == FIRM or (parent >= 0 and firm[parent]))
+            firm.append(kind >= FIRM or (parent >= 0 and firm[parent]))
         free = [(w, m, n) for _, w, m, n in lines if n < 0 or not firm[n]]
         total, articles = sum(w for w, _, _ in free), sum(w for w, m, _ in free if m)
         for w, m, n in free:
@@ -216,7 +218,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in VOID_TAGS:
             continue
         kind = 0 if closing else _aside_kind(tag, m["attributes"], articles > 0)
-        if tag in ("article", "main") and not kind and not asides.comments:
+        if tag in ("article", "main") and not kind and not asides.listings:
             articles = max(0, articles + (-1 if closing else 1))
             asides.cut()  # an aside that was never closed ends with the article, or before one opens
         if closing:

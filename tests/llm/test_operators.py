@@ -369,7 +369,10 @@ def test_windows_act_beside_articles(page, text):
         # a long box beside a short article is no wrapper, nor is one of related pages inside
         (f"<article><p>Short.</p><div class='related'><p>{LONG}</p></div></article>", "Short."),
         (f"<article><p>Short.</p></article><div class='sidebar'><p>{LONG}</p><p>{LONG}</p></div>", "Short."),
-        # repeated and very deep elements
+        # articles inside a list of other pages; headers that never end
+        (f"<article><p>{LONG}</p></article><section class='related-posts'><article><p>Card.</p></article><article><p>Card.</p></article></section>", LONG),
+        (f"<header><p>Site</p><article><p>{LONG}</p></article>", LONG),
+        # very deep elements
         ("<div class='sidebar'>" * 20000 + "x", "x"),
     ],
 )

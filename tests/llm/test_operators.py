@@ -301,6 +301,58 @@ def test_nearest(spark, shard, leaf):
     assert neighbours.nearest(frame.limit(0), frame, 10).collect() == []
 
 
+def brute_nearest(rows, k):
+    good = [(i, np.array(v)) for i, v in rows if usable(v)]
+    width = max(len(v) for _, v in good)
+    good = [(i, np.pad(v, (0, width - len(v)))) for i, v in good]
+    for q, at in good:
+        if q % 100 == 0:
+            far = [(np.abs(at - v).max(), i, v) for i, v in good if i != q]
+            exact = [(float(m * np.sqrt((((at - v) / (m or 1.0)) ** 2).sum())), i) for m, i, v in far]
+            yield q, sorted(exact)[:k]
+
+
+@pytest.mark.parametrize("kind", ["far from zero", "huge", "tiny", "lengths", "clusters", "repeated"])
+def test_nearest_of_any_norm(spark, kind):
+    made = np.random.default_rng(3)
+    points = made.normal(size=(500, 6))
+    if kind == "far from zero":
+        points = 1e6 + 0.01 * points
+    elif kind == "huge":
+        points = points * 1e200
+    elif kind == "tiny":
+        points = points * 1e-200
+    elif kind == "clusters":
+        points = points + 100 * np.repeat(made.normal(size=(10, 6)), 50, axis=0)
+    rows = [(i, v.tolist()[: 3 + i % 4 if kind == "lengths" else 6]) for i, v in enumerate(points)]
+    if kind == "repeated":
+        rows += [(7, rows[7][1])] * 200
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = {}
+    for r in neighbours.nearest(frame, frame.filter("id % 100 = 0"), 10, shard=40, leaf=8).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((pytest.approx(r.score, rel=1e-9), r.vec_id))
+    for q, expected in brute_nearest(rows, 10):
+        assert found[q] == expected
+
+
+def test_nearest_skips_cells_and_keeps_recall(spark):
+    made = np.random.default_rng(4)
+    points = made.normal(size=(2000, 6)) + 50 * np.repeat(made.normal(size=(20, 6)), 100, axis=0)
+    cells = neighbours.Cells(points[::100])
+    gaps, error = cells.gaps(points)
+    own = gaps.argmin(axis=1)
+    away = neighbours.differences(points, cells.pivots[own])
+    cells.set_rings([(c, 100, away[own == c].min(), away[own == c].max(), error[own == c].max()) for c in range(20)], 40)
+    assert cells.others(gaps, error, np.full(2000, 2.0), 1.0).mean() < 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = {}
+    for r in neighbours.nearest(frame, frame.filter("id % 100 = 0"), 10, factor=0.7, shard=100, leaf=8).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(found[q] & {i for _, i in expected}) / 10 for q, expected in brute_nearest(rows, 10)]
+    assert sum(hits) / len(hits) >= 0.9
+
+
 PAGES = {
     "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class='ad'>Buy now please.</div><article><h1>Head</h1><p>One &amp;\n two.</p>"
     "<div class='related-posts'>More</div><p>Three<br>four</p></article><footer>&copy; me</footer>": "Head\n\nOne & two.\n\nThree four",

@@ -28,13 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import read_table, spread_join, stored
 from .components import components
-from .neighbours import distances, matrix, usable
+from .neighbours import distances, filled, matrix, usable
 
 COSINE = 0.9
 CELLS, CHUNK, FEW = 64, 2048, 24
 SLACK = 1e-6
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; powers of two taken out first keep squares from overflow and from vanishing."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+    return vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]
+
+
 class Node:
     __slots__ = ("centre", "radius", "members", "children")
 
@@ -74,7 +80,7 @@ class Side:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.copies = ids, copies
-        self.points = vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]
+        self.points = unit(vectors)
         self.tree = cover_tree(self.points)
 
 
@@ -182,7 +188,7 @@ def _nearest_cell(centres: np.ndarray):
             if not batch.num_rows:
                 continue
             vectors = matrix(batch.column("vector"))
-            gap = distances(vectors / np.sqrt((vectors**2).sum(axis=1))[:, None], centres)
+            gap = distances(unit(vectors), centres)
             cell = gap.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(gap.min(axis=1))], [*batch.schema.names, "cell", "away"])
 
@@ -223,20 +229,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; their component is their own id. Equal vectors link with
-    each other. Rows that share an id count as one vector if equal, else each
+    each other. Vectors shorter than the longest count as filled up with zeros. Rows that share an id count as one vector if equal, else each
     for itself, in one component. Rows without an id are not compared, are their
     own null component and not kept. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     rows = stored(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")), "vectors")
     good = rows.filter(usable("vector") & F.col("id").isNotNull()).dropDuplicates(["id", "vector"])
+    shortest, longest = good.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if shortest != longest:
+        good = filled(good, "vector", longest).dropDuplicates(["id", "vector"])
     keyed = stored(good.withColumn("copy_of", F.xxhash64("vector")), "keyed-vectors")
     classes = stored(keyed.groupBy("vector", "copy_of").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-classes")
     total = classes.count()
     if total:
         first = classes.orderBy(F.xxhash64("id"), "id").limit(CELLS).select("vector").collect()  # CELLS vectors at most
-        centres = np.array([r[0] for r in first], np.float64)
-        centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+        centres = unit(np.array([r[0] for r in first], np.float64))
         schema = f"id long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, cell long, away double"
         placed = stored(classes.select("id", "copies", "vector").mapInArrow(_nearest_cell(centres), schema), "placed")
         blobs = _chunks(placed)

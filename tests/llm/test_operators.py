@@ -289,6 +289,20 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_near_vectors_of_any_norm_and_length(spark):
+    base = np.random.default_rng(2).normal(size=(20, 6))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate((v, s) for v in base for s in (1.0, 1e-200, 1e200, 3.0))]
+    rows += [(100, [1.0, 0.0]), (101, [2.0, 0.0, 0.0]), (102, [1.0, 0.0, 0.0, 0.0, 0.0, 1e-3])]
+    good = {}
+    for i, v in rows:
+        v = np.pad(np.array(v) / np.abs(v).max(), (0, 6 - len(v)))
+        good[i] = v / np.linalg.norm(v)
+    pairs = [(a, b) for a, b in itertools.combinations(good, 2) if good[a] @ good[b] >= 0.9]
+    of, n = lowest(pairs, list(good)), {i: sum(i in p for p in pairs) for i in good}
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, n[i], of[i], of[i] == i) for i in good)
+
+
 @pytest.mark.parametrize(("shard", "leaf"), [(8192, 512), (40, 8)])
 def test_nearest(spark, shard, leaf):
     rows = vectors()

@@ -31,7 +31,7 @@ from .components import components
 from .neighbours import distances, filled, matrix, usable
 
 COSINE = 0.9
-CELLS, CHUNK, FEW = 64, 2048, 24
+CELLS, CHUNK, FEW, BLOCK = 64, 2048, 24, 8
 SLACK = 1e-6
 
 
@@ -210,16 +210,18 @@ def _load(blob: bytes) -> Side:
 
 def _linked(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, own = None, None
+        block, held = None, {}
         for batch in batches:
-            for left, right, blob in zip(batch.column("a"), batch.column("b"), batch.column("blob"), strict=True):
-                left, right = left.as_py(), right.as_py()
-                if left == right:  # comes first of its group
-                    chunk, own = left, _load(blob.as_py())
-                assert chunk == left
-                linker = Linker(own, own if left == right else _load(blob.as_py()), cosine)
-                linker.run()
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in linker.links()], ["id", "links", "low"])
+            for number, own, chunk, others, blob in zip(*(batch.column(c) for c in ("block", "own", "chunk", "others", "blob")), strict=True):
+                side, chunk = _load(blob.as_py()), chunk.as_py()
+                if number.as_py() != block:
+                    block, held = number.as_py(), {}
+                if own.as_py():  # the chunks of a block come first
+                    held[chunk] = side
+                for other in others.as_py():
+                    linker = Linker(held[other], side, cosine)
+                    linker.run()
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in linker.links()], ["id", "links", "low"])
 
     return run
 
@@ -284,17 +286,27 @@ def _chunks(placed: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, blobs: DataFrame, near: np.ndarray, limit: float) -> DataFrame:
-    """(a, b, blob of b) for all chunk pairs a <= b that may hold links, grouped by a, its own first."""
+    """Blocks of BLOCK chunks, each with all chunks that may hold links with some of them, its own first.
+
+    Only cells that lie near enough for their widest chunks are joined. Of a
+    pair, the chunk that stays in its block is the one or the other by parity,
+    so blocks have like work and a chunk travels once per block.
+    """
     heads = stored(blobs.select("chunk", "cell", "away"), "chunk-heads")
-    last = heads.agg(F.max("chunk")).first()[0]
-    table = F.array(*[F.array(*map(F.lit, row.tolist())) for row in near])
-    left = heads.select(F.col("chunk").alias("a"), F.col("cell").alias("cell_a"), F.col("away").alias("away_a"), F.explode(F.sequence("chunk", F.lit(last))).alias("b"))
-    right = heads.select(F.col("chunk").alias("b"), F.col("cell").alias("cell_b"), F.col("away").alias("away_b"))
-    gap = F.element_at(F.element_at(table, (F.col("cell_a") + 1).cast("int")), (F.col("cell_b") + 1).cast("int"))
-    met = left.join(right, "b").filter(gap <= F.col("away_a") + F.col("away_b") + limit + SLACK).select("a", "b")
-    rows = met.join(blobs.select(F.col("chunk").alias("b"), "blob"), "b")
-    parts = int(min(last + 1, 4096))
-    return rows.select("a", "b", "blob").repartition(parts, "a").sortWithinPartitions("a", "b")
+    widest = {r[0]: r[1] for r in heads.groupBy("cell").agg(F.max("away")).collect()}  # CELLS rows at most
+    cells = [(i, j, float(near[i, j])) for i in widest for j in widest if near[i, j] <= widest[i] + widest[j] + limit + SLACK]
+    met = spark.createDataFrame(cells, "cell_a long, cell_b long, gap double")
+    for side in "ab":
+        met = met.join(heads.select(F.col("chunk").alias(side), F.col("cell").alias(f"cell_{side}"), F.col("away").alias(f"away_{side}")), f"cell_{side}")
+    met = met.filter((F.col("a") <= F.col("b")) & (F.col("gap") <= F.col("away_a") + F.col("away_b") + limit + SLACK))
+    stays = ((F.col("a") + F.col("b")) % 2 == 0) | (F.floor(F.col("a") / BLOCK) == F.floor(F.col("b") / BLOCK))
+    sent = met.select(F.when(stays, F.col("a")).otherwise(F.col("b")).alias("other"), F.when(stays, F.col("b")).otherwise(F.col("a")).alias("chunk"))
+    block = F.floor(F.col("other") / BLOCK).cast("long")
+    grouped = sent.groupBy(block.alias("block"), "chunk").agg(F.sort_array(F.collect_list("other")).alias("others"))  # BLOCK at most
+    own = F.floor(F.col("chunk") / BLOCK) == F.col("block")
+    rows = grouped.join(blobs.select("chunk", "blob"), "chunk").select("block", own.alias("own"), "chunk", "others", "blob")
+    blocks = -(-(heads.agg(F.max("chunk")).first()[0] + 1) // BLOCK)
+    return rows.repartition(int(min(blocks, 4096)), "block").sortWithinPartitions("block", F.desc("own"), "chunk")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,10 @@ def usable(v):
     return v is not None and None not in v and np.isfinite(v).all() and any(v)
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("sizes", [(64, 2048, 8), (6, 10, 3)])
+def test_near_vectors(spark, monkeypatch, sizes):
+    for name, size in zip(("CELLS", "CHUNK", "BLOCK"), sizes):
+        monkeypatch.setattr(near_vectors, name, size)
     rows = vectors()
     good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if usable(v)}
     pairs = [(a, b) for a, b in itertools.combinations(good, 2) if good[a] @ good[b] >= 0.9]

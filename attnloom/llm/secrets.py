@@ -36,8 +36,8 @@ SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("
 
 LEAST_CANDIDATE = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
-#: Fewer distinct labelled values of a kind give no automaton.
-LEAST_VALUES = 20
+#: Every so many values of a kind are set aside for its limit; with fewer in all, the limit comes from all of them.
+ASIDE = 5
 #: Labelled values per kind that an automaton is built from, chosen by hash.
 MOST_VALUES = 1500
 ALPHA = 0.05
@@ -179,12 +179,11 @@ _COLUMNS = ["kind", "state", "symbol", "target", "seen", "ends", "score_limit"]
 
 
 def _learn(rows: pd.DataFrame) -> pd.DataFrame:
-    """One kind's automaton as rows; every fifth example is set aside for the limit."""
+    """One kind's automaton as rows; every ASIDE-th example is set aside for the limit."""
     words = [v.translate(_SHAPE) for v in sorted(rows["value"])]
-    if len(words) < LEAST_VALUES:
-        return pd.DataFrame(columns=_COLUMNS, dtype=object)
-    automaton = Automaton([w for i, w in enumerate(words) if i % 5]).merge()
-    scores = sorted(automaton.score(w) for i, w in enumerate(words) if i % 5 == 0)
+    few = len(words) < ASIDE
+    automaton = Automaton([w for i, w in enumerate(words) if few or i % ASIDE]).merge()
+    scores = sorted(automaton.score(w) for i, w in enumerate(words) if few or i % ASIDE == 0)
     limit = scores[int(QUANTILE * len(scores))]
     out, todo, reached = [], [0], {0}
     while todo:
@@ -222,7 +221,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_formats(docs: DataFrame) -> Formats:
-    """Automata from labelled credentials of `docs`; none for a kind with fewer than LEAST_VALUES distinct values."""
+    """Automata from labelled credentials of `docs`, one for each kind that has any."""
     found = stored(docs.select("text").mapInArrow(_examples, "kind int, value string, pairs long").groupBy("kind", "value").agg(F.sum("pairs").alias("pairs")), "credentials")
     sizes = {r[0]: r[1] for r in found.filter("kind >= 0").groupBy("kind").count().collect()}
     share = F.lit(0.0)

@@ -196,6 +196,19 @@ def test_grammar_keeps_formats_apart():
     assert all(automaton.score(w.translate(secrets._SHAPE)) < own for w in ("ordinarylongword", "http-request.header", "GGGG-0000-key-0000"))
 
 
+@pytest.mark.parametrize("count", [1, 3, 12])
+def test_formats_from_few_credentials(spark, count):
+    key = lambda: "".join(chance.choices("GHJKMN", k=8)) + "-" + "".join(chance.choices("0123456789", k=8))
+    words = ["".join(chance.choices("etaoinshrdlu", k=chance.randrange(12, 18))) for _ in range(400)]
+    words += ["".join(chance.choices("GHJxyzt0123-", k=14)) + "xyzt" for _ in range(200)]
+    near, plain = key(), " ".join(words[:200])
+    texts = [f"token={key()}" for _ in range(count)] + [plain, " ".join(words[200:]), f"sent {near} by mail"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.secret_scan(frame).collect()}
+    assert found[len(texts) - 1] == [("format", 5, 5 + len(near))]
+    assert found[count] == found[count + 1] == [] and all(len(found[i]) == 1 for i in range(count))
+
+
 def test_toxicity_learns_without_held_out_rows(spark, none):
     rows, labels = [], []
     for i in range(1500):

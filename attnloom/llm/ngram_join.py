@@ -125,9 +125,10 @@ def _fronts(frequent: np.ndarray):
     return run
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _rows(batches):
-        yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["doc_id", "shingles"])
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("to"), _lists(shingle_sets(part.column("text")))], ["to", "shingles"])
 
 
 def _fold(bits: bytes, size: int) -> np.ndarray:
@@ -196,20 +197,59 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rows)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by centre, block and side in, linked pairs out; the sets of one centre are held at a time."""
+    key, centre = None, {}
+    for batch in batches:
+        sets = batch.column("shingles")
+        shingles, edges = sets.values.to_numpy(), sets.offsets.to_numpy()
+        columns = [batch.column(c).to_pylist() for c in ("centre", "block", "side", "visitor")]
+        found = []
+        for i, (hub, block, side, visitor) in enumerate(zip(*columns, strict=True)):
+            own = shingles[edges[i] : edges[i + 1]]
+            if key != (hub, block):
+                key, centre = (hub, block), {}
+            if side == 0:  # rows may share an id; the batch is not held on to
+                centre.setdefault(own.tobytes(), own.copy())
+            elif any(_links(own, other) for other in centre.values()):
+                found.append((visitor, hub) if side == 1 else (hub, visitor))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _links(one: np.ndarray, other: np.ndarray) -> bool:
+    n, m = len(one), len(other)
+    return bool(_linkable(n, m, min(n, m)) and _linkable(n, m, len(np.intersect1d(one, other, assume_unique=True))))
+
+
 def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The stored pairs (a, b) whose shingle sets link, by exact intersection."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    if wanted.isEmpty():
+    """The stored pairs (a, b) whose shingle sets link, by exact intersection.
+
+    Of each pair the document of more pairs is the centre. Its set goes once to
+    each block of about BLOCK visitors, and the visitor's set once per pair. Sets
+    learn where to go before they leave the task that hashes them, so none is
+    shuffled to meet its pairs, and none is stored.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    degree = stored(ends.groupBy("doc_id").agg(F.count("*").alias("n")), "degree")
+    if degree.isEmpty():
         return pairs
-    own = small_join(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi")
-    sets = stored(own.mapInArrow(_full, "doc_id long, shingles array<long>"), "sets")
-    left = spread_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = spread_join(left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - F.col("shared")
-    linked = both.withColumn("shared", shared).filter(100 * F.col("shared") >= SIMILAR * union).select("a", "b")
-    linked = stored(linked, "linked")
-    removed(wanted, sets)
+    left = spread_join(pairs, degree.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+    both = spread_join(left, degree.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+    hub = F.greatest(F.struct("n_a", "a"), F.struct(F.col("n_b").alias("n_a"), F.col("b").alias("a")))
+    met = both.select("a", "b", hub["a"].alias("centre"), F.ceil(hub["n_a"] / BLOCK).alias("blocks"))
+    visitor = F.when(F.col("centre") == F.col("b"), F.col("a")).otherwise(F.col("b"))
+    side = F.when(F.col("centre") == F.col("b"), 1).otherwise(2)
+    met = met.select(visitor.alias("doc_id"), "centre", F.pmod(F.xxhash64(visitor), "blocks").alias("block"), side.alias("side"))
+    met = stored(met, "meetings")
+    hosts = met.select(F.col("centre").alias("doc_id"), "centre", "block", F.lit(0).alias("side")).distinct()
+    ways = met.unionByName(hosts).groupBy("doc_id").agg(F.collect_list(F.struct("centre", "block", "side", F.col("doc_id").alias("visitor"))).alias("to"))
+    ways = stored(ways, "ways")
+    own = small_join(docs.select("doc_id", "text"), ways, "doc_id").select("text", "to")
+    to = "array<struct<centre: long, block: long, side: int, visitor: long>>"
+    sets = own.mapInArrow(_dealt, f"to {to}, shingles array<long>").select(F.explode("to").alias("to"), "shingles").select("to.*", "shingles")
+    placed = sets.repartition("centre", "block").sortWithinPartitions("centre", "block", "side")
+    linked = stored(placed.mapInArrow(_met, "a long, b long"), "linked")
+    removed(degree, met, ways)
     return linked
 
 
@@ -261,7 +301,7 @@ def _started(docs: DataFrame, leaders: DataFrame) -> DataFrame:
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
             of = stored(_grouped(leaders.select("doc_id").distinct(), links).join(degree, "doc_id", "left"), "start-state")
-            known = keyed.join(of, "doc_id").select("*").fillna(0, ["degree"])
+            known = stored(keyed.join(of, "doc_id").fillna(0, ["degree"]), "start-known")
         lead = F.min(F.struct((-F.col("degree")).alias("less"), F.col("doc_id").alias("b"), F.col("component").alias("of"))).alias("lead")
         groups = known.groupBy("key").agg(lead, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         groups = stored(groups.select("key", "lead.b", "lead.of"), "centres")

@@ -78,6 +78,29 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 1500)}
 
 
+def test_exact_check_moves_each_set_once(spark, monkeypatch):
+    """Sets travel to their pairs in one shuffle and are in no stored step; pairs keep their order, ids may repeat."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[: 50 + i % 11])) for i in range(12)] + [(20, "one two three"), (21, "ONE two three"), (22, "four")]
+    rows += [(3, " ".join(f"x{k}" for k in range(30))), (30, " ".join(f"x{k}" for k in range(29))), (3, rows[3][1]), (None, rows[0][1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = sorted({i for i, _ in rows if i is not None})
+    wanted = [(a, b) for a in ids for b in ids if a != b and (a + b) % 7]
+    steps = []
+    store = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "stored", lambda df, label: steps.append((label, df)) or store(df, label))
+    got = {tuple(r) for r in ngram_join._checked(table, spark.createDataFrame(wanted, "a long, b long")).collect()}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    linked = {(i, j) for i, p in sets for j, q in sets if i is not None and j is not None and 100 * len(p & q) >= 75 * len(p | q)}
+    assert got == linked & set(wanted)
+    assert {(3, 30), (30, 3)} <= got
+    assert not [label for label, df in steps if "shingles" in df.columns]
+    plan = dict(steps)["linked"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "array_intersect" not in plan
+
+
 def test_jaccard_components(docs, none, rows):
     sets = {r[0]: shingles(r[1]) for r in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from string import Formatter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 # fixed values: the public ROUGE tokenisation
 ROUGE_SEPARATORS = "[^a-z0-9]+"
+#: Rows of a batch that become Python objects at once.
+COMPARED = 256
 
 
 def normalize_answer(text: Column) -> Column:
@@ -30,29 +33,45 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def rouge_tokens(text: Column) -> Column:
-    return words(F.regexp_replace(F.lower(text), ROUGE_SEPARATORS, " "))
+def rouge_text(text: Column) -> Column:
+    """Lower case, everything but ASCII letters and digits as single spaces."""
+    return F.regexp_replace(F.lower(text), ROUGE_SEPARATORS, " ")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    count = F.size(tokens) - n + 1
-    grams = F.transform(
-        F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001")
-    )
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(grams)
+def ngram_count(text: Column, n: int) -> Column:
+    return F.greatest(F.size(words(text)) - (n - 1), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def bag_overlaps(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Multiset intersection of one token array with each of several.
+def _tokens(text: str | None) -> list[str] | None:
+    """As `words`."""
+    return None if text is None else [t for t in text.split(" ") if t]
+
+
+def _grams(text: str | None, n: int) -> Counter:
+    tokens = _tokens(text) or ()
+    return Counter(tokens if n == 1 else zip(*(tokens[k:] for k in range(n))))
+
+
+def _compared(left: pa.Array, right: pa.Array) -> Iterator[tuple]:
+    """Rows of two columns as Python objects, a few at a time, so that a worker holds little more than the batch."""
+    for start in range(0, len(left), COMPARED):
+        yield from zip(left.slice(start, COMPARED).to_pylist(), right.slice(start, COMPARED).to_pylist(), strict=True)
+
+
+def bag_overlaps(left: Column | str, right: Column | str, n: int = 1) -> Column:
+    """Multiset intersection of the n-grams of one text with those of each of several; texts as `words` takes them.
 
     Built-in array functions are set-based; numbering the repeats with them is
-    quadratic in the text length and measured three times slower.
+    quadratic in the text length and measured three times slower. Workers get
+    texts and split them row by row: arrays of n-grams are several times larger.
     """
-    counts = (Counter(a) for a in left)
-    return pd.Series([[(c & Counter(b)).total() for b in many] for c, many in zip(counts, right)])
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def overlaps(left: pa.Array, right: pa.Array) -> pa.Array:
+        counted = ((_grams(a, n), many) for a, many in _compared(left, right))
+        return pa.array([[(c & _grams(b, n)).total() for b in many] for c, many in counted], pa.list_(pa.int32()))
+
+    return overlaps(left, right)
 
 
 def _lcs(left, right) -> int:
@@ -68,14 +87,14 @@ def _lcs(left, right) -> int:
     return len(left) - row.bit_count()
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def lcs_lengths(left: pd.Series, right: pd.Series) -> pd.Series:
-    """LCS length of one token array against each of several token arrays.
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def lcs_lengths(left: pa.Array, right: pa.Array) -> pa.Array:
+    """LCS length of the words of one text against those of each of several texts.
 
     The recurrence is sequential in both directions, so built-in functions can
     only express it with a copy of a whole row per token pair.
     """
-    return pd.Series([[_lcs(a, b) for b in many] for a, many in zip(left, right)])
+    return pa.array([[_lcs(a, _tokens(b)) for b in many] for a, many in ((_tokens(a), many) for a, many in _compared(left, right))], pa.list_(pa.int32()))
 
 
 def fill_braces(template: str, **columns: Column) -> Column:

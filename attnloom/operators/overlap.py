@@ -26,12 +26,12 @@ def squad_metrics(answers: DataFrame, example: Sequence[str] = EXAMPLE) -> DataF
         F.transform("gold", X.normalize_answer).alias("_g"),
     )
     tokens = base.select(
-        *example,
+        "*",
         F.exists("_g", lambda g: g == F.col("_p")).alias("_exact"),
         X.words(F.col("_p")).alias("_pt"),
         F.transform("_g", X.words).alias("_gt"),
     )
-    counted = tokens.withColumn("_same", X.bag_overlaps("_pt", "_gt"))
+    counted = tokens.withColumn("_same", X.bag_overlaps("_p", "_g"))
 
     def score(same: Column, g: Column) -> Column:
         both_empty = (F.size("_pt") == 0) & (F.size(g) == 0)
@@ -59,29 +59,27 @@ def _scores(overlap: Column, predicted: Column, gold: Column) -> Column:
 
 def rouge_n(answers: DataFrame, n: int, example: Sequence[str] = EXAMPLE) -> DataFrame:
     """n-gram overlap, best gold answer by F-measure."""
-    tokens = answers.select(
-        *example,
-        X.rouge_tokens(F.col("prediction")).alias("_p"),
-        F.transform("gold", X.rouge_tokens).alias("_g"),
-    )
-    grams = tokens.select(
-        *example, X.ngrams(F.col("_p"), n).alias("_p"), F.transform("_g", lambda g: X.ngrams(g, n)).alias("_g")
-    )
-    counted = grams.withColumn("_same", X.bag_overlaps("_p", "_g"))
-    scores = F.zip_with("_same", "_g", lambda same, g: _scores(same, F.size("_p"), F.size(g)))
-    return counted.select(*example, scores.alias("_s")).select(*example, *_best(F.col("_s"), f"rouge{n}"))
+    counted = _rouge_texts(answers, example).withColumn("_same", X.bag_overlaps("_p", "_g", n))
+    return _rouge_scores(counted, n, f"rouge{n}", example)
 
 
 def rouge_l(answers: DataFrame, example: Sequence[str] = EXAMPLE) -> DataFrame:
     """Longest common subsequence, best gold answer by F-measure."""
-    tokens = answers.select(
-        *example,
-        X.rouge_tokens(F.col("prediction")).alias("_p"),
-        F.transform("gold", X.rouge_tokens).alias("_g"),
+    matched = _rouge_texts(answers, example).withColumn("_same", X.lcs_lengths("_p", "_g"))
+    return _rouge_scores(matched, 1, "rougeL", example)
+
+
+def _rouge_texts(answers: DataFrame, example: Sequence[str]) -> DataFrame:
+    return answers.select(
+        *example, X.rouge_text(F.col("prediction")).alias("_p"), F.transform("gold", X.rouge_text).alias("_g")
     )
-    matched = tokens.withColumn("_lcs", X.lcs_lengths("_p", "_g"))
-    scores = F.zip_with("_lcs", "_g", lambda c, g: _scores(c, F.size("_p"), F.size(g)))
-    return matched.select(*example, scores.alias("_s")).select(*example, *_best(F.col("_s"), "rougeL"))
+
+
+def _rouge_scores(same: DataFrame, n: int, name: str, example: Sequence[str]) -> DataFrame:
+    count = F.transform("_g", lambda g: X.ngram_count(g, n))
+    sized = same.select(*example, "_same", X.ngram_count(F.col("_p"), n).alias("_p"), count.alias("_g"))
+    scores = F.zip_with("_same", "_g", lambda same, g: _scores(same, F.col("_p"), g))
+    return sized.select(*example, scores.alias("_s")).select(*example, *_best(F.col("_s"), name))
 
 
 def qa_metrics(answers: DataFrame, example: Sequence[str] = EXAMPLE) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +62,56 @@ def test_squad_metrics_against_counters(spark):
         assert got[i][1] == float(any(python_normalize(pred) == python_normalize(g) for g in golds))
 
 
+class _Session:
+    """Takes a function instead of making it a UDF."""
+
+    @staticmethod
+    def arrow_udf(kind):
+        return lambda function: function
+
+
+def test_overlaps_hold_few_tokens_as_objects(monkeypatch):
+    """A batch of 10,000 rows is compared a few rows at a time, also with null texts, no texts, slices and 2-grams."""
+    chance = random.Random(3)
+    monkeypatch.setattr(X.F, "arrow_udf", _Session.arrow_udf)
+
+    def text(n):
+        return " ".join(["", "a"][chance.randrange(2) :] + [f"t{chance.randrange(9)}" for _ in range(chance.randrange(n))])
+
+    left = [None, "", "a b a"] + [text(30) for _ in range(600)] + [" ".join(f"long{k}" for k in range(40000))]
+    right = [["b", None], [""], ["a a b", None, ""]] + [[text(30) for _ in range(chance.randrange(4))] for _ in range(600)] + [["long7 long8"]]
+    columns = pa.array(["x"] + left).slice(1), pa.array([["x"]] + right).slice(1)
+
+    def grams(t, n):
+        w = (t or "").split()
+        return Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+
+    for n in (1, 2):
+        got = X.bag_overlaps(*columns, n)
+        assert got.type == pa.list_(pa.int32())
+        assert got.to_pylist() == [[(grams(a, n) & grams(b, n)).total() for b in many] for a, many in zip(left, right)]
+    got = X.lcs_lengths.func(columns[0].slice(3), columns[1].slice(3)).to_pylist()
+    assert got == [[X._lcs(a.split(), b.split()) for b in many] for a, many in zip(left[3:], right[3:])]
+    short = " ".join(f"t{k}" for k in range(60))
+    batch = pa.array([short] * 10000), pa.array([[short, short]] * 10000)
+    tracemalloc.start()
+    try:
+        assert X.bag_overlaps(*batch, 2).to_pylist() == [[59, 59]] * 10000
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_overlaps_send_texts_and_no_arrays_of_tokens(spark):
+    """The Python workers get one copy of the text, whatever the n-grams."""
+    df = spark.createDataFrame([("r", 0, "q", "the a b", ["a b"])], ANSWERS)
+    for metric in (overlap.rouge_n(df, 2), overlap.rouge_l(df), overlap.squad_metrics(df)):
+        plan = metric._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "array_join" not in plan
+        udf = re.search(r"ArrowEvalPython \[\w+\((_p#\d+), (_g#\d+)\)", plan)
+        assert udf, plan
+
+
 def test_rouge(spark):
     rows = [
         ("r", 0, "q", "police killed the gunman", ["the gunman police killed", "police kill the gunman"]),

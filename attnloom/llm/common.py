@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from ..session import scratch_path, shared_dir
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 HOT_KEYS, HOT_ROWS = 64, 1000
+#: How this Python worker lets go of what tasks of one operator remember for the next of their kind.
+FORGET: list[Callable[[], None]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,30 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str
     return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)
 
 
+def _spare(run: Callable, batches: Iterator[pa.RecordBatch], forget: bool) -> Iterator[pa.RecordBatch]:
+    for let_go in FORGET if forget else ():
+        let_go()
+    try:
+        yield from run(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def sparing(run: Callable, forget: bool = True) -> Callable:
+    """`run` of a mapInArrow, in a worker that holds no more than it needs.
+
+    Workers outlive their tasks and share an executor's memory with its heap. So
+    what other operators remember there goes first (`forget`), and memory that
+    Arrow has freed goes back to the system when the task ends.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _spare(run, batches, forget)
+
+    return task
+
+
 def texts(column: pa.Array) -> pa.Array:
     """Null texts as empty, with 64-bit offsets."""
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -20,6 +20,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import FORGET
+
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: Anything but printable Latin signs, spaces and line ends; apostrophes; a letter that lower-casing takes apart.
 _OTHER = re.compile("[^ -~\n¡-¬®-ɏ]|['İ]")
@@ -44,10 +46,13 @@ def _unclear(text: str) -> bool:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of this process, so that tasks of one Python worker share its memory."""
+    """The encoder of this process, so that tasks of one Python worker share its memory until another operator's run there."""
     return Encoder(path)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 class _Numbers(dict):
     """Numbers of parts in order of first use."""
 

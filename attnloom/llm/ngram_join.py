@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, removed, slices, small_join, spread_join, stored
+from .common import read_table, removed, slices, small_join, sparing, spread_join, stored
 from .components import components
 from .hashing import scramble, shingle_sets
 
@@ -72,6 +72,7 @@ def _bitmap(shingles: np.ndarray) -> bytes:
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bits binary, starts array<long>"
 
 
+@sparing
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, sets in _rows(batches):
         starts = [scramble(s ^ _SEEDS).min(axis=1).view(np.int64).tolist() if len(s) else [] for s in sets]
@@ -87,6 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@sparing
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles in at least 1 / FREQUENT_SHARE of the documents of one block of texts.
 
@@ -107,6 +109,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fronts(frequent: np.ndarray):
     """Per document the first n - ceil(0.75 n) + 1 shingles, frequent ones last, and how many are not frequent."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _rows(batches):
             fronts, rare = [], []
@@ -125,6 +128,7 @@ def _fronts(frequent: np.ndarray):
     return run
 
 
+@sparing
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -176,6 +180,7 @@ def bounded_pairs(ids, sizes, groups, sides, places, bits) -> list[tuple[int, in
     return found
 
 
+@sparing
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows in, candidate pairs out; one tile is held at a time."""
 
@@ -197,6 +202,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rows)
 
 
+@sparing
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by centre, block and side in, linked pairs out; the sets of one centre are held at a time."""
     key, centre = None, {}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import read_table, slices, stored
+from .common import read_table, slices, sparing, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -197,6 +197,7 @@ def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_COLUMNS, dtype=object)
 
 
+@sparing
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled values (kind, value, pairs null) and, per batch, pair counts of ordinary candidates (value, pairs)."""
     for batch in batches:
@@ -279,6 +280,7 @@ def spans_of(text: str, formats: Formats) -> list[tuple[int, int, int]]:
 def with_spans(docs: DataFrame, formats: Formats, column: str) -> DataFrame:
     """`docs` with an array of (start, end, kind) of each whole text; null texts count as empty."""
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
@@ -307,6 +309,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     """
     formats = learn_formats(docs)
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import free_name, read_table, slices, small_join, stored
+from .common import free_name, read_table, slices, small_join, sparing, stored
 from .hashing import SIGNS, scramble, words_and_stems
 
 BUCKETS = 1 << 20
@@ -70,6 +70,7 @@ class Ftrl:
         return at, w[at], float(-self.z[-1] / ((SMOOTH + math.sqrt(self.n[-1])) / RATE))
 
 
+@sparing
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled rows (doc_id, mix, toxic, text) with the distinct places of their features, as bytes, instead of the text."""
     for batch in batches:
@@ -81,6 +82,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.binary())], ["doc_id", "mix", "toxic", "places"])
 
 
+@sparing
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weights from rows (toxic, places) in their order, as far as MOST_PLACES reach."""
     examples, labels, held = [], [], 0
@@ -140,6 +142,7 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: s
     at, w = model
     bias, at, w = float(w[at == -1].sum()), at[at >= 0], w[at >= 0]
 
+    @sparing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(BUCKETS)
         dense[at] = w

@@ -7,13 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attnloom.llm import html_text, licenses, mixing, near_vectors, neighbours, ngram_join, packing, secrets, token_files, toxicity
 from attnloom.llm.components import components
-from attnloom.llm.encoding import Encoder, tokenizer_path
+from attnloom.llm.encoding import Encoder, encoder, tokenizer_path
 from attnloom.session import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,6 +213,14 @@ def test_secrets(spark, none):
     assert secrets.secret_scan(none).collect() == []
 
 
+@pytest.mark.parametrize("task", [secrets._examples, ngram_join._signatures, ngram_join._frequent, ngram_join._fronts(np.zeros(0, np.uint64)), toxicity._places])
+def test_workers_of_other_operators_forget_tokenizers(task):
+    encoder(tokenizer_path("byte_bpe_50k.json")).encode(["alpha beta"])
+    held = pa.RecordBatch.from_pydict({"doc_id": [1], "mix": [2], "toxic": [0], "text": ["password = abcdefgh12345678"]})
+    assert sum(b.num_rows for b in task(iter([held]))) or task is ngram_join._frequent
+    assert encoder.cache_info().currsize == 0
+
+
 def test_grammar_keeps_formats_apart():
     codes = ["".join([*"key-", *(chance.choice("0123456789") for _ in range(12)), "-", *(chance.choice("GHIJ") for _ in range(4))]) for _ in range(200)]
     automaton = secrets.Automaton([c.translate(secrets._SHAPE) for c in codes]).merge()
